@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.listing import safe_url
 from ..functions.text import labelled, year_label
-from ..vocabulary import DOC_TYPE_LABELS, EXAM_TYPE_LABELS, KIND_ORDER, PAPER_TYPES, SHOWN_EXAMS
+from ..vocabulary import DOC_TYPE_LABELS, EXAM_TYPE_LABELS, KIND_ORDER, NUMBERED_EXAMS, PAPER_TYPES, SHOWN_EXAMS
 
 
 def kind() -> Column:
@@ -69,21 +69,28 @@ def page(found: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def exam_label(exam_type: Column, number: Column, makeup: Column) -> Column:
-    """"Quiz 2 (make-up)"; empty for exams that are not shown."""
-    name = labelled(exam_type, EXAM_TYPE_LABELS)
-    full = F.concat(name, F.when(number.isNotNull(), F.concat(F.lit(" "), number.cast("string"))).otherwise(""), F.when(makeup, " (make-up)").otherwise(""))
+    """"Quiz 2 (make-up)"; empty for exams that are not shown, a number only where exams are numbered."""
+    numbered = F.when(exam_type.isin(NUMBERED_EXAMS) & number.isNotNull(), F.concat(F.lit(" "), number.cast("string"))).otherwise("")
+    full = F.concat(labelled(exam_type, EXAM_TYPE_LABELS), numbered, F.when(makeup, " (make-up)").otherwise(""))
     return F.when(exam_type.isin(SHOWN_EXAMS), full).otherwise("")
 
 
+#: Sentences shown with a hit. Fixed values.
+UNREADABLE = "The text inside this file could not be read (scan or handwriting), so it was not checked for your topics. Shown because its course and exam match."
+PAIRED = "The solution for a paper that mentions your topics."
+BY_FILTERS = "Matches your filters."
+
+
 def why_matched(source: Column, terms: Column) -> Column:
     """One sentence that says why a hit is listed."""
-    quoted = F.array_join(F.transform(terms, lambda t: F.concat(F.lit("“"), t, F.lit("”"))), ", ")
+    words = F.array_join(F.transform(terms, lambda t: F.concat(F.lit("“"), t, F.lit("”"))), ", ")
+    some = F.size(terms) > 0
     return (
-        F.when(source == "content", F.when(F.size(terms) > 0, F.concat(F.lit("The text inside mentions "), quoted)).otherwise("Matched by the text inside"))
-        .when(source == "paired", "Solution to a paper that matched")
-        .when(source == "unreadable", "Could not be read; listed by its filters")
-        .when(F.size(terms) > 0, F.concat(F.lit("Name or folder mentions "), quoted))
-        .otherwise("Matches the filters")
+        F.when(source == "unreadable", UNREADABLE)
+        .when(source == "paired", PAIRED)
+        .when((source == "content") & some, F.concat(F.lit("Mentions "), words, F.lit(" inside the file.")))
+        .when(some, F.concat(F.lit("Matches "), words, F.lit(" in the file name or folder.")))
+        .otherwise(BY_FILTERS)
     )
 
 
