@@ -35,7 +35,7 @@ def user_hash(secret: str, email: Column) -> Column:
 
 
 def pkce_challenge(verifier: Column) -> Column:
-    return F.rtrim(F.lit("="), F.translate(F.base64(F.unhex(F.sha2(verifier.cast("binary"), 256))), "+/", "-_"))
+    return F.rtrim(F.translate(F.base64(F.unhex(F.sha2(verifier.cast("binary"), 256))), "+/", "-_"), F.lit("="))
 
 
 CLAIMS = "iss string, aud string, exp long, nonce string, email string, email_verified boolean, hd string"

@@ -28,7 +28,7 @@ def folder_id_from(text: Column) -> Column:
 
 def file_extension(name: Column) -> Column:
     """Lower-case last suffix; none for hidden files, names without a dot and names that end in one."""
-    last = F.substring_index(F.rtrim(F.lit("/"), name), "/", -1)
+    last = F.substring_index(F.rtrim(name, F.lit("/")), "/", -1)
     return F.lower(F.regexp_extract(last, r"^.*[^.].*?\.([^.]+)$", 1))
 
 

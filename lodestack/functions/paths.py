@@ -31,7 +31,7 @@ def semester_folder(folder: Column) -> Column:
 
 
 def path_parts(path: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(path, F.lit("")), "/"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(path, F.lit("")), "/"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def parse_path(path: Column, aliases: Column) -> Column:

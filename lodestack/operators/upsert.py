@@ -71,7 +71,7 @@ def retire_unseen(documents: DataFrame, raw_files: DataFrame, source_id: int, se
 def retire_counts(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
     """One row (retired, restored)."""
     both = before.select(key, F.col("link_status").alias("was")).join(after.select(key, F.col("link_status").alias("now")), key)
-    return both.agg(F.count_if("was <> 'broken' and now = 'broken'").alias("retired"), F.count_if("was = 'broken' and now = 'ok'").alias("restored"))
+    return both.agg(F.count_if(F.expr("was <> 'broken' and now = 'broken'")).alias("retired"), F.count_if(F.expr("was = 'broken' and now = 'ok'")).alias("restored"))
 
 
 def partial_listing(known: int, listed: int, force: bool = False) -> bool:

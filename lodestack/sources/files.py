@@ -63,7 +63,7 @@ def is_relevant(name, path, must_name, must_path) -> F.Column:
 
 def chat_cases(rows: DataFrame) -> DataFrame:
     """Chat cases with lists split; ``bad`` tells what is wrong with a row, or null."""
-    items = lambda c: F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: x != ""))
+    items = lambda c: F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != ""))
     fixed = lambda xs: F.array(*[F.lit(x) for x in xs])
     material = F.when(F.col("materials") == "default", fixed(DEFAULT_MATERIALS)).when(F.col("materials") == "all", fixed(MATERIALS)).otherwise(items(F.col("materials")))
     number = lambda c: F.when(F.col(c) != "", F.col(c).try_cast("int"))
