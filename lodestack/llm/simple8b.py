@@ -21,19 +21,20 @@ def _choose(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     bits = np.zeros(n + 60, dtype=np.uint8)
     bits[:n] = np.frexp(ids.astype(np.float64))[1]
-    select = np.full(n, len(COUNT) - 1, dtype=np.uint8)
-    select[bits[:n] > 30] = ESCAPE
+    # ids left in the block, as far as a word can reach
+    room = np.minimum(np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n)), 60).astype(np.uint8)
+    # a run that fits a selector fits every later one, so the number of selectors that fit tells the first
+    fitting = np.zeros(n, dtype=np.uint8)
     widest, have = bits.copy(), 1
-    room = BLOCK - np.arange(n) % BLOCK
     for s in range(len(COUNT) - 2, -1, -1):
         count = int(COUNT[s])
         while have < count:
             step = min(have, count - have)
-            widest[:-step] = np.maximum(widest[:-step], widest[step:])
+            np.maximum(widest[:-step], widest[step:], out=widest[:-step])
             have += step
-        fits = (widest[:n] <= WIDTH[s]) & (room >= count)
-        fits[max(0, n - count + 1) :] = False
-        select[fits] = s
+        fitting += (widest[:n] <= WIDTH[s]) & (room >= count)
+    select = np.uint8(len(COUNT) - 1) - fitting
+    select[bits[:n] > 30] = ESCAPE
     jump = np.append(COUNT, [1, 1])[select].tolist()
     starts, at = [], 0
     while at < n:

@@ -14,6 +14,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,36 +33,77 @@ SEGMENT = 1 << 20
 #: Chunks that an encoder remembers before it starts afresh.
 REMEMBERED = 600_000
 SEPARATOR = "<|endoftext|>"
+#: One word of Latin letters and a run of up to three marks behind it, which are one pre-token (no apostrophe: it may
+#: start a contraction).
+LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]{0,3})").fullmatch
 
 
 class Encoder:
     """Whole texts to ids with the tokenizers library, remembering what each space-led chunk became.
 
     Byte-level pre-tokenisation always cuts before a space that stands between two non-spaces, so the ids of a text
-    are the ids of its chunks in order. Texts with other white space around a space are encoded as a whole. Chunks
-    not met before are encoded together in one call, parted by the vocabulary's own end marker.
+    are the ids of its chunks in order. Texts with other white space beside a space are encoded as a whole. A new
+    chunk of Latin words parted by single line breaks, each perhaps with a few marks behind it, has plain pre-tokens
+    and goes straight to the library's model; all other new chunks are encoded together in one call, parted by the end marker. When too
+    many chunks are remembered, those met again since they were learned are kept.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.mark = self.tokenizer.token_to_id(SEPARATOR)
-        self.irregular = re.compile(r" \s|\s |^\s|\s\Z").search
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        spelt = lambda c: level.pre_tokenize_str(c)[0][0]
+        # the letter that the library's byte level writes for each byte of Latin UTF-8: ASCII, continuation, lead
+        self.letters = {i: spelt(chr(i))[-1] for i in range(0xC0)} | {i: spelt(bytes([i, 0x80]).decode())[0] for i in range(0xC2, 0xE0)}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.again: set[str] = set()
+        self.irregular: set[str] = {""}
+        self.known_marks: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
+    def pretoken(self, text: str) -> bytes:
+        """Ids of one pre-token."""
+        spelt = text.replace(" ", self.letters[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def marks(self, run: str) -> bytes:
+        if run not in self.known_marks:
+            self.known_marks[run] = self.whole(run)
+        return self.known_marks[run]
+
     def learn(self, known: dict[str, bytes], chunks: set[str], lead: str) -> None:
-        odd = [c for c in chunks if SEPARATOR in c]
-        plain = list(chunks.difference(odd))
-        known.update((c, self.whole(lead + c)) for c in odd)
-        if plain:
-            ids = self.whole("".join(f"{lead}{c}{SEPARATOR}" for c in plain))
+        rest = []
+        words: dict[str, bytes] = {}
+
+        def latin(text: str, lead: str) -> bytes | None:
+            if not (m := LATIN(text)):
+                return None
+            word = lead + m[1]
+            if word not in words:
+                words[word] = self.pretoken(word)
+            return words[word] + self.marks(m[2])
+
+        for c in chunks:
+            head, *lines = c.split("\n")
+            pieces = [latin(head, lead), *(latin(x, "") for x in lines)]
+            if None not in pieces:
+                known[c] = self.marks("\n").join(pieces)
+            elif SEPARATOR in c:
+                known[c] = self.whole(lead + c)
+            else:
+                rest.append(c)
+                if c and (c[0].isspace() or c[-1].isspace()):
+                    self.irregular.add(c)
+        if rest:
+            ids = self.whole("".join(f"{lead}{c}{SEPARATOR}" for c in rest))
             at = 0
-            for c, cut in zip(plain, np.flatnonzero(np.frombuffer(ids, dtype="<u4") == self.mark).tolist(), strict=True):
+            for c, cut in zip(rest, np.flatnonzero(np.frombuffer(ids, dtype="<u4") == self.mark).tolist(), strict=True):
                 known[c] = ids[4 * at : 4 * cut]
                 at = cut + 1
 
@@ -69,14 +111,17 @@ class Encoder:
         """Little-endian uint32 ids of each text."""
         if self.mark is None:
             return [self.whole(t) for t in texts]
-        parts = [None if self.irregular(t) else t.split(" ") for t in texts]
-        regular = [p for p in parts if p]
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first, self.later = {}, {}
-        self.learn(self.later, set().union(*(p[1:] for p in regular)).difference(self.later), " ")
-        self.learn(self.first, {p[0] for p in regular}.difference(self.first), "")
-        get = self.later.__getitem__
-        return [self.first[p[0]] + b"".join(map(get, p[1:])) if p else self.whole(t) for t, p in zip(texts, parts)]
+        if len(self.later) + len(self.first) > REMEMBERED:
+            self.later = {c: self.later[c] for c in self.again}
+            self.first, self.again, self.irregular = {}, set(), {c for c in self.irregular if c in self.later} | {""}
+        parts = [t.split(" ") for t in texts]
+        chunks = set().union(*(p[1:] for p in parts))
+        fresh = chunks.difference(self.later)
+        self.again.update(chunks.difference(fresh))
+        self.learn(self.later, fresh, " ")
+        self.learn(self.first, {p[0] for p in parts}.difference(self.first), "")
+        get, regular = self.later.__getitem__, self.irregular.isdisjoint
+        return [self.first[p[0]] + b"".join(map(get, p[1:])) if len(p) == 1 or regular(p) else self.whole(t) for t, p in zip(texts, parts)]
 
 
 _encoders: dict[str, Encoder] = {}
