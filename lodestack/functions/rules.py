@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .listing import stem as stem_of
 from .listing import title as title_of
@@ -201,7 +202,7 @@ def read_year(text: str | None) -> tuple[int | None, bool]:
     return (int(m[1]), False) if m and not _RANGE.search(text[: m.start()]) else (None, False)
 
 
-@F.pandas_udf("struct<year:int,is_span:boolean>")
+@F.pandas_udf(T.StructType([T.StructField("year", T.IntegerType()), T.StructField("is_span", T.BooleanType())]))
 def year_from_name(text: pd.Series) -> pd.DataFrame:
     found = [read_year(t) for t in text]
     return pd.DataFrame({"year": pd.array([y for y, _ in found], dtype="Int32"), "is_span": [s for _, s in found]})

@@ -9,6 +9,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..vocabulary import STOPWORDS
 
@@ -70,7 +71,7 @@ def tokenize(text: str, stem: bool = True) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def tokens_any(text: pd.Series) -> pd.Series:
     """Tokens of texts in any script (full Unicode decomposition), Arrow batches."""
     return text.map(lambda t: tokenize(t or ""))
