@@ -331,8 +331,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """docs with the text's duplicate lines taken out; blank lines stay, columns stay. Ids are expected to be unique."""
     again = line_classes(docs).where("doc_id is distinct from class_doc or line_no <> class_line")
-    gone = again.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i.cast("long")))
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    gone = again.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
+    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i.cast("long")))
+    text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
     return both.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])

@@ -98,6 +98,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Ids are expected to be unique; rows that share an id are taken as often as the id's row with the largest share.
     """
     times = F.coalesce(F.floor(F.col("taken") / F.nullif(F.col("size"), F.lit(0))), F.lit(1)).cast("int")
-    taken = mix(docs).select(F.col("doc_id").alias("_id"), times.alias("_times")).groupBy("_id").agg(F.max("_times").alias("_times"))
-    both = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_times > 0")
-    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    taken = mix(docs).select(F.col("doc_id").alias("__id"), times.alias("__times")).groupBy("__id").agg(F.max("__times").alias("__times"))
+    both = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).where("__times > 0")
+    return both.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])

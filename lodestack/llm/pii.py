@@ -213,10 +213,10 @@ def pseudonymize(docs: DataFrame, key: str = "lodestack", text_col: str = "text"
     """
     text = F.col(text_col)
     some = F.when(text.rlike("[0-9@]"), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key)))
-    found = docs.drop(*[f"n_{k}" for k in KINDS]).withColumn("_new", some)
+    found = docs.drop(*[f"n_{k}" for k in KINDS]).withColumn("__new", some)
     gaps = F.split(text, ANY, -1)
-    new = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_new"), i)["text"], F.lit(""))))
-    kinds = F.transform("_new", lambda x: x["kind"])
+    new = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("__new"), i)["text"], F.lit(""))))
+    kinds = F.transform("__new", lambda x: x["kind"])
     counts = [F.coalesce(F.size(F.array_compact(kinds)) - F.size(F.array_remove(F.array_compact(kinds), k)), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
-    changed = F.when(F.size("_new") > 0, F.array_join(new, "")).otherwise(text)
-    return found.select(*[changed.alias(c) if c == text_col else F.col(c) for c in found.columns if c != "_new"], *counts)
+    changed = F.when(F.size("__new") > 0, F.array_join(new, "")).otherwise(text)
+    return found.select(*[changed.alias(c) if c == text_col else F.col(c) for c in found.columns if c != "__new"], *counts)

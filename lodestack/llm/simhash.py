@@ -157,5 +157,5 @@ def keep_first(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFram
 
     Ids are expected to be unique: rows that share an id stand or fall together. Rows with a null id stay.
     """
-    gone = near_duplicates(docs, shingle=shingle, distance=distance).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, shingle=shingle, distance=distance).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
