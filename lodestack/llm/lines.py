@@ -28,6 +28,8 @@ from .graph import components
 EDITS, CHARS = 2, 20
 #: Pairs that one key may give directly; beyond it goes through blocks of BLOCK lines.
 PAIRS, BLOCK = 2048, 1000
+#: Bits of the sieve at most (128 MiB).
+SIEVE = 1 << 30
 SPACES = " \t\x0b\x0c\r"
 
 
@@ -249,15 +251,36 @@ def candidates(keys: DataFrame, most: int = PAIRS) -> DataFrame:
     return by_batch(keys.repartition("key").sortWithinPartitions("key", F.col("line").bitwiseAND(F.lit(1))), work, "a long, b long, key long")
 
 
+def sieve(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of the wanted ids' hash positions: 16 to 32 bits for each id, but never more than SIEVE bits.
+
+    Spark builds it in pieces of 4 KiB; its size has a fixed bound, so it may go to the driver and be broadcast.
+    """
+    bits = 1 << max(15, min((16 * wanted.count()).bit_length(), SIEVE.bit_length() - 1))
+    at = F.shiftrightunsigned("line_id", 1).bitwiseAND(F.lit(bits - 1)) + 1  # the functions number positions from 1
+    pieces = wanted.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("map"))
+    out = np.zeros((bits >> 15, 4096), dtype=np.uint8)
+    for piece, bitmap in pieces.collect():
+        out[piece - 1] = np.frombuffer(bitmap, dtype=np.uint8)
+    return out
+
+
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line_id, line) of the wanted line ids."""
+    """(line_id, line) of the wanted line ids. The sieve keeps other lines out of the shuffle; the join is exact."""
+    sent = docs.sparkSession.sparkContext.broadcast(sieve(wanted))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sent.value
+        last = np.uint64((len(bitmap) << 15) - 1)
         for batch in batches:
             texts = texts_of(batch)
             for low in range(0, len(texts), 1000):
-                found = {s for t in texts[low : low + 1000] for _, s in lines_of(t) if len(s) >= CHARS}
-                yield pa.RecordBatch.from_arrays([pa.array([line_id(s) for s in found], pa.int64()), pa.array(list(found), pa.string())], names=["line_id", "line"])
+                found = list({s for t in texts[low : low + 1000] for _, s in lines_of(t) if len(s) >= CHARS})
+                ids = np.array([line_id(s) for s in found], dtype=np.int64)
+                at = ids.view(np.uint64) >> np.uint64(1) & last
+                piece, bit = (at >> np.uint64(15)).astype(np.int64), (at & np.uint64(32767)).astype(np.int64)
+                kept = np.flatnonzero(bitmap[piece, bit >> 3] >> (bit & 7) & 1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array([found[k] for k in kept.tolist()], pa.string())], names=["line_id", "line"])
 
     every = by_batch(docs, work, "line_id long, line string")
     return every.join(wanted, "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))

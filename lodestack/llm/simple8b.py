@@ -16,13 +16,22 @@ ESCAPE = 15
 BLOCK = 4096
 
 
+#: Bits of the numbers below 65536.
+BITS = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
+
+
+def _bits(ids: np.ndarray) -> np.ndarray:
+    return np.where(ids < 1 << 16, BITS[ids & 0xFFFF], 16 + BITS[ids >> 16]).astype(np.uint8)
+
+
 def _choose(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and selector of each word, the fullest word first."""
+    """Start and selector of each word, the fullest word first. All blocks are walked in step."""
     n = len(ids)
     bits = np.zeros(n + 60, dtype=np.uint8)
-    bits[:n] = np.frexp(ids.astype(np.float64))[1]
+    bits[:n] = _bits(ids)
     # ids left in the block, as far as a word can reach
-    room = np.minimum(np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n)), 60).astype(np.uint8)
+    room = np.tile(np.minimum(np.arange(BLOCK, 0, -1), 60).astype(np.uint8), -(-n // BLOCK))[:n]
+    room[-60:] = np.minimum(room[-60:], np.arange(min(n, 60), 0, -1))
     # a run that fits a selector fits every later one, so the number of selectors that fit tells the first
     fitting = np.zeros(n, dtype=np.uint8)
     widest, have = bits.copy(), 1
@@ -35,25 +44,31 @@ def _choose(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fitting += (widest[:n] <= WIDTH[s]) & (room >= count)
     select = np.uint8(len(COUNT) - 1) - fitting
     select[bits[:n] > 30] = ESCAPE
-    jump = np.append(COUNT, [1, 1])[select].tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at += jump[at]
-    starts = np.array(starts, dtype=np.int64)
+    jump = np.append(COUNT, [1, 1])[select]
+    at = np.arange(0, n, BLOCK)
+    end = np.minimum(at + BLOCK, n)
+    marked = np.zeros(n, dtype=bool)
+    while len(at):
+        marked[at] = True
+        at = at + jump[at]
+        live = at < end
+        at, end = at[live], end[live]
+    starts = np.flatnonzero(marked)
     return starts, select[starts]
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids below 2**32 to (words, word offset of each block)."""
-    ids = np.asarray(ids, dtype=np.uint64)
+    ids = np.asarray(ids, dtype=np.uint32)
     starts, select = _choose(ids)
-    words = select.astype(np.uint64) << np.uint64(60)
+    words = np.empty(len(starts), dtype=np.uint64)
     for s in np.unique(select).tolist():
         at = np.flatnonzero(select == s)
-        count, width = (1, 60) if s == ESCAPE else (int(COUNT[s]), int(WIDTH[s]))
+        first, count, width = starts[at], *((1, 60) if s == ESCAPE else (int(COUNT[s]), int(WIDTH[s])))
+        word = np.full(len(at), s << 60, dtype=np.uint64)
         for j in range(count):
-            words[at] |= ids[starts[at] + j] << np.uint64(j * width)
+            word |= ids[first + j].astype(np.uint64) << np.uint64(j * width)
+        words[at] = word
     return words, np.searchsorted(starts, np.arange(0, len(ids), BLOCK)).astype(np.uint32)
 
 

@@ -15,21 +15,24 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import simple8b
-from .common import by_batch, scratch, staged, texts_of
+from .common import by_batch, scratch, staged
 
 MAGIC = b"S8B1"
-#: Ids after which a segment is closed; a longer document has a segment of its own.
+#: Ids that a segment holds at most; a longer document has a segment of its own.
 SEGMENT = 1 << 20
+#: Bytes of text that are encoded together.
+PIECE = 6_000_000
 #: Chunks that an encoder remembers before it starts afresh.
 REMEMBERED = 600_000
 SEPARATOR = "<|endoftext|>"
@@ -77,7 +80,7 @@ class Encoder:
             self.known_marks[run] = self.whole(run)
         return self.known_marks[run]
 
-    def learn(self, known: dict[str, bytes], chunks: set[str], lead: str) -> None:
+    def learn(self, known: dict[str, bytes], chunks: Iterable[str], lead: str) -> None:
         rest = []
         words: dict[str, bytes] = {}
 
@@ -107,21 +110,39 @@ class Encoder:
                 known[c] = ids[4 * at : 4 * cut]
                 at = cut + 1
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
-        if self.mark is None:
-            return [self.whole(t) for t in texts]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each). Arrow splits and numbers the chunks; each different one is looked
+        up once, and the ids of all occurrences are gathered by position."""
+        if self.mark is None or not len(texts):
+            runs = [self.whole(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(runs), dtype="<u4"), np.array([len(r) // 4 for r in runs], dtype=np.int64)
         if len(self.later) + len(self.first) > REMEMBERED:
             self.later = {c: self.later[c] for c in self.again}
             self.first, self.again, self.irregular = {}, set(), {c for c in self.irregular if c in self.later} | {""}
-        parts = [t.split(" ") for t in texts]
-        chunks = set().union(*(p[1:] for p in parts))
-        fresh = chunks.difference(self.later)
-        self.again.update(chunks.difference(fresh))
+        split = pc.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        numbered = split.flatten().dictionary_encode()
+        bounds -= bounds[0]
+        codes, different = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
+        fresh = [c for c in different if c not in self.later]
+        self.again.update(set(different).difference(fresh))
         self.learn(self.later, fresh, " ")
-        self.learn(self.first, {p[0] for p in parts}.difference(self.first), "")
-        get, regular = self.later.__getitem__, self.irregular.isdisjoint
-        return [self.first[p[0]] + b"".join(map(get, p[1:])) if len(p) == 1 or regular(p) else self.whole(t) for t, p in zip(texts, parts)]
+        heads = [different[k] for k in codes[bounds[:-1]].tolist()]
+        self.learn(self.first, {c for c in heads if c not in self.first}, "")
+        odd = np.fromiter((c in self.irregular for c in different), dtype=bool, count=len(different))
+        alone = np.diff(bounds) == 1
+        mended = np.flatnonzero((np.add.reduceat(odd[codes], bounds[:-1], dtype=np.int64) > 0) & ~alone)
+        runs = [self.later[c] for c in different] + [self.first[c] for c in heads] + [b""]
+        for k in mended.tolist():
+            runs[len(different) + k] = self.whole(texts[k].as_py())
+            codes[bounds[k] : bounds[k + 1]] = len(runs) - 1
+        codes[bounds[:-1]] = len(different) + np.arange(len(heads))
+        flat = np.frombuffer(b"".join(runs), dtype="<u4")
+        size = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs)) // 4
+        place = np.cumsum(size) - size
+        size, place = size[codes], place[codes]
+        ends = np.cumsum(size)
+        return flat[np.repeat(place - ends + size, size) + np.arange(ends[-1])], np.add.reduceat(size, bounds[:-1])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -134,11 +155,22 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+def pieces(texts: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``most`` bytes each; a longer text stands alone."""
+    stops = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(texts):
+        before = int(stops[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(stops, before + most, side="right")))
+        yield low, high
+        low = high
+
+
+def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     words, offsets = simple8b.encode(ids)
     head = MAGIC + struct.pack("<4I", len(doc_ids), len(ids), len(offsets), len(words))
     keys = np.array([i or 0 for i in doc_ids], dtype="<i8").tobytes() + bytes(i is None for i in doc_ids)
-    return head + keys + np.array(lengths, dtype="<u4").tobytes() + offsets.astype("<u4").tobytes() + words.astype("<u8").tobytes()
+    return head + keys + lengths.astype("<u4").tobytes() + offsets.astype("<u4").tobytes() + words.astype("<u8").tobytes()
 
 
 def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -163,32 +195,26 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
     path = path or f"{scratch(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = ordered.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    end = np.array([end_id], dtype="<u4").tobytes()
+
+    def segment(part: int, seq: int, keys: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (len(keys), pa.int64()), (len(ids), pa.int64()), (pack(keys, lengths, ids), pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "n_docs", "n_ids", "payload"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        keys: list[int | None] = []
-        runs: list[bytes] = []
-        size = 0
-
-        def segment() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(runs), dtype="<u4")
-            payload = pack(keys, [len(r) // 4 for r in runs], ids)
-            columns = [pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (len(keys), pa.int64()), (len(ids), pa.int64()), (payload, pa.binary()))]
-            return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "n_docs", "n_ids", "payload"])
-
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
-            for low in range(0, len(texts), 500):
-                for key, run in zip(ids[low : low + 500], code.encode(texts[low : low + 500])):
-                    keys.append(key)
-                    runs.append(run + end)
-                    size += len(runs[-1]) // 4
-                    if size >= SEGMENT:
-                        yield segment()
-                        keys, runs, size, seq = [], [], 0, seq + 1
-        if keys:
-            yield segment()
+            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            for low, high in pieces(texts):
+                ids, lengths = code.encode(texts.slice(low, high - low))
+                stops = np.cumsum(lengths)
+                ids, lengths = np.insert(ids, stops, end_id), lengths + 1
+                stops = np.cumsum(lengths)
+                a = 0
+                while a < high - low:  # at least one document, then as many as SEGMENT holds
+                    before = int(stops[a - 1]) if a else 0
+                    b = max(a + 1, int(np.searchsorted(stops, before + SEGMENT, side="right")))
+                    yield segment(part, seq, keys[low + a : low + b], lengths[a:b], ids[before : stops[b - 1]])
+                    a, seq = b, seq + 1
 
     by_batch(ordered, work, "part int, seq int, n_docs long, n_ids long, payload binary").write.parquet(path)
     return path
