@@ -43,7 +43,7 @@ def by_batch(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column's strings; null becomes the empty text."""
-    return [t or "" for t in batch.column(name).to_pylist()]
+    return [t or "" for t in batch.column(name).to_numpy(zero_copy_only=False).tolist()]
 
 
 def running_number(df: DataFrame, order: list[Column], name: str, tag: str) -> DataFrame:

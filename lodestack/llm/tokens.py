@@ -32,9 +32,9 @@ MAGIC = b"S8B1"
 #: Ids that a segment holds at most; a longer document has a segment of its own.
 SEGMENT = 1 << 20
 #: Bytes of text that are encoded together.
-PIECE = 6_000_000
-#: Chunks that an encoder remembers before it starts afresh.
-REMEMBERED = 600_000
+PIECE = 10_000_000
+#: Chunks and words that an encoder remembers before it starts afresh.
+REMEMBERED = 1_500_000
 SEPARATOR = "<|endoftext|>"
 #: One word of Latin letters and a run of up to three marks behind it, which are one pre-token (no apostrophe: it may
 #: start a contraction).
@@ -48,7 +48,7 @@ class Encoder:
     are the ids of its chunks in order. Texts with other white space beside a space are encoded as a whole. A new
     chunk of Latin words parted by single line breaks, each perhaps with a few marks behind it, has plain pre-tokens
     and goes straight to the library's model; all other new chunks are encoded together in one call, parted by the end marker. When too
-    many chunks are remembered, those met again since they were learned are kept.
+    much is remembered, only the chunks of the texts at hand are kept.
     """
 
     def __init__(self, path: str):
@@ -63,17 +63,19 @@ class Encoder:
         self.letters = {i: spelt(chr(i))[-1] for i in range(0xC0)} | {i: spelt(bytes([i, 0x80]).decode())[0] for i in range(0xC2, 0xE0)}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
-        self.again: set[str] = set()
+        self.words: dict[str, bytes] = {}
         self.irregular: set[str] = {""}
         self.known_marks: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
+    def spelt(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.letters)
+
     def pretoken(self, text: str) -> bytes:
         """Ids of one pre-token."""
-        spelt = text.replace(" ", self.letters[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(self.spelt(text))]).tobytes()
 
     def marks(self, run: str) -> bytes:
         if run not in self.known_marks:
@@ -82,7 +84,7 @@ class Encoder:
 
     def learn(self, known: dict[str, bytes], chunks: Iterable[str], lead: str) -> None:
         rest = []
-        words: dict[str, bytes] = {}
+        words = self.words
 
         def latin(text: str, lead: str) -> bytes | None:
             if not (m := LATIN(text)):
@@ -92,9 +94,16 @@ class Encoder:
                 words[word] = self.pretoken(word)
             return words[word] + self.marks(m[2])
 
+        model, space, marks = self.model.tokenize, self.letters[32], self.known_marks
         for c in chunks:
-            head, *lines = c.split("\n")
-            pieces = [latin(head, lead), *(latin(x, "") for x in lines)]
+            if (m := LATIN(c)) and m[2] in marks:  # by far the most common kind
+                word = m[1]
+                if (run := words.get(lead + word)) is None:
+                    spelt = (space + word if lead else word) if word.isascii() else self.spelt(lead + word)
+                    run = words[lead + word] = array("I", [t.id for t in model(spelt)]).tobytes()
+                known[c] = run + marks[m[2]]
+                continue
+            pieces = [latin(x, lead if k == 0 else "") for k, x in enumerate(c.split("\n"))]
             if None not in pieces:
                 known[c] = self.marks("\n").join(pieces)
             elif SEPARATOR in c:
@@ -116,33 +125,32 @@ class Encoder:
         if self.mark is None or not len(texts):
             runs = [self.whole(t) for t in texts.to_pylist()]
             return np.frombuffer(b"".join(runs), dtype="<u4"), np.array([len(r) // 4 for r in runs], dtype=np.int64)
-        if len(self.later) + len(self.first) > REMEMBERED:
-            self.later = {c: self.later[c] for c in self.again}
-            self.first, self.again, self.irregular = {}, set(), {c for c in self.irregular if c in self.later} | {""}
         split = pc.split_pattern(texts, " ")
         bounds = split.offsets.to_numpy().astype(np.int64)
         numbered = split.flatten().dictionary_encode()
         bounds -= bounds[0]
-        codes, different = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
-        fresh = [c for c in different if c not in self.later]
-        self.again.update(set(different).difference(fresh))
-        self.learn(self.later, fresh, " ")
+        codes, different = numbered.indices.to_numpy().copy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.later) + len(self.words) > REMEMBERED:
+            self.later = {c: self.later[c] for c in different if c in self.later}
+            self.first, self.words, self.irregular = {}, {}, {c for c in self.irregular if c in self.later} | {""}
+        self.learn(self.later, [c for c in different if c not in self.later], " ")
         heads = [different[k] for k in codes[bounds[:-1]].tolist()]
         self.learn(self.first, {c for c in heads if c not in self.first}, "")
-        odd = np.fromiter((c in self.irregular for c in different), dtype=bool, count=len(different))
+        odd = pc.is_in(numbered.dictionary, value_set=pa.array(list(self.irregular), numbered.dictionary.type)).to_numpy(zero_copy_only=False)
         alone = np.diff(bounds) == 1
         mended = np.flatnonzero((np.add.reduceat(odd[codes], bounds[:-1], dtype=np.int64) > 0) & ~alone)
-        runs = [self.later[c] for c in different] + [self.first[c] for c in heads] + [b""]
+        runs = [*map(self.later.__getitem__, different), *map(self.first.__getitem__, heads), b""]
         for k in mended.tolist():
             runs[len(different) + k] = self.whole(texts[k].as_py())
             codes[bounds[k] : bounds[k + 1]] = len(runs) - 1
         codes[bounds[:-1]] = len(different) + np.arange(len(heads))
+        # a piece has fewer than 2**31 ids, so places fit 32 bits
         flat = np.frombuffer(b"".join(runs), dtype="<u4")
-        size = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs)) // 4
-        place = np.cumsum(size) - size
+        size = np.fromiter(map(len, runs), dtype=np.int32, count=len(runs)) // 4
+        place = np.cumsum(size, dtype=np.int32) - size
         size, place = size[codes], place[codes]
-        ends = np.cumsum(size)
-        return flat[np.repeat(place - ends + size, size) + np.arange(ends[-1])], np.add.reduceat(size, bounds[:-1])
+        ends = np.cumsum(size, dtype=np.int32)
+        return flat[np.repeat(place - ends + size, size) + np.arange(ends[-1], dtype=np.int32)], np.add.reduceat(size, bounds[:-1], dtype=np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
