@@ -7,8 +7,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -37,8 +39,30 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def by_batch(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
+_stage: int | None = None
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """A worker process's own object, kept between the tasks of one stage and let go when another stage begins."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def _enter_stage() -> None:
+    global _stage
+    if (now := TaskContext.get().stageId()) != _stage:
+        _kept.clear()
+        _stage = now
+
+
+def by_batch(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    def of_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _enter_stage()
+        yield from work(batches)
+
+    return df.mapInArrow(of_stage, schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

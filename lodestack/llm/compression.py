@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import by_batch, texts_of
 
 LEVEL = 3
 #: Bytes from which a band holds; lowest and highest ratio (bytes / compressed bytes) that prose of that length has.
@@ -90,4 +90,4 @@ def quality_rules(docs: DataFrame) -> DataFrame:
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, COLUMNS)
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, COLUMNS)

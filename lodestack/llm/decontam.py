@@ -239,4 +239,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
         for batch in batches:
             yield batch.filter(pa.array(scan(texts_of(batch, text_col), sent)[1] == 0))
 
-    return docs.mapInArrow(work, docs.schema)
+    return by_batch(docs, work, docs.schema)

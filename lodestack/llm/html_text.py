@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import by_batch, texts_of
 from .mincut import cut
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
@@ -229,4 +229,4 @@ def extract(pages: DataFrame) -> DataFrame:
             text = [main_text(h) for h in texts_of(batch, "html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(work, "page_id long, url string, text string, n_chars long")
+    return by_batch(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), work, "page_id long, url string, text string, n_chars long")

@@ -347,7 +347,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = staged(line_texts(chosen, wanted), "texts")
     root = components(verified(pairs, texts).unionByName(crowded_links(members, texts, block)))
     classed = lines.join(root.withColumnRenamed("node", "line_id"), "line_id", "left").select("doc_id", "line_no", F.coalesce("root", "line_id").alias("class"))
-    first = classed.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("f"))
+    # a table of its own, so that the join can split the rows of a hot class
+    first = staged(classed.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("f")), "classes")
     return classed.join(first, "class").select("doc_id", "line_no", F.col("f.doc_id").alias("class_doc"), F.col("f.line_no").alias("class_line"))
 
 

@@ -64,7 +64,8 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: int = 17) -> DataFr
     null source is a source of its own. An empty table gives no rows. Reruns agree.
     """
     w = quality_weight(F.col("text")) if weight is None else weight
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), (-F.log(u) / w).alias("key"))
     base = staged(base, "sized")
     slices = max(64, base.count() // SLICE)

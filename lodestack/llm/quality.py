@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import by_batch, texts_of
 from .labelled import SAMPLE, sample
 
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
@@ -97,4 +97,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             value = pa.array([sent.value.score(t) for t in texts_of(batch)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), value], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, score double")
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, score double")

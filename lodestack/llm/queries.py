@@ -83,6 +83,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_mix_sources": r"""
+WITH b AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+ -ln((CAST('0x' || substr(md5('17:' || doc_id), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) / coalesce(greatest(length(translate(text, '#*$%&|<>', ''))::DOUBLE / nullif(length(text), 0), 0.05::DOUBLE), 1.0::DOUBLE) AS key FROM documents),
+s AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM b GROUP BY source)),
+r AS (SELECT *, 3.0::DOUBLE * source_size / w AS ratio FROM s),
+k AS (SELECT ratio, sum(3 * source_size) OVER p AS capped, sum(w) OVER () - sum(w) OVER p AS open, lead(ratio) OVER (ORDER BY ratio, source) AS next FROM r WINDOW p AS (ORDER BY ratio, source ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT sum(source_size) AS total, sum(w) AS weight, min(ratio) AS low FROM r),
+l AS (SELECT CASE WHEN total::DOUBLE / weight <= low THEN total::DOUBLE / weight ELSE (SELECT (total - capped)::DOUBLE / open FROM k WHERE open > 0 AND (total - capped)::DOUBLE / open <= next ORDER BY ratio LIMIT 1) END AS share FROM t),
+g AS (SELECT source, source_size, least(w * share, 3.0::DOUBLE * source_size) AS target FROM r, l),
+d AS (SELECT doc_id, size, source_size, target, floor(target / nullif(source_size, 0)) AS epochs, coalesce(sum(size) OVER (PARTITION BY b.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM b JOIN g ON b.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(size * (coalesce(epochs, 0) + CASE WHEN ahead + size / 2.0::DOUBLE <= target - coalesce(epochs, 0) * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM d""",
     "op1_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, w, least(len(w), 10) AS m FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),

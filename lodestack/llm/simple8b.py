@@ -21,6 +21,8 @@ BITS = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
+    if not len(ids) or ids.max() < 1 << 16:
+        return BITS[ids]
     return np.where(ids < 1 << 16, BITS[ids & 0xFFFF], 16 + BITS[ids >> 16]).astype(np.uint8)
 
 
@@ -41,10 +43,10 @@ def _choose(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             step = min(have, count - have)
             np.maximum(widest[:-step], widest[step:], out=widest[:-step])
             have += step
-        fitting += (widest[:n] <= WIDTH[s]) & (room >= count)
+        fitting += ((widest[:n] <= int(WIDTH[s])) & (room >= count)).view(np.uint8)
     select = np.uint8(len(COUNT) - 1) - fitting
     select[bits[:n] > 30] = ESCAPE
-    jump = np.append(COUNT, [1, 1])[select]
+    jump = np.append(COUNT, [1, 1]).astype(np.uint8)[select]
     at = np.arange(0, n, BLOCK)
     end = np.minimum(at + BLOCK, n)
     marked = np.zeros(n, dtype=bool)
@@ -67,7 +69,8 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first, count, width = starts[at], *((1, 60) if s == ESCAPE else (int(COUNT[s]), int(WIDTH[s])))
         word = np.full(len(at), s << 60, dtype=np.uint64)
         for j in range(count):
-            word |= ids[first + j].astype(np.uint64) << np.uint64(j * width)
+            word |= ids[first].astype(np.uint64) << np.uint64(j * width)
+            first = first + 1
         words[at] = word
     return words, np.searchsorted(starts, np.arange(0, len(ids), BLOCK)).astype(np.uint32)
 

@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import simple8b
-from .common import by_batch, scratch, staged
+from .common import by_batch, kept, scratch, staged
 
 MAGIC = b"S8B1"
 #: Ids that a segment holds at most; a longer document has a segment of its own.
 SEGMENT = 1 << 20
 #: Bytes of text that are encoded together.
-PIECE = 10_000_000
+PIECE = 8_000_000
 #: Chunks and words that an encoder remembers before it starts afresh.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 SEPARATOR = "<|endoftext|>"
 #: One word of Latin letters and a run of up to three marks behind it, which are one pre-token (no apostrophe: it may
 #: start a contraction).
@@ -153,14 +153,9 @@ class Encoder:
         return flat[np.repeat(place - ends + size, size) + np.arange(ends[-1], dtype=np.int32)], np.add.reduceat(size, bounds[:-1], dtype=np.int64)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder for each worker process, kept between the tasks of a stage."""
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def pieces(texts: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int]]:
