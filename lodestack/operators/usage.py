@@ -1,13 +1,15 @@
 """Stateful rules over usage events: repeats, rate limits, duplicate reports.
 
-Each rule's anchor is the last *accepted* event, so lag() cannot express it. A key's events are folded in order;
-the fold's state is small, and events of one key are those of one person in one log.
+Each rule's anchor is the last *accepted* event, so lag() cannot express it: a person's events are folded in order.
+Where a pause is as long as the rule's window, nothing before it matters, so events are first cut into bursts by a window
+that sorts and spills; only one burst is ever held as an array.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 REPEAT_SECONDS = 10
 MIN_QUERY, MAX_QUERY = 3, 200
@@ -21,8 +23,13 @@ def logged_text(query: Column) -> Column:
     return F.substring(F.trim(query), 1, MAX_QUERY)
 
 
-def _ordered(events: DataFrame, user: str, time: str, *others: str) -> DataFrame:
-    return events.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), *[F.col(o).alias(a) for o, a in zip(others, ("id", "key"))]))).alias("_e"))
+def _bursts(events: DataFrame, user: str, time: str, seconds: float, *others: str) -> DataFrame:
+    """(user, _burst, _e): each burst's events in order, as structs (t, id, key)."""
+    w = Window.partitionBy(user).orderBy(time, others[0])
+    pause = F.coalesce(F.col(time) - F.lag(time).over(w) >= seconds, F.lit(True))
+    cut = events.withColumn("_pause", pause.cast("int")).withColumn("_burst", F.sum("_pause").over(w))
+    event = F.struct(F.col(time).alias("t"), *[F.col(o).alias(a) for o, a in zip(others, ("id", "key"))])
+    return cut.groupBy(user, "_burst").agg(F.array_sort(F.collect_list(event)).alias("_e"))
 
 
 def dedupe(events: DataFrame, user: str, time: str, event_id: str, key: str, seconds: float = REPEAT_SECONDS) -> DataFrame:
@@ -35,7 +42,7 @@ def dedupe(events: DataFrame, user: str, time: str, event_id: str, key: str, sec
         return F.when(repeat, s).otherwise(F.struct(e["t"].alias("t"), e["key"].alias("key"), F.concat(s["kept"], F.array(e["id"])).alias("kept")))
 
     seen = events.select(user, F.col(time).cast("double").alias(time), F.col(event_id).cast("bigint").alias(event_id), F.col(key).cast("string").alias(key))
-    folded = _ordered(seen, user, time, event_id, key).select(user, F.aggregate(F.col("_e").cast(f"array<{item}>"), state, step, lambda s: s["kept"]).alias("kept"))
+    folded = _bursts(seen, user, time, seconds, event_id, key).select(user, F.aggregate(F.col("_e").cast(f"array<{item}>"), state, step, lambda s: s["kept"]).alias("kept"))
     return folded.select(user, F.explode("kept").alias(event_id))
 
 
@@ -51,7 +58,7 @@ def rate_limited(events: DataFrame, user: str, time: str, event_id: str, limit:
         return F.when(F.size(recent) < limit, allowed).otherwise(F.struct(recent.alias("recent"), s["kept"].alias("kept")))
 
     seen = events.select(user, F.col(time).cast("double").alias(time), F.col(event_id).cast("bigint").alias(event_id))
-    folded = _ordered(seen, user, time, event_id).select(user, F.aggregate(F.col("_e").cast(f"array<{item}>"), state, step, lambda s: s["kept"]).alias("kept"))
+    folded = _bursts(seen, user, time, seconds, event_id).select(user, F.aggregate(F.col("_e").cast(f"array<{item}>"), state, step, lambda s: s["kept"]).alias("kept"))
     return folded.select(user, F.explode("kept").alias(event_id))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import rules
 
 CASES = [
-    ("/oop/Sem 1 21-22 (R)/Midsem", "Midsem 2021-22.pdf", "pyq", "midsem", None, 2021),
+    ("/oop/Sem 1 21-22 (R)/Midsem", "Midsem 21-22.pdf", "pyq", "midsem", None, 2021),
     ("/oop/Sem 1 21-22/Quiz", "Quiz 2 soln.pdf", "solution", "quiz", 2, 2021),
     ("/oop/Notes", "Handout.pdf", "handout", "none", None, None),
     ("/oop/Labs", "sheet.pdf", "lab", "none", None, None),
