@@ -30,6 +30,8 @@ LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 LOW = 0x5555555555555555
 #: Different fingerprints that one block of a cell should hold.
 BLOCK = 2000
+#: Fingerprints of a cell that are compared pair by pair; beyond it a spanning forest is grown.
+FEW = 16
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -123,11 +125,17 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
             groups = batch.column("fps")
             values = groups.flatten().to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(np.diff(groups.offsets.to_numpy()))])
-            two = np.flatnonzero(np.diff(ends) == 2)
-            a, b = values[ends[two]], values[ends[two] + 1]
-            near = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= distance
-            found = [np.stack([a[near], b[near]], axis=1)]
-            for k in np.flatnonzero(np.diff(ends) > 2).tolist():
+            size = np.diff(ends)
+            found = [np.zeros((0, 2), dtype=np.int64)]
+            # few to a cell: the pairs at each offset of all such cells at once
+            after = np.where(np.repeat(size, size) <= FEW, np.repeat(ends[1:], size) - np.arange(len(values)), 0)
+            for k in range(1, FEW):
+                a = np.flatnonzero(after > k)
+                if not len(a):
+                    break
+                near = a[np.bitwise_count(values[a].view(np.uint64) ^ values[a + k].view(np.uint64)) <= distance]
+                found.append(np.stack([values[near], values[near + k]], axis=1))
+            for k in np.flatnonzero(size > FEW).tolist():
                 own = values[ends[k] : ends[k + 1]]
                 if pairs := forest(own, distance):
                     found.append(own[np.array(pairs)])

@@ -75,9 +75,12 @@ def test_links_connect_all_that_brute_force_connects(spark, monkeypatch):
     fps = sorted(fps)
     monkeypatch.setattr(simhash, "BLOCK", 4)  # every cell with more is dealt in block pairs
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    want = slow_components(fps, lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 3)
-    got = {r["node"]: r["root"] for r in graph.components(simhash.links(df)).collect()}
-    assert got == {k: v for k, v in want.items() if list(want.values()).count(v) > 1}
+    for distance in (3, 5):
+        want = slow_components(fps, lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= distance)
+        for few in (2, 16):
+            monkeypatch.setattr(simhash, "FEW", few)
+            got = {r["node"]: r["root"] for r in graph.components(simhash.links(df, distance)).collect()}
+            assert got == {k: v for k, v in want.items() if list(want.values()).count(v) > 1}
 
 
 def test_near_duplicates_of_odd_rows(docs_of):
