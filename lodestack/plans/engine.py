@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import stacks, upsert
-from ..operators.catalog import Catalog, Result
+from ..operators.catalog import MOST_ALIASES, Catalog, Result
 from ..operators.facets import Filters
 from .chat import Form, Parsed, parse
 from .planner import Plan, Planner
@@ -82,7 +82,9 @@ def sync(spark: SparkSession, root: str, files: DataFrame, source_id: int, seen_
 def extract(spark: SparkSession, root: str, at: str) -> int:
     """Rules over all indexable files into documents, keeping what a person reviewed; returns the number of documents."""
     aliases = upsert.current(spark, root, "course_aliases")
-    known = aliases.agg(F.map_from_entries(F.collect_list(F.struct("alias_norm", "course_id"))).alias("m"))  # nicknames of courses: small
+    if aliases.limit(MOST_ALIASES + 1).count() > MOST_ALIASES:
+        raise ValueError(f"more than {MOST_ALIASES} nicknames of courses")
+    known = aliases.agg(F.map_from_entries(F.collect_list(F.struct("alias_norm", "course_id"))).alias("m"))
     files = upsert.current(spark, root, "raw_files").where("is_indexable").join(F.broadcast(known))
     read = rules.extract(files, F.col("m"))
     new = read.select(

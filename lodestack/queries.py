@@ -649,12 +649,12 @@ def s6(spark, sf):
     return table(spark, sf, "pages").select("page_id", listing.item_kind(mime, target).alias("kind"))
 
 
-@query("s3_tree_walk", "WITH RECURSIVE e AS (SELECT CAST(p_partkey // 3 AS VARCHAR) AS parent, CAST(p_partkey AS VARCHAR) AS child FROM part WHERE p_partkey BETWEEN 1 AND 400), w AS (SELECT '0' AS folder, '' AS path, 0 AS depth UNION ALL SELECT child, path || '/n' || child, depth + 1 FROM w JOIN e ON parent = folder) SELECT folder, path, CAST(depth AS BIGINT) AS depth FROM w")
+@query("s3_tree_walk", "WITH RECURSIVE e AS (SELECT CAST(p_partkey // 3 AS VARCHAR) AS parent, CAST(p_partkey AS VARCHAR) AS child FROM part WHERE p_partkey > 0), w AS (SELECT '0' AS folder, '' AS path, 0 AS depth UNION ALL SELECT child, path || '/n' || child, depth + 1 FROM w JOIN e ON parent = folder) SELECT folder, path, CAST(depth AS BIGINT) AS depth FROM w")
 def s3(spark, sf):
-    part = table(spark, sf, "part").where("p_partkey between 1 and 400")
+    part = table(spark, sf, "part").where("p_partkey > 0")
     edges = part.select(F.floor(F.col("p_partkey") / 3).cast("string").alias("parent"), F.col("p_partkey").cast("string").alias("child"), F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("name"))
     cycle = spark.createDataFrame([("300", "1", "back")], "parent string, child string, name string")
-    return tree.walk(edges.unionByName(cycle), "0").select("folder", "path", F.col("depth").cast("long").alias("depth"))
+    return tree.walk(edges.unionByName(cycle), "0", most_folders=10_000_000).select("folder", "path", F.col("depth").cast("long").alias("depth"))
 
 
 @query("f8_semester_folder", f"WITH {RULE_SQL} SELECT doc_id, CASE sem WHEN 'Sem 1 21-22 (CS_24 - A. Rao)' THEN '1|2021|A. Rao' WHEN '22-23 Sem 2' THEN '2|2022|' WHEN '23-24 SEM 1 (Joshi)' THEN '1|2023|Joshi' END AS s FROM r")
@@ -897,10 +897,10 @@ def w15(spark, sf):
     return usage.retained(e, F.lit(cutoff)).select("event_id")
 
 
-@query("l6_review_order", f"WITH {VIEW_SQL} SELECT doc_id, row_number() OVER (ORDER BY confidence NULLS FIRST, path, name, doc_id) AS place FROM dv WHERE doc_id % 4 = 0 ORDER BY place LIMIT 50")
+@query("l6_review_order", f"WITH {VIEW_SQL} SELECT doc_id, row_number() OVER (PARTITION BY instructor ORDER BY confidence NULLS FIRST, path, name, doc_id) AS place FROM dv")
 def l6(spark, sf):
-    items = document_view(spark, sf).where("doc_id % 4 = 0").orderBy(F.col("confidence").asc_nulls_first(), "path", "name", "doc_id").limit(50)
-    return items.select("doc_id", F.row_number().over(Window.orderBy(F.col("confidence").asc_nulls_first(), "path", "name", "doc_id")).cast("long").alias("place"))
+    order = Window.partitionBy("instructor").orderBy(F.col("confidence").asc_nulls_first(), "path", "name", "doc_id")
+    return document_view(spark, sf).select("doc_id", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("l9_batches", "SELECT item_id, CAST((row_number() OVER (ORDER BY item_id) - 1) // 15 AS BIGINT) AS batch FROM benchmark")
@@ -981,9 +981,10 @@ def w14(spark, sf):
     return usage.new_reports(e, known).select("id", "document_id", "type")
 
 
-@query("st1_loggable", "SELECT event_id, length(trim(event_type)) >= 5 AS ok FROM (SELECT event_id, left(event_type, 5) AS event_type FROM events)")
+@query("st1_loggable", "SELECT event_id, length(trim(left(event_type, CAST(user_id % 5 AS INT)))) >= 3 OR value > 50 AS ok, left(trim(event_type), 200) AS query FROM events")
 def st1_loggable(spark, sf):
-    return table(spark, sf, "events").select("event_id", (F.length(F.trim(F.substring("event_type", 1, 5))) >= 5).alias("ok"))
+    typed = F.substring(F.col("event_type"), F.lit(1), (F.col("user_id") % 5).cast("int"))
+    return table(spark, sf, "events").select("event_id", usage.loggable(typed, F.col("value") > 50).alias("ok"), usage.logged_text(F.col("event_type")).alias("query"))
 
 
 # --- messages ----------------------------------------------------------------------------------------------------

@@ -71,7 +71,7 @@ def test_semester_folders(spark):
 
 def test_parse_path(spark):
     aliases = F.create_map(F.lit("oop"), F.lit(7))
-    got = values(spark, lambda x: paths.parse_path(x, aliases), ["/2-1 CDCs/O.O.P/Sem 1 21-22 (X)/Mid/Sem 2 22-23", "/OOP/Notes", "/zzz/a", "", None])
+    got = values(spark, lambda x: paths.parse_path(x, aliases), ["/Group 1/O.O.P/Sem 1 21-22 (X)/Mid/Sem 2 22-23", "/OOP/Notes", "/zzz/a", "", None])
     assert [(g["course"], g["year"], g["folders"]) for g in got] == [(7, 2021, ["Mid", "Sem 2 22-23"]), (7, None, ["Notes"]), (None, None, ["zzz", "a"]), (None, None, []), (None, None, [])]
 
 
