@@ -10,7 +10,6 @@ leave nothing behind. Each segment's payload is self-contained:
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -36,19 +35,24 @@ PIECE = 8_000_000
 #: Chunks and words that an encoder remembers before it starts afresh.
 REMEMBERED = 1_000_000
 SEPARATOR = "<|endoftext|>"
-#: One word of Latin letters and a run of up to three marks behind it, which are one pre-token (no apostrophe: it may
-#: start a contraction).
-LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]{0,3})").fullmatch
+#: A word of Latin letters, perhaps behind a line break, and a run of up to three marks behind it, which are one
+#: pre-token (no apostrophe: it may start a contraction).
+LATIN = r"^(?P<word>\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]{0,3})$"
 
 
-class Encoder:
-    """Whole texts to ids with the tokenizers library, remembering what each space-led chunk became.
+def listed(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
 
-    Byte-level pre-tokenisation always cuts before a space that stands between two non-spaces, so the ids of a text
-    are the ids of its chunks in order. Texts with other white space beside a space are encoded as a whole. A new
-    chunk of Latin words parted by single line breaks, each perhaps with a few marks behind it, has plain pre-tokens
-    and goes straight to the library's model; all other new chunks are encoded together in one call, parted by the end marker. When too
-    much is remembered, only the chunks of the texts at hand are kept.
+class Encoder:
+    """Whole texts to ids with the tokenizers library; each different word is encoded once and remembered.
+
+    Byte-level pre-tokenisation always cuts before a space, and around a line break, that stands between two
+    non-spaces, so the ids of a text are the ids of its chunks in order: a chunk begins at such a space (which it leads
+    with) or line break. Most chunks are one Latin word with a few marks behind it; Arrow tells them apart, and word
+    and marks are looked up alone. Other chunks are encoded together in one call, parted by the end marker. Texts with
+    other white space beside a space or line break are encoded as a whole. When too much is remembered, only what the
+    texts at hand hold is kept.
     """
 
     def __init__(self, path: str):
@@ -62,95 +66,89 @@ class Encoder:
         # the letter that the library's byte level writes for each byte of Latin UTF-8: ASCII, continuation, lead
         self.letters = {i: spelt(chr(i))[-1] for i in range(0xC0)} | {i: spelt(bytes([i, 0x80]).decode())[0] for i in range(0xC2, 0xE0)}
         self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.irregular: set[str] = {""}
-        self.known_marks: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
-    def spelt(self, text: str) -> str:
-        return text.encode().decode("latin-1").translate(self.letters)
-
-    def pretoken(self, text: str) -> bytes:
-        """Ids of one pre-token."""
-        return array("I", [t.id for t in self.model.tokenize(self.spelt(text))]).tobytes()
-
-    def marks(self, run: str) -> bytes:
-        if run not in self.known_marks:
-            self.known_marks[run] = self.whole(run)
-        return self.known_marks[run]
-
-    def learn(self, known: dict[str, bytes], chunks: Iterable[str], lead: str) -> None:
-        rest = []
-        words = self.words
-
-        def latin(text: str, lead: str) -> bytes | None:
-            if not (m := LATIN(text)):
-                return None
-            word = lead + m[1]
-            if word not in words:
-                words[word] = self.pretoken(word)
-            return words[word] + self.marks(m[2])
-
-        model, space, marks = self.model.tokenize, self.letters[32], self.known_marks
-        for c in chunks:
-            if (m := LATIN(c)) and m[2] in marks:  # by far the most common kind
-                word = m[1]
-                if (run := words.get(lead + word)) is None:
-                    spelt = (space + word if lead else word) if word.isascii() else self.spelt(lead + word)
-                    run = words[lead + word] = array("I", [t.id for t in model(spelt)]).tobytes()
-                known[c] = run + marks[m[2]]
-                continue
-            pieces = [latin(x, lead if k == 0 else "") for k, x in enumerate(c.split("\n"))]
-            if None not in pieces:
-                known[c] = self.marks("\n").join(pieces)
-            elif SEPARATOR in c:
-                known[c] = self.whole(lead + c)
+    def learn_words(self, words: list[str]) -> None:
+        """Latin words, each led by a space or a line break in its text."""
+        model, space, known, lead = self.model.tokenize, self.letters[32], self.words, self.whole("\n")
+        for w in words:
+            if w[0] == "\n":
+                spelt = w[1:] if w.isascii() else w[1:].encode().decode("latin-1").translate(self.letters)
+                known[w] = lead + array("I", [t.id for t in model(spelt)]).tobytes()
             else:
-                rest.append(c)
-                if c and (c[0].isspace() or c[-1].isspace()):
-                    self.irregular.add(c)
-        if rest:
-            ids = self.whole("".join(f"{lead}{c}{SEPARATOR}" for c in rest))
+                spelt = space + (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters))
+                known[w] = array("I", [t.id for t in model(spelt)]).tobytes()
+
+    def learn_others(self, chunks: list[str]) -> None:
+        led = [c if c[:1] == "\n" else f" {c}" for c in chunks]
+        plain = [k for k, c in enumerate(chunks) if SEPARATOR not in c]
+        self.others.update((c, self.whole(t)) for c, t in zip(chunks, led) if SEPARATOR in c)
+        self.irregular.update(c for c in chunks if c and (c[-1].isspace() or c[0].isspace() and (c[0] != "\n" or c[1:2].isspace())))
+        if plain:
+            ids = self.whole("".join(f"{led[k]}{SEPARATOR}" for k in plain))
             at = 0
-            for c, cut in zip(rest, np.flatnonzero(np.frombuffer(ids, dtype="<u4") == self.mark).tolist(), strict=True):
-                known[c] = ids[4 * at : 4 * cut]
+            for k, cut in zip(plain, np.flatnonzero(np.frombuffer(ids, dtype="<u4") == self.mark).tolist(), strict=True):
+                self.others[chunks[k]] = ids[4 * at : 4 * cut]
                 at = cut + 1
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each). Arrow splits and numbers the chunks; each different one is looked
-        up once, and the ids of all occurrences are gathered by position."""
+        """(ids of all texts, number of ids of each). Arrow splits the texts and numbers chunks, words and marks; each
+        different one is looked up once, and the ids of all occurrences are gathered by position."""
         if self.mark is None or not len(texts):
             runs = [self.whole(t) for t in texts.to_pylist()]
             return np.frombuffer(b"".join(runs), dtype="<u4"), np.array([len(r) // 4 for r in runs], dtype=np.int64)
-        split = pc.split_pattern(texts, " ")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         bounds = split.offsets.to_numpy().astype(np.int64)
         numbered = split.flatten().dictionary_encode()
         bounds -= bounds[0]
-        codes, different = numbered.indices.to_numpy().copy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.later) + len(self.words) > REMEMBERED:
-            self.later = {c: self.later[c] for c in different if c in self.later}
-            self.first, self.words, self.irregular = {}, {}, {c for c in self.irregular if c in self.later} | {""}
-        self.learn(self.later, [c for c in different if c not in self.later], " ")
-        heads = [different[k] for k in codes[bounds[:-1]].tolist()]
-        self.learn(self.first, {c for c in heads if c not in self.first}, "")
-        odd = pc.is_in(numbered.dictionary, value_set=pa.array(list(self.irregular), numbered.dictionary.type)).to_numpy(zero_copy_only=False)
-        alone = np.diff(bounds) == 1
-        mended = np.flatnonzero((np.add.reduceat(odd[codes], bounds[:-1], dtype=np.int64) > 0) & ~alone)
-        runs = [*map(self.later.__getitem__, different), *map(self.first.__getitem__, heads), b""]
+        codes, chunks = numbered.indices.to_numpy(), numbered.dictionary
+        parts = pc.extract_regex(chunks, LATIN)
+        latin = parts.is_valid().to_numpy(zero_copy_only=False)
+        words, marks = (parts.field(k).filter(parts.is_valid()).dictionary_encode() for k in ("word", "marks"))
+        different = listed(words.dictionary)
+        if len(self.words) + len(self.others) > REMEMBERED:
+            self.words = {w: self.words[w] for w in different if w in self.words}
+            self.first, self.others, self.irregular = {}, {}, {""}
+        self.learn_words([w for w in different if w not in self.words])
+        for m in listed(marks.dictionary):
+            if m not in self.marks:
+                self.marks[m] = self.whole(m)
+        rest = listed(chunks.filter(parts.is_null()))
+        self.learn_others([c for c in rest if c not in self.others])
+        heads = listed(chunks.take(pa.array(codes[bounds[:-1]])))
+        for c in heads:
+            if c not in self.first:
+                self.first[c] = self.whole(c)
+        # runs of ids: words, marks, other chunks, first chunks, mended texts; a chunk is two of them, one may be empty
+        runs = [*map(self.words.__getitem__, different), *map(self.marks.__getitem__, listed(marks.dictionary)), *map(self.others.__getitem__, rest)]
+        head_at = len(runs)
+        runs += [*map(self.first.__getitem__, heads), b""]
+        none = len(runs) - 1
+        one, two = np.empty(len(chunks), dtype=np.int32), np.full(len(chunks), none, dtype=np.int32)
+        one[latin], two[latin] = words.indices.to_numpy(), len(different) + marks.indices.to_numpy()
+        one[~latin] = len(different) + len(marks.dictionary) + np.arange(len(rest))
+        pair = np.stack([one[codes], two[codes]], axis=1)
+        odd = np.zeros(len(chunks), dtype=bool)
+        odd[~latin] = [c in self.irregular for c in rest]
+        mended = np.flatnonzero((np.add.reduceat(odd[codes], bounds[:-1], dtype=np.int64) > 0) & (np.diff(bounds) > 1))
         for k in mended.tolist():
-            runs[len(different) + k] = self.whole(texts[k].as_py())
-            codes[bounds[k] : bounds[k + 1]] = len(runs) - 1
-        codes[bounds[:-1]] = len(different) + np.arange(len(heads))
+            runs[head_at + k] = self.whole(texts[k].as_py())
+            pair[bounds[k] : bounds[k + 1]] = none
+        pair[bounds[:-1], 0], pair[bounds[:-1], 1] = head_at + np.arange(len(heads)), none
         # a piece has fewer than 2**31 ids, so places fit 32 bits
         flat = np.frombuffer(b"".join(runs), dtype="<u4")
         size = np.fromiter(map(len, runs), dtype=np.int32, count=len(runs)) // 4
         place = np.cumsum(size, dtype=np.int32) - size
-        size, place = size[codes], place[codes]
+        pair = pair.ravel()
+        size, place = size[pair], place[pair]
         ends = np.cumsum(size, dtype=np.int32)
-        return flat[np.repeat(place - ends + size, size) + np.arange(ends[-1], dtype=np.int32)], np.add.reduceat(size, bounds[:-1], dtype=np.int64)
+        return flat[np.repeat(place - ends + size, size) + np.arange(ends[-1], dtype=np.int32)], np.add.reduceat(size, 2 * bounds[:-1], dtype=np.int64)
 
 
 def encoder(path: str) -> Encoder:
