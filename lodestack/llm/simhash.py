@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fp")
     found = components(links(first.select("fp"), distance))
     grouped = first.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    lowest = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # a table of its own, so that the join can split the fingerprints of a large group
+    lowest = staged(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")), "lowest")
     named = staged(grouped.join(lowest, "root").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
