@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.listing import FOLDER_MIME, SHORTCUT_MIME, file_extension, is_indexable
+from ..scratch import staged
 
 MOST_FOLDERS = 20_000
 ATTEMPTS, PAUSES = 5, (1, 2, 4, 8)
@@ -25,18 +26,18 @@ def walk(edges: DataFrame, root: str, most_folders: int = MOST_FOLDERS) -> DataF
     edges: parent, child, name. Folders met before are not entered again, so cycles end; of several ways to a folder
     the shallowest counts, then the smallest path. More than ``most_folders`` is an error.
     """
-    spark = edges.sparkSession
-    level = spark.createDataFrame([(root, "", 0)], "folder string, path string, depth int")
-    seen, found = level, level
+    level = edges.sparkSession.createDataFrame([(root, "", 0)], "folder string, path string, depth int")
+    seen, n = level, 1
     while True:
         below = edges.join(level, edges["parent"] == level["folder"]).select(F.col("child").alias("folder"), F.concat("path", F.lit("/"), "name").alias("path"), (F.col("depth") + 1).alias("depth"))
-        level = below.join(seen.select("folder"), "folder", "left_anti").groupBy("folder").agg(F.min("path").alias("path"), F.min("depth").alias("depth")).cache()
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
-        seen = seen.unionByName(level)
-        if seen.count() > most_folders:
+        fresh = below.join(seen.select("folder"), "folder", "left_anti").groupBy("folder").agg(F.min("path").alias("path"), F.min("depth").alias("depth"))
+        level = staged(fresh, "level")
+        if not (found := level.count()):
+            return seen
+        n += found
+        if n > most_folders:
             raise ValueError(f"more than {most_folders} folders")
+        seen = staged(seen.unionByName(level), "folders")
 
 
 def listed_files(items: DataFrame, folders: DataFrame) -> DataFrame:
