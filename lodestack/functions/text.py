@@ -55,6 +55,11 @@ def tokens(text: Column, stem: bool = True) -> Column:
     return F.coalesce(F.transform(runs, shaped), F.array().cast("array<string>"))
 
 
+def stemmed(words: Column) -> Column:
+    """tokens() with stem, from those without: the plural s of words of four letters or more goes (not ss)."""
+    return F.transform(words, lambda t: F.when(t.rlike("^[a-z]{2,}[a-rt-z]s$"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t))
+
+
 def tokenize(text: str, stem: bool = True) -> list[str]:
     """The same rules in Python, for one query text on the driver and for any script."""
     out = []

@@ -9,14 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import stemmed, tokens
+from ..scratch import staged
 
 K1, B = 1.5, 0.75
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores where a small file would keep the tokenizer on a few; larger tables stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, toks, dl)."""
-    toks = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("toks"))
+    toks = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))).select("doc_id", tokens(F.col("_text")).alias("toks"))
     return toks.withColumn("dl", F.size("toks"))
 
 
@@ -59,16 +66,22 @@ def weights(post: DataFrame, collection: DataFrame, k1: float = K1, b: float = B
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, doc_freq) of unstemmed words."""
-    words = docs.select(F.explode_outer(F.array_distinct(tokens(F.col(text_col), stem=False))).alias("word")).where(F.col("word").isNotNull())
+    words = spread(docs.select(F.col(text_col).alias("_text"))).select(F.explode_outer(F.array_distinct(tokens(F.col("_text"), stem=False))).alias("word")).where(F.col("word").isNotNull())
     return words.groupBy("word").agg(F.count("*").alias("doc_freq"))
 
 
 def write_index(docs: DataFrame, path: str, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Persist statistics, vocabulary, and weights partitioned by a hash of the term, so that a query's terms prune files."""
-    collection = stats(docs, id_col, text_col)
-    collection.write.mode("overwrite").parquet(f"{path}/stats")
-    vocabulary(docs, text_col).repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/vocabulary")
-    post = postings(docs, id_col, text_col)
+    """Persist statistics, vocabulary, and weights partitioned by a hash of the term, so that a query's terms prune files.
+
+    Texts are cut into words once; all three tables come from that. Rows of a slot stay together unless they are too many.
+    """
+    spark = docs.sparkSession
+    words = staged(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))).select("doc_id", tokens(F.col("_text"), stem=False).alias("words")), "words")
+    words.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.size("words")), F.lit(0.0)).alias("avg_dl")).write.mode("overwrite").parquet(f"{path}/stats")
+    vocab = words.select(F.explode_outer(F.array_distinct("words")).alias("word")).where("word is not null").groupBy("word").agg(F.count("*").alias("doc_freq"))
+    vocab.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/vocabulary")
+    terms = words.select("doc_id", F.size("words").alias("dl"), F.explode_outer(stemmed(F.col("words"))).alias("term")).where("term is not null")
+    post = staged(terms.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")), "postings")
     slot = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    made = weights(post, docs.sparkSession.read.parquet(f"{path}/stats")).withColumn("slot", slot)
-    made.repartition("slot", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("term").write.mode("overwrite").partitionBy("slot").parquet(f"{path}/weights")
+    made = weights(post, spark.read.parquet(f"{path}/stats")).withColumn("slot", slot)
+    made.hint("rebalance", "slot").sortWithinPartitions("slot", "term").write.mode("overwrite").partitionBy("slot").parquet(f"{path}/weights")
