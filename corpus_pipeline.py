@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import decontam, mixing, simhash, tokens, toxicity
+from lodestack.llm import decontam, jaccard, mixing, tokens, toxicity
 from lodestack.llm.common import scratch, table
 from lodestack.llm.queries import tokenizer_path
 
@@ -18,8 +18,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id stays; fingerprints link at NEAR bits."""
-    return simhash.keep_first(docs, distance=NEAR)
+    """Of each near-duplicate group the document with the smallest id stays; links share 80 % of five-word shingles."""
+    return jaccard.keep_first(docs)
 
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +37,6 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, tokens.write_tokens(docs, tokenizer_path()))
 
 
-#: Bits that near-duplicates may differ in here. One changed word in 200 moves three or four bits of a fingerprint of
-#: three-word shingles, so the three bits of the op6 query would miss about half of such copies.
-NEAR = 5
-
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", toxic_out),
     ("simhash_near_dedup", near_duplicates_out),

@@ -1,0 +1,227 @@
+"""Exact near-duplicates by Jaccard similarity of word shingles: a prefix-filtered set join.
+
+Two sets of similarity t or more share k elements of their prefixes, the first n - ceil(t n) + k of their n elements in
+any order that is the same for all sets (k = MEET, or ceil(t n) where that is less). So counting the prefix elements
+that two sets share misses no pair. The order is by hash, with shingles that a sample shows to be common at the end; it
+decides what is fast, never what is found.
+
+Documents are first linked to the smallest with which they share prefix elements, where the similarity holds; only
+pairs that this leaves in different components are then counted and compared one by one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import by_batch, staged, texts_of
+from .graph import components
+from .lines import sieve
+
+WORDS, LEAST = 5, Fraction(4, 5)
+#: Documents whose shingles are counted to find the common ones, and how many of these are kept.
+SAMPLE, COMMON = 20_000, 200_000
+#: Prefix elements that two similar sets share at least, if they have so many.
+MEET = 4
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingled(text: str) -> tuple[int, np.ndarray]:
+    """(name, sorted different hashes of word shingles) of a text, ASCII lower case; a short text is one shingle.
+
+    The name is 63 bits of a hash of the words; the lowest bit is free.
+    """
+    words = text.encode().lower().split()
+    name = (xxhash.xxh64_intdigest(b" ".join(words), 7) & ~1) - (1 << 63)
+    h = np.array([xxhash.xxh64_intdigest(w, 11) for w in words], dtype=np.uint64)
+    span = min(WORDS, len(h))
+    if not span:
+        return name, np.zeros(1, dtype=np.uint64)
+    out = np.zeros(len(h) - span + 1, dtype=np.uint64)
+    for i in range(span):
+        out = out * FACTOR + h[i : len(h) - span + 1 + i]
+    out ^= out >> np.uint64(32)
+    out *= FACTOR
+    return name, np.unique(out ^ out >> np.uint64(29))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the similarity of two sorted sets is LEAST at least."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared * LEAST.denominator >= LEAST.numerator * (len(a) + len(b) - shared)
+
+
+def prefix(own: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The set's elements of which a similar set must share MEET; ``common`` is sorted, ``place`` says how common."""
+    n = len(own)
+    least = -(-LEAST.numerator * n // LEAST.denominator)
+    size = n - least + min(MEET, least)
+    if not len(common):
+        return own[:size]
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    rank = np.where(common[at] == own, place[at], 0)
+    return own[np.lexsort((own, rank))[:size]]
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingles, counts) of those found most often, three times at least, in a sample of documents."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, dtype=np.uint64), *(shingled(t)[1] for t in texts_of(batch))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["key"])
+
+    counted = by_batch(docs.sample(share, 1).select("text"), work, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    rows = counted.orderBy(F.desc("n"), "key").limit(COMMON).collect()
+    keys = np.array([r["key"] for r in rows], dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r["n"] for r in rows], dtype=np.int64)[order]
+
+
+def prefix_table(docs: DataFrame) -> DataFrame:
+    """(key, node, n) of each prefix element; n is the size of the whole set."""
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, place = sent.value
+        for batch in batches:
+            texts = texts_of(batch)
+            for low in range(0, len(texts), 1000):
+                sets = dict(shingled(t) for t in texts[low : low + 1000])
+                keys = [prefix(s, common, place) for s in sets.values()]
+                size = [len(k) for k in keys]
+                node, n = np.array(list(sets), dtype=np.int64), np.array([len(s) for s in sets.values()], dtype=np.int32)
+                key = np.concatenate(keys).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(node, size)), pa.array(np.repeat(n, size))], names=["key", "node", "n"])
+
+    return by_batch(docs.select("text"), work, "key long, node long, n int")
+
+
+def shared_only(keys: DataFrame) -> DataFrame:
+    """The rows whose key another node has too, each once."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((3, 0), dtype=np.int64)
+        told = None  # key of rows that went out already
+
+        def settled(rows: np.ndarray, ends: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, told
+            if not rows.shape[1]:
+                return
+            again = np.concatenate([[False], (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1])])
+            rows = rows[:, ~again]
+            same = rows[0, 1:] == rows[0, :-1]
+            keep = np.concatenate([[rows[0, 0] == told], same]) | np.concatenate([same, [False]])
+            last = rows.shape[1] - 1
+            if not ends:  # the last row waits for what follows
+                held = rows[:, last:]
+                told = int(rows[0, last]) if keep[last] else None
+                rows, keep = rows[:, :last], keep[:last]
+            out = rows[:, keep]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0].copy()), pa.array(out[1].copy()), pa.array(out[2].astype(np.int32))], names=["key", "node", "n"])
+
+        for batch in batches:
+            new = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "node", "n")])
+            yield from settled(np.concatenate([held, new], axis=1), False)
+        yield from settled(held, True)
+
+    return by_batch(keys.repartition("key").sortWithinPartitions("key", "node"), work, "key long, node long, n int")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, items) of the wanted nodes; the sieve keeps other texts out of the shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(sieve(wanted.select(F.col("node").alias("line_id"))))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sent.value
+        last = (len(bitmap) << 15) - 1
+        for batch in batches:
+            nodes, items = [], []
+            texts = texts_of(batch)
+            for low in range(0, len(texts), 1000):
+                for node, own in dict(shingled(t) for t in texts[low : low + 1000]).items():
+                    at = (node & (1 << 64) - 1) >> 1 & last
+                    if bitmap[at >> 15, (at & 32767) >> 3] >> (at & 7) & 1:
+                        nodes.append(node)
+                        items.append(own.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.binary())], names=["node", "items"])
+                nodes, items = [], []
+
+    return by_batch(docs.select("text"), work, "node long, items binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose similarity is LEAST at least."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            right = [similar(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in pair)) for pair in zip(batch.column("x"), batch.column("y"))]
+            yield batch.select(["a", "b"]).filter(pa.array(right, pa.bool_()))
+
+    return by_batch(both.select("a", "b", "x", "y"), work, "a long, b long")
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """(a, b) links that connect all nodes of similarity LEAST or more."""
+    shared = staged(shared_only(prefix_table(docs)), "shared")
+    p, q = LEAST.numerator, LEAST.denominator
+    size_fits = f"least(n, m) * {q} >= greatest(n, m) * {p}"
+
+    def met(found: DataFrame) -> DataFrame:
+        """(a, b) of the candidates (a, b, n, m), one row for each shared element, that share enough of them."""
+        # of the set whose prefix ends first all shared elements in the prefix are counted; what follows may all be shared
+        rest = lambda c: f"greatest(ceil({c} * {p} / {q}) - {MEET}, 0)"
+        need = f"ceil((n + m) * {p} / {p + q}) - greatest({rest('n')}, {rest('m')})"
+        return found.groupBy("a", "b", "n", "m").agg(F.count("*").alias("met")).where(f"met >= {need}").select("a", "b")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, staged(sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets"))
+
+    first = staged(shared.groupBy("key").agg(F.min(F.struct("node", "n")).alias("f")), "firsts")
+    star = shared.join(first, "key").select(F.col("f.node").alias("a"), F.col("node").alias("b"), F.col("f.n").alias("n"), F.col("n").alias("m")).where(f"a <> b and {size_fits}")
+    near = staged(checked(staged(met(star), "star")), "near")
+    rooted = staged(shared.join(components(near), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    left = staged(rooted.join(mixed, "key"), "mixed")
+    other = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
+    apart = left.withColumnRenamed("node", "a").join(other, "key").where(f"a < b and root <> root_b and {size_fits}").select("a", "b", "n", "m")
+    return near.unionByName(checked(staged(met(apart), "apart")))
+
+
+def names_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, node)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [(xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split()), 7) & ~1) - (1 << 63) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.int64())], names=["doc_id", "node"])
+
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, node long")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id): the smallest doc_id reachable over links; equal words link, null counts as no words."""
+    named = staged(names_of(docs), "names")
+    first = staged(named.groupBy("node").agg(F.min("doc_id").alias("first_id")), "first")
+    grouped = first.join(components(links(docs)), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    # a table of its own, so that the join can split the nodes of a large group
+    lowest = staged(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")), "lowest")
+    found = staged(grouped.join(lowest, "root").select("node", "component_id"), "found")
+    return named.join(found, "node").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs without the rows that have a near-duplicate with a smaller doc_id in their group; columns stay.
+
+    Ids are expected to be unique: rows that share an id stand or fall together. Rows with a null id stay.
+    """
+    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

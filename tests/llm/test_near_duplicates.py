@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestack.llm import graph, lines, simhash
+from lodestack.llm import graph, jaccard, lines, simhash
 
 
 def slow_fingerprint(text):
@@ -148,3 +148,45 @@ def test_lines_taken_out(docs_of):
     assert kept.columns == docs.columns
     assert {r["doc_id"]: r["text"] for r in kept.collect()} == {1: f"{long}\nsolo", 2: "solo 2\n\nend", 3: None}
     assert lines.line_classes(docs.limit(0)).count() == 0
+
+
+def test_similar_documents_are_all_found_and_no_others(docs_of, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = {900: None, 901: "", 902: "One  two", 903: "one two", 904: "one three"}
+    for g in range(40):
+        base = [word() for _ in range(rng.choice([6, 40, 120]))]
+        for k in range(4):
+            own = list(base)
+            for _ in range(rng.randrange(5)):
+                own[rng.randrange(len(own))] = word()
+            rows[g * 10 + k] = " ".join(own)
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = {k: shingles(t) for k, t in rows.items()}
+    linked = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    want = slow_components(sorted(rows), linked)
+    docs = docs_of(list(rows.items()))
+    for sample in (20_000, 0):
+        monkeypatch.setattr(jaccard, "SAMPLE", sample)
+        assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()} == want
+    assert len(set(want.values())) < len(rows) - 20
+    assert {r["doc_id"] for r in jaccard.keep_first(docs).collect()} == set(want.values())
+    assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_the_pipeline_links_by_similarity(spark, docs_of):
+    import corpus_pipeline
+
+    rng = random.Random(0)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(100)]
+    near, far = list(words), list(words)
+    near[20], near[60] = "x", "y"  # 86 of 106 shingles are shared
+    for k in range(10, 100, 20):
+        far[k] = "z"
+    assert bin(simhash.fingerprint(" ".join(words)) ^ simhash.fingerprint(" ".join(near))).count("1") > 5
+    out = corpus_pipeline.near_duplicates_out(spark, docs_of([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]
