@@ -14,10 +14,10 @@ from .common import by_batch, texts_of
 
 LEVEL = 3
 #: Bytes from which a band holds; lowest and highest ratio (bytes / compressed bytes) that prose of that length has.
-BANDS = ((0, 0.0, float("inf")), (128, 0.8, 3.0), (512, 1.05, 3.0), (2048, 1.2, 3.5), (16384, 1.3, 4.0), (131072, 1.3, 5.0))
+BANDS = ((0, 0.0, float("inf")), (128, 1.25, 3.0), (512, 1.4, 3.0), (2048, 1.8, 3.5), (16384, 2.0, 4.0), (131072, 2.0, 5.0))
 CHUNK = 4096
 #: Band of one full chunk, and the share of full chunks outside it beyond which a text is rejected.
-CHUNK_BAND = (1.2, 5.0)
+CHUNK_BAND = (1.8, 5.0)
 CHUNK_SHARE = 0.25
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"

@@ -171,6 +171,19 @@ def test_compression_bands(docs_of):
     assert got[2]["ratio"] < got[1]["ratio"] < got[3]["ratio"]
 
 
+@pytest.mark.parametrize("size", [450, 600, 2047, 3000, 10_000, 20_000, 140_000])
+def test_random_ascii_words_are_rejected(size):
+    import string
+
+    import zstandard
+
+    rng = random.Random(size)
+    signs = string.ascii_letters + string.digits + "+/"
+    text = " ".join("".join(rng.choices(signs, k=rng.randint(3, 12))) for _ in range(size))[:size]
+    row = compression.measure(text, zstandard.ZstdCompressor(level=3))
+    assert row[0] >= 50 and not row[5] and not row[6]
+
+
 def luhn(d):
     s = sum((x if i % 2 == 0 else x * 2 - 9 * (x > 4)) for i, x in enumerate(map(int, reversed(d))))
     return s % 10 == 0
