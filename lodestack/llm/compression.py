@@ -16,7 +16,7 @@ LEVEL = 3
 #: Bytes from which a band holds; lowest and highest ratio (bytes / compressed bytes) that prose of that length has.
 BANDS = ((0, 0.0, float("inf")), (128, 1.25, 3.0), (512, 1.4, 3.0), (2048, 1.8, 3.5), (16384, 2.0, 4.0), (131072, 2.0, 5.0))
 CHUNK = 4096
-#: Band of one full chunk, and the share of full chunks outside it beyond which a text is rejected.
+#: Band of one chunk, and the share of chunks outside it beyond which a text is rejected.
 CHUNK_BAND = (1.8, 5.0)
 CHUNK_SHARE = 0.25
 SYMBOLS = "#*$%&|<>"
@@ -43,19 +43,25 @@ def repeated_words(words: list[bytes], span: int = 3) -> int:
 
 
 def ratios(data: bytes, press: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """(ratio of the whole, share of full chunks outside the chunk band); the empty text has ratio 1."""
+    """(ratio of the whole, share of chunks outside the chunk band); the empty text has ratio 1.
+
+    Chunks are those of CHUNK bytes in turn and, where bytes are left, a last one that ends with the text. A text
+    shorter than a chunk has none.
+    """
     if not data:
         return 1.0, 0.0
     whole = len(data) / len(press.compress(data))
-    n = len(data) // CHUNK
-    if n < 2:
+    if len(data) < CHUNK:
         return whole, 0.0
+    starts = list(range(0, len(data) - CHUNK + 1, CHUNK))
+    if len(data) % CHUNK:
+        starts.append(len(data) - CHUNK)
     view = memoryview(data)
     out = 0
-    for k in range(n):
-        r = CHUNK / len(press.compress(view[k * CHUNK : (k + 1) * CHUNK]))
+    for at in starts:
+        r = CHUNK / len(press.compress(view[at : at + CHUNK]))
         out += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
-    return whole, out / n
+    return whole, out / len(starts)
 
 
 def in_band(size: int, ratio: float) -> bool:
@@ -78,7 +84,7 @@ def measure(text: str, press: zstandard.ZstdCompressor) -> tuple:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per row of docs with COLUMNS. Null text counts as empty, which fails the base rules.
 
-    ratio is bytes by compressed bytes of the whole text; chunk_share the share of its full chunks out of their band.
+    ratio is bytes by compressed bytes of the whole text; chunk_share the share of its chunks out of their band.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

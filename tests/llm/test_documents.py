@@ -184,6 +184,19 @@ def test_random_ascii_words_are_rejected(size):
     assert row[0] >= 50 and not row[5] and not row[6]
 
 
+def test_junk_in_one_chunk_or_the_tail_is_found():
+    import zstandard
+
+    rng = random.Random(2)
+    press = zstandard.ZstdCompressor(level=3)
+    noise = "".join(chr(rng.randrange(33, 127)) if k % 8 else " " for k in range(4096))
+    prose = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(1600))
+    for text in (noise + prose[:3700], prose[:3700] + noise, prose[:4096] + noise[:4000]):
+        assert compression.measure(text, press)[8] > compression.CHUNK_SHARE and not compression.measure(text, press)[6]
+    for size in (4095, 4096, 4097, 8000):
+        assert compression.measure(prose[:size], press)[6]
+
+
 def luhn(d):
     s = sum((x if i % 2 == 0 else x * 2 - 9 * (x > 4)) for i, x in enumerate(map(int, reversed(d))))
     return s % 10 == 0
