@@ -40,6 +40,8 @@ RIGHTS = re.compile(r"©|\(c\) ?\d{4}|all rights reserved", re.I)
 WEIGHTS = {"base": -0.6, "article": 3.0, "good": 1.5, "bad": -9.0, "soft": -5.0, "link": -4.0, "words": 0.55, "prose": 0.6, "heading": 0.8, "rights": -2.0}
 #: Strength of the tie between neighbours, by the steps between them in the tree.
 TIE, FADE = 0.8, 0.6
+#: Characters outside links that an element with most of the page's text must hold to count as its wrapper.
+WRAPPER = 200
 
 
 @dataclass
@@ -53,6 +55,7 @@ class Element:
     bad: bool = False
     soft: bool = False
     link: bool = False
+    fence: bool = False
 
 
 @dataclass
@@ -68,8 +71,7 @@ def described(element: Element, attributes: str) -> None:
     parts = {p.lower() for p in PART.findall(f"{values.get('class', '')} {values.get('id', '')}")} if element.tag not in ("html", "body") else set()
     role = values.get("role", "").lower()
     if element.tag in ("article", "main") or role in ("main", "article"):
-        element.soft = bool(parts & BAD_WORDS)
-        element.article = True
+        element.article = element.fence = True
     hidden = "display:none" in values.get("style", "").replace(" ", "").lower() or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) is not None
     if element.tag in BAD_TAGS or role in BAD_ROLES or hidden or parts & COMMENT_WORDS or (element.tag == "header" and not element.article):
         element.bad = True
@@ -160,14 +162,34 @@ def blocks_of(html: str) -> tuple[list[Element], list[Block]]:
         if name in ("html", "body"):
             continue
         above = elements[stack[-1]]
-        own = Element(name, stack[-1], above.depth + 1, name in BLOCKS, above.article, above.good, above.bad, above.soft, above.link)
+        own = Element(name, stack[-1], above.depth + 1, name in BLOCKS, above.article, above.good, above.bad, False, above.link)
         described(own, m.group(3))
         elements.append(own)
         stack.append(len(elements) - 1)
     close()
+    inherit_soft(elements, found)
     return elements, found
 
 
+def inherit_soft(elements: list[Element], blocks: list[Block]) -> None:
+    """Pass soft marks down to the next article or main element.
+
+    The mark of an element that holds most of the page's text outside links is dropped first: it wraps the page, as
+    ``has-sidebar`` does, and is no part beside the content.
+    """
+    held = [0] * len(elements)
+    for b in blocks:
+        if not elements[b.element].bad:
+            held[b.element] += max(0, len(b.text) - b.n_link)
+    for i in range(len(elements) - 1, 0, -1):
+        held[elements[i].parent] += held[i]
+    for i in range(1, len(elements)):
+        e = elements[i]
+        if e.soft and held[i] >= WRAPPER and 2 * held[i] > held[0]:
+            e.soft = False
+        e.soft |= not e.fence and elements[e.parent].soft
+
+
 def lean(element: Element, block: Block) -> float:
     """Log odds that the block is content."""
     n = len(block.text)

@@ -271,6 +271,16 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", ["page has-sidebar", "content-with-header", "layout sidebar-right"])
+@pytest.mark.parametrize("inner", ['<div class="post">', "<div>"])
+def test_a_wrapper_named_after_a_sidebar_keeps_its_text(wrapper, inner):
+    long = "A sentence of plain words that goes on for quite a while. " * 10
+    side = "Other things to look at, which are not a part of the text of this page at all."
+    page = f'<body><div class="{wrapper}">{inner}<p>{long}</p><p>{long[:120]}</p></div><div class="sidebar"><p>{side}</p></div></div></body>'
+    text = html_text.main_text(page)
+    assert long.strip() in text and long[:120].strip() in text.split("\n\n") and side not in text
+
+
 @settings(max_examples=120, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60_000), st.integers(0, 2**32 - 1)), max_size=400))
 def test_simple8b(ids):
