@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,6 +71,32 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_numpy(zero_copy_only=False).tolist()]
 
 
+#: Bits of a sieve at most (128 MiB).
+SIEVE = 1 << 30
+
+
+def sieve(wanted: DataFrame, name: str) -> np.ndarray:
+    """A bitmap of the wanted ids' hash positions: 16 to 32 bits for each id, but never more than SIEVE bits.
+
+    Spark builds it in pieces of 4 KiB; its size has a fixed bound, so it may go to the driver and be broadcast. The
+    lowest bit of an id does not count.
+    """
+    bits = 1 << max(15, min((16 * wanted.count()).bit_length(), SIEVE.bit_length() - 1))
+    at = F.shiftrightunsigned(name, 1).bitwiseAND(F.lit(bits - 1)) + 1  # the functions number positions from 1
+    pieces = wanted.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("map"))
+    out = np.zeros((bits >> 15, 4096), dtype=np.uint8)
+    for piece, bitmap in pieces.collect():
+        out[piece - 1] = np.frombuffer(bitmap, dtype=np.uint8)
+    return out
+
+
+def members_of(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Positions of the ids that may be wanted."""
+    at = ids.view(np.uint64) >> np.uint64(1) & np.uint64((len(bitmap) << 15) - 1)
+    piece, bit = (at >> np.uint64(15)).astype(np.int64), (at & np.uint64(32767)).astype(np.int64)
+    return np.flatnonzero(bitmap[piece, bit >> 3] >> (bit & 7) & 1)
+
+
 def running_number(df: DataFrame, order: list[Column], name: str, tag: str) -> DataFrame:
     """Number rows 0, 1, ... in a global order without a single-task window.
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import staged
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) links to (node, root): root is the smallest node reachable. Nodes without a link to another are absent.
+    """(a, b) links to (node, root): root is the smallest node reachable; nodes of any type that has an order. Nodes without a link to another are absent.
 
     Alternates large-star and small-star steps, each written to the shared folder, until the edge set stands still
     (a logarithmic number of rounds in practice). Null ends and self links are dropped; repeated links count once.
@@ -23,8 +23,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = staged(large, "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edge = staged(small.distinct(), "small")
-        now = edge.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        edge = staged(small.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("hash")), "small")
+        now = seen.get
         if now == mark:
             break
         mark = now
