@@ -6,12 +6,8 @@ confidences below are fixed values: results depend on them as they stand.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .listing import stem as stem_of
 from .listing import title as title_of
@@ -177,35 +173,43 @@ def is_makeup(name: Column, folders: Column) -> Column:
     return name.rlike(MAKEUP) | F.exists(folders, lambda f: normalize_name(f).rlike(MAKEUP))
 
 
-_RANGE = re.compile(r"(?:lect(?:ure)?s?|lec|week|chapter|ch|unit|tut(?:orial)?|sheet|hw|problem|part|set|q)[\s_-]*\Z", re.I)
-_YEAR_FORMS = [
-    (re.compile(r"(?<!\d)(\d{2}) ?[-_/] ?(\d{2})(?!\d)"), True),
-    (re.compile(r"(?<!\d)20(\d{2})[\s_]+(\d{2})(?!\d)"), False),
-    (re.compile(r"(?<!\d)(\d{2})(\d{2})(?!\d)"), True),
+#: What stands before a number that is no year, and the forms of a year; the flag: any match counts, not
+#: the first alone.
+RANGE_WORD = r"(?i)(?:lect(?:ure)?s?|lec|week|chapter|ch|unit|tut(?:orial)?|sheet|hw|problem|part|set|q)[\s_-]*$"
+SPANS = [
+    (r"(?<!\d)(\d{2}) ?[-_/] ?(\d{2})(?!\d)", True),
+    (r"(?<!\d)20(\d{2})[\s_]+(\d{2})(?!\d)", False),
+    (r"(?<!\d)(\d{2})(\d{2})(?!\d)", True),
 ]
-_LONE_YEAR = re.compile(r"(?<!\d)(20\d{2})(?!\d)")
+SINGLE_YEAR = r"(?<!\d)(20\d{2})(?!\d)"
+
 
+def year_from_name(stem: Column) -> Column:
+    """struct(year, is_span) of a stem: the first span of two following years, by form, else a lone year.
+
+    A number behind a range word ("lecture 16-17") is no year; it still uses up its characters, so each form's matches
+    are listed with the text before them, and filtered.
+    """
+    verdict = lambda y, span: F.struct(y.cast("int").alias("year"), F.lit(span).alias("is_span"))
 
-def read_year(text: str | None) -> tuple[int | None, bool]:
-    """(year, is_span) of a stem. A number behind a range word ("lecture 16-17") is no year; it still uses up its
-    characters, which is why this is not one regular expression."""
-    if text is None or re.search(STUDENT_ID, text):
-        return None, False
-    for form, every in _YEAR_FORMS:
-        for m in form.finditer(text):
-            a, b = int(m[1]), int(m[2])
-            if 10 <= a <= 40 and (a + 1) % 100 == b and not _RANGE.search(text[: m.start()]):
-                return 2000 + a, True
-            if not every:
-                break
-    m = _LONE_YEAR.search(text)
-    return (int(m[1]), False) if m and not _RANGE.search(text[: m.start()]) else (None, False)
+    def listed(form: str, groups: int) -> Column:
+        """The form's matches in order: struct(lead, g1, ...)."""
+        found = [F.regexp_extract_all(stem, F.lit(form), F.lit(g + 1)) for g in range(groups)]
+        return F.arrays_zip(F.slice(F.split(stem, form, -1), 1, F.size(found[0])).alias("lead"), *[x.alias(f"g{k}") for k, x in enumerate(found)])
 
+    def real(m: Column) -> Column:
+        first, then = m["g0"].cast("int"), m["g1"].cast("int")
+        return first.between(10, 40) & ((first + 1) % 100 == then) & ~m["lead"].rlike(RANGE_WORD)
 
-@F.pandas_udf(T.StructType([T.StructField("year", T.IntegerType()), T.StructField("is_span", T.BooleanType())]))
-def year_from_name(text: pd.Series) -> pd.DataFrame:
-    found = [read_year(t) for t in text]
-    return pd.DataFrame({"year": pd.array([y for y, _ in found], dtype="Int32"), "is_span": [s for _, s in found]})
+    found = []
+    for form, any_match in SPANS:
+        every = listed(form, 2)
+        found.append(F.get(F.filter(every if any_match else F.slice(every, 1, 1), real), F.lit(0))["g0"])
+    year = F.coalesce(*found)
+    lone = F.get(listed(SINGLE_YEAR, 1), F.lit(0))
+    usable = F.coalesce(~stem.rlike(STUDENT_ID), F.lit(False))
+    none = verdict(F.lit(None), False)
+    return F.when(~usable, none).when(year.isNotNull(), verdict(year.cast("int") + 2000, True)).when(lone.isNotNull() & ~lone["lead"].rlike(RANGE_WORD), verdict(lone["g0"], False)).otherwise(none)
 
 
 def academic_year(folder_year: Column, folders: Column, named: Column) -> Column:
@@ -232,7 +236,7 @@ def extract(files: DataFrame, aliases: Column) -> DataFrame:
     base = files.withColumn("_path", parse_path(F.col("path"), aliases)).withColumn("_stem", stem_of(name_col, ext))
     base = base.withColumn("_name", normalize_name(F.col("_stem"))).withColumn("_folders", F.transform("_path.folders", lambda f: F.lower(F.trim(f))))
     name, folders = F.col("_name"), F.col("_folders")
-    base = base.withColumn("_doc", doc_type(name, folders)).withColumn("_exam", exam_type(name, folders)).withColumn("_named", year_from_name("_stem"))
+    base = base.withColumn("_doc", doc_type(name, folders)).withColumn("_exam", exam_type(name, folders)).withColumn("_named", year_from_name(F.col("_stem")))
     kind = F.col("_doc.doc_type")
     unneeded = kind.isin("grade_stats", "cheatsheet") | is_coursework(name, folders)
     none = (F.col("_exam.exam") == "unknown") & unneeded

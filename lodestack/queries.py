@@ -15,7 +15,7 @@ from .operators import compare, content, facets, index, measure, rank, stacks, u
 from .plans import chat, planner
 from .sources import files as src
 from .sources import tree
-from .vocabulary import DOC_TYPE_LABELS, DOC_TYPES, EXAM_TYPE_LABELS, KIND_ORDER, SHOWN_EXAMS
+from .vocabulary import DEFAULT_MATERIALS, DOC_TYPE_LABELS, DOC_TYPES, EXAM_TYPE_LABELS, KIND_ORDER, MATERIALS, SHOWN_EXAMS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -541,14 +541,26 @@ def w22(spark, sf):
     return table(spark, sf, "events").select("event_id", text.formula_safe(v).alias("cell"))
 
 
-@query("f12_course_scan")
+def spelt(alias: str) -> str:
+    """A nickname as words that are run together."""
+    return "[^A-Za-z0-9]*".join(alias)
+
+
+NAMED = rf"(?i)\b(?:{spelt('andthe')}|{spelt('thein')}|the|der)\b"
+
+
+@query("f12_course_scan", rf"""WITH s AS (SELECT item_id, list_transform(regexp_extract_all(text, '{NAMED}'), lambda m: CASE lower(regexp_replace(m, '[^A-Za-z0-9]+', '', 'g')) WHEN 'the' THEN 'EN' WHEN 'der' THEN 'DE' WHEN 'andthe' THEN 'EN2' ELSE 'EN' END) AS c, regexp_replace(text, '{NAMED}', ' | ', 'g') AS m FROM benchmark)
+SELECT item_id, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), '|') AS codes, array_to_string(regexp_extract_all(m, '[A-Za-z0-9]+'), ' ') AS rest FROM s""")
 def f12(spark, sf):
     aliases = F.create_map(*[F.lit(x) for x in ("the", "EN", "der", "DE", "andthe", "EN2", "thein", "EN")])
     found = table(spark, sf, "benchmark").select("item_id", cat.course_scan(F.col("text"), aliases).alias("s"))
-    return found.select("item_id", F.array_join("s.codes", "|").alias("codes"), F.col("s.rest").alias("rest"))
+    return found.select("item_id", F.array_join("s.codes", "|").alias("codes"), cat.unnamed(F.col("s.marked")).alias("rest"))
 
 
-@query("f16_user_hash")
+PADS = [bytes(b ^ x for b in b"secret".ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
+
+
+@query("f16_user_hash", f"SELECT c_custkey, left(sha256(unhex('{PADS[1]}') || unhex(sha256(unhex('{PADS[0]}') || encode(lower(trim(c_name || '@X.org ')))))), 16) AS h FROM customer")
 def f16(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", identity.user_hash("secret", F.concat("c_name", F.lit("@X.org "))).alias("h"))
 
@@ -741,7 +753,15 @@ def g6(spark, sf):
     return rule_columns(spark, sf).select("doc_id", rules.has_solution(F.col("name"), F.col("folders")).alias("has_solution"))
 
 
-@query("g7_year_from_name")
+# forms without look-around: what stands before a number is matched with it
+G7_FORMS = [r"(?:^|[^0-9])(\d{2}) ?[-_/] ?(\d{2})(?:$|[^0-9])", r"(?:^|[^0-9])20(\d{2})[\s_]+(\d{2})(?:$|[^0-9])", r"(?:^|[^0-9])(\d{2})(\d{2})(?:$|[^0-9])"]
+G7_RANGE = r"(?i)(?:lect(?:ure)?s?|lec|week|chapter|ch|unit|tut(?:orial)?|sheet|hw|problem|part|set|q)[\s_-]*"
+G7_AB = "CAST(nullif(regexp_extract(stem, '{f}', {g}), '') AS INT)"
+G7_SPAN = ", ".join(f"CASE WHEN {(a := G7_AB.format(f=f, g=1))} BETWEEN 10 AND 40 AND ({a} + 1) % 100 = {G7_AB.format(f=f, g=2)} AND NOT regexp_matches(stem, '{G7_RANGE}{f.replace('(?:^|[^0-9])', '', 1)}') THEN 2000 + {a} END" for f in G7_FORMS)
+
+
+@query("g7_year_from_name", rf"""WITH {RULE_SQL}, y AS (SELECT doc_id, coalesce({G7_SPAN}) AS span, CAST(nullif(regexp_extract(stem, '(?:^|[^0-9])(20\d{{2}})(?:$|[^0-9])', 1), '') AS INT) AS lone, regexp_matches(stem, '20\d{{2}}[A-Za-z]\d[A-Za-z]{{2}}\d{{4}}[A-Za-z]') AS id FROM rf)
+SELECT doc_id, CASE WHEN NOT id THEN CAST(coalesce(span, lone) AS INT) END AS year, span IS NOT NULL AND NOT id AS is_span FROM y""")
 def g7(spark, sf):
     named = rules.year_from_name(listing.stem(F.col("name"), F.col("extension")))
     return rule_files(spark, sf).select("doc_id", named.alias("y")).select("doc_id", "y.year", "y.is_span")
@@ -968,7 +988,9 @@ def st1(spark, sf):
     return usage.dedupe(e, "user_id", "t", "event_id", "event_type", 21600)
 
 
-@query("st2_rate_limit")
+@query("st2_rate_limit", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) AS n FROM events),
+w AS (SELECT user_id, n, event_id, [t] AS recent, TRUE AS ok FROM e WHERE n = 1 UNION ALL SELECT user_id, n, event_id, CASE WHEN len(r) < 10 THEN list_append(r, t) ELSE r END, len(r) < 10 FROM (SELECT e.user_id, e.n, e.event_id, e.t, list_filter(w.recent, lambda x: x > e.t - 86400) AS r FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+SELECT user_id, event_id FROM w WHERE ok""")
 def st2(spark, sf):
     e = table(spark, sf, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return usage.rate_limited(e, "user_id", "t", "event_id", 10, 86400)
@@ -992,10 +1014,60 @@ def st1_loggable(spark, sf):
 ALIASES = {"the": "EN", "der": "DE", "andthe": "EN2"}
 
 
-@query("c1_parse_messages")
+#: Beginnings that meet the branches of the parser, dealt over the passages.
+OPENINGS = [
+    "the midsem papers from the last 3 years,", "Der compre 2021-22 and solutions.", "and the quiz 2 answer keys;", "slides 22-23, notes on", "everything for lab test 3?", "10-15 tuts,", "latest papers please.",
+    "q 4 from 2019;", "most recent year's past papers, also", "hello!", "labs plus the last two years of", "end sem question papers 2018, 2020:", "", "start over, handouts on",
+]
+
+
+def messages_of(spark, sf) -> DataFrame:
+    """Passages as messages; small talk stands alone."""
+    opening = F.get(F.array(*[F.lit(x) for x in OPENINGS]), (F.col("item_id") % len(OPENINGS)).cast("int"))
+    return table(spark, sf, "benchmark").select("item_id", F.when(opening == "hello!", opening).otherwise(F.concat_ws(" ", opening, "text")).alias("text"))
+
+
+def message_sql() -> str:
+    """The same reading in SQL, a step for each phrase; letters with accents count as letters but start no topic."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rx = lambda x: quoted("(?i)" + x)
+    hit = lambda x: f"regexp_matches(rest, {rx(x)})"
+    cut = lambda x: f"regexp_replace(rest, {rx(x)}, ' | ', 'g')"
+    named = rf"\b(?:{spelt('andthe')}|the|der)\b"
+    short = lambda g: f"regexp_extract(rest, {rx(chat.SHORT_SPAN)}, {g})"
+    steps = [
+        f"SELECT item_id, regexp_replace(left(trim(m), {chat.MOST_CHARS}), '[À-ÖØ-öø-ɏ]', '_', 'g') AS raw FROM (SELECT item_id, CASE WHEN o = 'hello!' THEN o ELSE o || ' ' || text END AS m FROM (SELECT item_id, text, {sql_list(OPENINGS)}[item_id % {len(OPENINGS)} + 1] AS o FROM benchmark))",
+        f"SELECT *, list_transform(regexp_extract_all(raw, {rx(named)}), lambda x: CASE lower(x) WHEN 'the' THEN 'EN' WHEN 'der' THEN 'DE' ELSE 'EN2' END) AS codes, regexp_replace(raw, {rx(named)}, ' | ', 'g') AS rest FROM {{s}}",
+        f"SELECT * REPLACE ({cut(chat.RESET)} AS rest) FROM {{s}}",
+        f"SELECT * REPLACE (CASE WHEN {hit(chat.LAST_N)} THEN {cut(chat.LAST_N)} WHEN {hit(chat.LAST_ONE)} THEN {cut(chat.LAST_ONE)} ELSE {cut(chat.NEWEST)} END AS rest), CASE WHEN {hit(chat.LAST_N)} THEN coalesce(list_position({sql_list(list(chat.NUMBER_WORDS))}, lower(regexp_extract(rest, {rx(chat.LAST_N)}, 1))), TRY_CAST(regexp_extract(rest, {rx(chat.LAST_N)}, 1) AS INT)) WHEN {hit(chat.LAST_ONE)} OR {hit(chat.NEWEST)} THEN 1 END AS recent FROM {{s}}",
+        f"SELECT * REPLACE ({cut(chat.LONG_SPAN)} AS rest), regexp_extract_all(rest, {rx(chat.LONG_SPAN)}, 1) AS long FROM {{s}}",
+        f"SELECT *, (TRY_CAST({short(1)} AS INT) + 1) % 100 = TRY_CAST({short(2)} AS INT) AS span FROM {{s}}",
+        f"SELECT * REPLACE (CASE WHEN span THEN {cut(chat.SHORT_SPAN)} ELSE rest END AS rest), CASE WHEN span THEN ['20' || {short(1)}] ELSE [] END AS short FROM {{s}}",
+        f"SELECT * REPLACE ({cut(chat.LONE_YEAR)} AS rest), list_concat(long, short, regexp_extract_all(rest, {rx(chat.LONE_YEAR)}, 1)) AS years FROM {{s}}",
+    ]
+    for kind, rows in (("e", chat.EXAM_WORDS), ("k", chat.MATERIAL_WORDS)):
+        steps += [f"SELECT * REPLACE ({cut(p)} AS rest), {hit(p)} AS {kind}_{v} FROM {{s}}" for v, w in rows for p in [rf"\b(?:{w})\b"]]
+    exams = ", ".join(f"CASE WHEN e_{v} THEN '{v}' END" for v, _ in chat.EXAM_WORDS)
+    kinds = ", ".join(f"CASE WHEN k_{v} THEN {sql_list(MATERIALS if v == 'all' else [v])} ELSE [] END" for v, _ in chat.MATERIAL_WORDS)
+    once = lambda c: f"list_filter({c}, lambda x, i: list_position({c}, x) = i)"
+    filler = sql_list(sorted(chat.FILLER))
+    steps += [
+        f"SELECT item_id, raw, {once('codes')} AS courses, list_filter([{exams}], lambda x: x IS NOT NULL) AS exams, list_concat({kinds}) AS kinds, {once('years')} AS years, recent, list_transform(regexp_split_to_array(rest, {rx(chat.PARTS)}), lambda p: regexp_extract_all(lower(p), {quoted(chat.TOPIC_WORD)})) AS words FROM {{s}}",
+        f"SELECT *, {once('kinds')} AS said, list_transform(words, lambda w: [w, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains({filler}, w[i]))::VARCHAR[]]) AS w2 FROM {{s}}",
+        "SELECT *, list_filter(list_transform(w2, lambda p: array_to_string(p[1][list_min(p[2]::INT[]):list_max(p[2]::INT[])], ' ')), lambda t: length(t) BETWEEN 2 AND 60) AS phrases FROM {s}",
+        f"SELECT *, ({once('phrases')})[1:{chat.MOST_TOPICS}] AS topics, CASE WHEN list_has_any(exams, ['quiz', 'test', 'lab_quiz']) OR regexp_matches(raw, {rx(chat.Q_NUMBER)}) THEN TRY_CAST(regexp_extract(raw, {rx(chat.QUIZ_NUMBER)}, 1) AS INT) END AS number FROM {{s}}",
+        "SELECT *, CASE WHEN number IS NOT NULL AND len(exams) = 0 THEN ['quiz'] ELSE exams END AS exams2, len(courses) + len(exams) + len(said) + len(years) + len(topics) > 0 OR recent IS NOT NULL OR number IS NOT NULL AS known FROM {s}",
+        f"SELECT *, CASE WHEN len(said) = 0 AND len(courses) + len(exams2) + len(years) > 0 THEN {sql_list(DEFAULT_MATERIALS)} ELSE said END AS kinds2, CASE WHEN raw = 'hello!' THEN 'greeting' ELSE '' END AS talk FROM {{s}}",
+    ]
+    ctes = ", ".join(f"s{k} AS ({x.replace('{s}', f's{k - 1}')})" for k, x in enumerate(steps))
+    shown = lambda c: f"CASE WHEN talk = '' THEN array_to_string({c}, '|') ELSE '' END"
+    return f"WITH {ctes} SELECT item_id, {shown('courses')} AS courses, {shown('exams2')} AS exam_types, {shown('kinds2')} AS materials, {shown('years')} AS years, {shown('topics')} AS topics, CAST(number AS INT) AS quiz_number, CAST(CASE WHEN talk = '' THEN recent END AS INT) AS recent_years, talk <> '' OR known AS understood, talk AS smalltalk FROM s{len(steps) - 1}"
+
+
+@query("c1_parse_messages", message_sql())
 def c1(spark, sf):
-    read = chat.parse_messages(table(spark, sf, "benchmark"), ALIASES, "item_id", "text")
-    return read.select("item_id", *[F.array_join(c, "|").alias(c) for c in ("courses", "exam_types", "materials", "topics")], "quiz_number", "recent_years", "understood", "smalltalk")
+    read = chat.parse_messages(messages_of(spark, sf), ALIASES, "item_id", "text")
+    return read.select("item_id", *[F.array_join(c, "|").alias(c) for c in ("courses", "exam_types", "materials", "years", "topics")], "quiz_number", "recent_years", "understood", "smalltalk")
 
 
 @query("c7_conversations")
@@ -1008,10 +1080,7 @@ def c7(spark, sf):
 @query("c9_smalltalk", r"SELECT conv_id, turn, CASE WHEN regexp_full_match(m, '(?i)\s*(?:hi+|hello+|hey+|hola|yo|good\s+(?:morning|evening|afternoon))\W*') THEN 'greeting' WHEN regexp_full_match(m, '(?i)\s*(?:thanks?|thank\s+you|thx|ty|cheers|great|awesome|nice)\W*') THEN 'thanks' ELSE '' END AS smalltalk FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Hello!! ' WHEN 1 THEN 'thank you.' ELSE text END AS m FROM conversations)")
 def c9(spark, sf):
     m = F.when(F.col("turn") % 3 == 0, "Hello!! ").when(F.col("turn") % 3 == 1, "thank you.").otherwise(F.col("text"))
-    out = F.lit("")
-    for kind, pattern in reversed(chat.SMALLTALK.items()):
-        out = F.when(m.rlike("(?i)" + pattern.pattern), kind).otherwise(out)
-    return table(spark, sf, "conversations").select("conv_id", "turn", out.alias("smalltalk"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", chat.smalltalk_kind(m).alias("smalltalk"))
 
 
 @query("c11_plan")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.operators import facets, index, measure, rank, stacks
-from lodestack.operators.catalog import Catalog, course_scan, scan_courses
+from lodestack.operators.catalog import Catalog, course_scan, unnamed
 from lodestack.plans.chat import Form
 from lodestack.plans.engine import Engine
 from lodestack.plans.planner import Planner
@@ -84,11 +84,11 @@ def catalog(spark):
 
 def test_course_names(spark, catalog):
     assert catalog.aliases == {"compbasics": "CS1", "cs1": "CS1", "ma2": "MA2", "computing": "CS1"}
-    assert scan_courses("notes, comp basics! and MA2", catalog.aliases) == (["CS1", "MA2"], "notes,  | ! and  | ")
+    assert catalog.interpret("notes, comp basics! and MA2") == (["CS1", "MA2"], "notes and")
     df = spark.createDataFrame([("notes, comp basics! and MA2",), ("",), ("cs1 cs1",)], "t string")
     al = F.create_map(*[F.lit(x) for kv in catalog.aliases.items() for x in kv])
-    got = [r["s"] for r in df.select(course_scan(F.col("t"), al).alias("s")).collect()]
-    assert [(g["codes"], g["rest"]) for g in got] == [(["CS1", "MA2"], "notes and"), ([], ""), (["CS1"], "")]
+    got = [(r["s"], r["rest"]) for r in df.select(course_scan(F.col("t"), al).alias("s")).withColumn("rest", unnamed(F.col("s.marked"))).collect()]
+    assert [(g["codes"], g["marked"], rest) for g, rest in got] == [(["CS1", "MA2"], "notes,  | ! and  | ", "notes and"), ([], "", ""), (["CS1"], " |   | ", "")]
 
 
 def test_search_modes(catalog):

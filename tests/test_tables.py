@@ -188,11 +188,11 @@ ALIASES = {"oop": "CS1", "logicincs": "CS2"}
         ("oop", "materials", ("papers", "solutions", "notes", "slides", "tutorials")),
     ],
 )
-def test_messages(message, field, value):
+def test_messages(spark, message, field, value):
     assert getattr(chat.parse(message, ALIASES).form, field) == value
 
 
-def test_refinement():
+def test_refinement(spark):
     first = chat.parse("oop midsem papers 2021", ALIASES).form
     assert chat.parse("also notes", ALIASES, first).form.materials == ("papers", "notes")
     assert chat.parse("compre", ALIASES, first).form == chat.replace(first, exam_types=("compre",))
