@@ -4,16 +4,18 @@ Two lines within t edits share one of t + 1 segments of the shorter line, at nea
 into its segments (index entries), and for each length that a shorter partner may have, the substrings at the places
 where a segment of that length could stand are probed. Places follow the multi-match-aware bounds: segment i has seen
 at most i edits before it and at most t - i behind. Keys hold the length, the segment and the substring, so only lines
-of compatible lengths meet. Candidates are verified by a banded bit-parallel edit distance.
+of compatible lengths meet.
 
-The lines of one key are paired where they are few. A key shared by very many lines is cut into pairs of hash blocks,
-and each block pair gives a spanning forest of its verified links, never all pairs; nothing is capped.
+No pairs are made: of each key that lines share, every line is a row that carries its text. The rows are sorted by key,
+and each run gives a spanning forest of its links, verified by a banded bit-parallel edit distance. A run of more than
+HOLD lines is not compared there; its lines pass through and are dealt again by parts of their signatures, of which
+lines within two edits share enough. Nothing is capped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, staged, texts_of
+from .common import by_batch, members_of, sieve, staged, texts_of
 from .graph import components
+from .simhash import band_choices, signed
 
 #: Edits allowed at most, and characters of the shorter line for each edit.
 EDITS, CHARS = 2, 20
-#: Pairs that one key may give directly; beyond it goes through blocks of BLOCK lines.
-PAIRS, BLOCK = 2048, 1000
-#: Bits of the sieve at most (128 MiB).
-SIEVE = 1 << 30
+#: Lines, and characters of them, that one run holds to be compared; beyond it they are dealt again.
+HOLD, HOLD_CHARS = 20_000, 64_000_000
+#: Times that lines are dealt again at most: then all bits of the signature have been used.
+LEVELS = 12
 SPACES = " \t\x0b\x0c\r"
 
 
@@ -42,8 +45,13 @@ def lines_of(text: str) -> list[tuple[int, str]]:
     return [(k, s) for k, line in enumerate(text.split("\n")) if (s := line.strip(SPACES))]
 
 
-def line_id(line: str) -> int:
-    """63 bits of a hash; the lowest bit is left free."""
+def line_id(line: str) -> bytes:
+    """128 bits of a hash: the name of all lines that are equal."""
+    return xxhash.xxh3_128_digest(line.encode(), 5)
+
+
+def short_id(line: str) -> int:
+    """63 bits of a hash, to look lines up; the lowest bit is left free."""
     return (xxhash.xxh64_intdigest(line.encode(), 5) & ~1) - (1 << 63)
 
 
@@ -120,8 +128,12 @@ def close(a: str, b: str) -> bool:
     return k > 0 and within(a, b, k)
 
 
+#: Bits of the signature that one edit flips at most.
+FLIPS = 4
+
+
 def signature(line: str) -> int:
-    """Parity of hashed character pairs in 64 bits: one edit flips four bits at most."""
+    """Parity of hashed character pairs in 64 bits."""
     raw = line.encode("utf-32-le")
     c = np.frombuffer(raw, dtype="<u4").astype(np.uint64)
     pair = (c[:-1] * np.uint64(0x9E3779B1) + c[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)
@@ -139,7 +151,7 @@ def forest(texts: list[str]) -> list[tuple[int, int]]:
         if not front:
             front, left = [int(left[0])], left[1:]
         at = front.pop()
-        may = (np.abs(size[left] - size[at]) <= EDITS) & (np.bitwise_count(sign[left] ^ sign[at]) <= 4 * EDITS)
+        may = (np.abs(size[left] - size[at]) <= EDITS) & (np.bitwise_count(sign[left] ^ sign[at]) <= FLIPS * EDITS)
         may[may] = [close(texts[at], texts[j]) for j in left[may].tolist()]
         hit = left[may].tolist()
         links += [(at, j) for j in hit]
@@ -159,9 +171,9 @@ def line_table(docs: DataFrame) -> DataFrame:
                     ids.append(key)
                     numbers.append(number)
                     hashes.append(line_id(line))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(hashes, pa.int64())], names=["doc_id", "line_no", "line_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(hashes, pa.binary())], names=["doc_id", "line_no", "line_id"])
 
-    return by_batch(docs, work, "doc_id long, line_no long, line_id long")
+    return by_batch(docs, work, "doc_id long, line_no long, line_id binary")
 
 
 def key_table(docs: DataFrame) -> DataFrame:
@@ -178,7 +190,7 @@ def key_table(docs: DataFrame) -> DataFrame:
                     if own:
                         keys += own
                         keys += probed
-                        name = line_id(line)
+                        name = short_id(line)
                         lines += [name] * len(own)
                         lines += [name + 1] * len(probed)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(np.array(lines, dtype=np.int64))], names=["key", "line"])
@@ -186,166 +198,179 @@ def key_table(docs: DataFrame) -> DataFrame:
     return by_batch(docs, work, "key long, line long")
 
 
-def candidates(keys: DataFrame, most: int = PAIRS) -> DataFrame:
-    """(a, b, key) from rows sorted by key, index entries first: pairs of lines (key null), or rows of a crowded key
-    (a: the line with its role bit, b null).
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(key, short) of the keys that an index entry and another line have, each line once.
 
-    A run of one key is never held whole: beyond the bound its rows pass through, and probes that met no index entry go.
+    Rows come sorted, index entries first, so a run is known after its first two lines and never held.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = None, np.zeros(0, dtype=np.int64)
-        crowded = False
-        pairs: list[tuple[int, int]] = []
-        members: list[tuple[int, int]] = []
-
-        def settle() -> None:
-            nonlocal crowded
-            if crowded:
-                members.extend((held_key, x) for x in held.tolist())
-            elif len(held) > 1:
-                own = held[held & 1 == 0]
-                names, probed = np.unique(own), np.unique(held[held & 1 == 1] - 1)
-                for i, a in enumerate(names.tolist()):
-                    pairs.extend((a, b) for b in names[i + 1 :].tolist())
-                    pairs.extend((a, b) if a < b else (b, a) for b in probed.tolist() if a != b)
-            crowded = False
-
-        def out() -> pa.RecordBatch:
-            a = [p[0] for p in pairs] + [m[1] for m in members]
-            b = [p[1] for p in pairs] + [None] * len(members)
-            k = [None] * len(pairs) + [m[0] for m in members]
-            pairs.clear()
-            members.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(k, pa.int64())], names=["a", "b", "key"])
-
+        held: tuple[int, int] | None = None  # an index entry that has met no other line
+        open_key: int | None = None  # the key whose run goes out
         for batch in batches:
             key, line = batch.column("key").to_numpy(), batch.column("line").to_numpy()
             if not len(key):
                 continue
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-            edge = np.concatenate([[0], cuts, [len(key)]])
-            long = np.diff(edge) > 1
-            for r in np.unique(np.concatenate([[0], np.flatnonzero(long), [len(edge) - 2]])).tolist():
-                here = int(key[edge[r]])
-                rows = line[edge[r] : edge[r + 1]]
-                if here != held_key:
-                    settle()
-                    held_key, held = here, rows
-                else:
-                    held = np.concatenate([held, rows])
-                if len(held) > 64:
-                    held = np.unique(held)
-                    n_own = int((held & 1 == 0).sum())
-                    crowded = crowded or n_own * len(held) > most
-                    if not n_own and not crowded:
-                        held = held[:0]
-                    if crowded:
-                        members.extend((here, x) for x in held.tolist())
-                        held = held[:0]
-            if len(pairs) + len(members) > 10_000:
-                yield out()
-        settle()
-        yield out()
-
-    return by_batch(keys.repartition("key").sortWithinPartitions("key", F.col("line").bitwiseAND(F.lit(1))), work, "a long, b long, key long")
-
-
-def sieve(wanted: DataFrame) -> np.ndarray:
-    """A bitmap of the wanted ids' hash positions: 16 to 32 bits for each id, but never more than SIEVE bits.
-
-    Spark builds it in pieces of 4 KiB; its size has a fixed bound, so it may go to the driver and be broadcast.
-    """
-    bits = 1 << max(15, min((16 * wanted.count()).bit_length(), SIEVE.bit_length() - 1))
-    at = F.shiftrightunsigned("line_id", 1).bitwiseAND(F.lit(bits - 1)) + 1  # the functions number positions from 1
-    pieces = wanted.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("map"))
-    out = np.zeros((bits >> 15, 4096), dtype=np.uint8)
-    for piece, bitmap in pieces.collect():
-        out[piece - 1] = np.frombuffer(bitmap, dtype=np.uint8)
-    return out
+            edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            runs = np.flatnonzero(np.diff(edge) > 1)
+            keys, shorts = [], []
+            for r in np.unique(np.concatenate([[0], runs, [len(edge) - 2]])).tolist():
+                here, rows = int(key[edge[r]]), line[edge[r] : edge[r + 1]]
+                names = rows & ~1
+                if here != open_key:
+                    open_key = None
+                    if held is not None and held[0] == here:
+                        names = np.concatenate([[held[1]], names])
+                    elif rows[0] & 1:
+                        held = None
+                        continue
+                    held = (here, int(names[0]))
+                    if not (names != names[0]).any():
+                        continue
+                    open_key, held = here, None
+                keys.append(np.full(len(names), here))
+                shorts.append(names)
+            none = [np.zeros(0, dtype=np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + keys)), pa.array(np.concatenate(none + shorts))], names=["key", "short"])
+
+    rows = keys.repartition("key").sortWithinPartitions("key", F.col("line").bitwiseAND(F.lit(1)))
+    return by_batch(rows, work, "key long, short long").distinct()
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line_id, line) of the wanted line ids. The sieve keeps other lines out of the shuffle; the join is exact."""
-    sent = docs.sparkSession.sparkContext.broadcast(sieve(wanted))
+    """(short, line_id, line) of the wanted lines. The sieve keeps other lines out of the shuffle; the join is exact."""
+    sent = docs.sparkSession.sparkContext.broadcast(sieve(wanted, "short"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = sent.value
-        last = np.uint64((len(bitmap) << 15) - 1)
         for batch in batches:
             texts = texts_of(batch)
             for low in range(0, len(texts), 1000):
                 found = list({s for t in texts[low : low + 1000] for _, s in lines_of(t) if len(s) >= CHARS})
-                ids = np.array([line_id(s) for s in found], dtype=np.int64)
-                at = ids.view(np.uint64) >> np.uint64(1) & last
-                piece, bit = (at >> np.uint64(15)).astype(np.int64), (at & np.uint64(32767)).astype(np.int64)
-                kept = np.flatnonzero(bitmap[piece, bit >> 3] >> (bit & 7) & 1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array([found[k] for k in kept.tolist()], pa.string())], names=["line_id", "line"])
+                ids = np.array([short_id(s) for s in found], dtype=np.int64)
+                kept = members_of(bitmap, ids)
+                lines = [found[k] for k in kept.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array([line_id(s) for s in lines], pa.binary()), pa.array(lines, pa.string())], names=["short", "line_id", "line"])
 
-    every = by_batch(docs, work, "line_id long, line string")
-    return every.join(wanted, "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
+    every = by_batch(docs, work, "short long, line_id binary, line string")
+    return every.join(wanted, "short", "left_semi").groupBy("line_id").agg(F.first("short").alias("short"), F.first("line").alias("line"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) of the pairs within the allowed edits."""
-    both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("y")), "b")
+class Core:
+    """Some lines of a run, and which of them are joined."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            right = [close(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(right, pa.bool_()))
+    def __init__(self, run: dict[bytes, str]):
+        self.ids, self.texts = list(run), list(run.values())
+        self.sign = np.array([signature(t) for t in self.texts], dtype=np.uint64)
+        self.size = np.array([len(t) for t in self.texts])
+        self.links = forest(self.texts)
+        self.part = np.arange(len(self.ids))
+        for i, j in self.links:  # a forest grows from its roots
+            self.part[j] = self.part[i]
+
+    def pairs(self) -> list[tuple[bytes, bytes]]:
+        return [(self.ids[i], self.ids[j]) for i, j in self.links]
 
-    return by_batch(both.select("a", "b", "x", "y"), work, "a long, b long")
+    def beside(self, name: bytes, text: str, sign: int) -> list[tuple[bytes, bytes]]:
+        """One link from another line to each part that it is close to."""
+        may = np.flatnonzero((np.abs(self.size - len(text)) <= EDITS) & (np.bitwise_count(self.sign ^ np.uint64(sign)) <= FLIPS * EDITS))
+        met: dict[int, bytes] = {}
+        for i in may.tolist():
+            if int(self.part[i]) not in met and close(self.texts[i], text):
+                met[int(self.part[i])] = self.ids[i]
+        return [(m, name) for m in met.values()]
 
 
-def crowded_links(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b) that connect the lines of crowded keys; members: key, line_id, indexed.
+def run_links(rows: DataFrame, hold: int, last: bool) -> DataFrame:
+    """(a, b, key, line_id, line, sign): links within runs of one key (a, b), and all rows of runs that are too long.
 
-    Blocks of index entries meet blocks of all lines of their key; each block pair has its own forest.
+    Of a run that is too long the first ``hold`` lines are compared with all others. ``last``: all runs are held.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.count_if("indexed").alias("n_index"))
-    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
-    own = lambda c: F.pmod(F.xxhash64("line_id"), blocks(c)).cast("int")
-    spread = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
-    beside = F.transform(spread("n"), lambda j: F.struct(own("n_index").alias("i"), j.alias("j")))
-    below = F.transform(spread("n_index"), lambda i: F.struct(i.alias("i"), own("n").alias("j")))
-    dealt = (
-        members.join(sizes, "key")
-        .select("key", "line_id", F.explode(F.array_distinct(F.when(F.col("indexed"), F.concat(beside, below)).otherwise(below))).alias("p"))
-        .select("key", "p.i", "p.j", "line_id")
-        .join(texts, "line_id")
-        .groupBy("key", "i", "j")
-        .agg(F.collect_set(F.struct("line_id", "line")).alias("lines"))
-        .where(F.size("lines") > 1)
-        .select("lines")
-    )
+    names = ["a", "b", "key", "line_id", "line", "sign"]
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.string(), pa.int64()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, chars = None, 0
+        run: dict[bytes, str] = {}
+        core: Core | None = None
+        pairs: list[tuple[bytes, bytes]] = []
+        passed: list[tuple[int, bytes, str, int]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            ends = [pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ends, *[pa.nulls(len(pairs), k) for k in kinds[2:]]], names=names)
+            rest = [pa.array([p[k] for p in passed], kind) for k, kind in enumerate(kinds[2:])]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(passed), k) for k in kinds[:2]], *rest], names=names)
+            pairs.clear()
+            passed.clear()
+
+        def settle() -> None:
+            if core is None and len(run) > 1:
+                pairs.extend(Core(run).pairs())
+
         for batch in batches:
-            for rows in batch.column("lines"):
-                group = rows.as_py()
-                found = forest([g["line"] for g in group])
-                yield pa.RecordBatch.from_arrays([pa.array([group[i]["line_id"] for i, _ in found], pa.int64()), pa.array([group[j]["line_id"] for _, j in found], pa.int64())], names=["a", "b"])
+            for here, name, text in zip(batch.column("key").to_pylist(), batch.column("line_id").to_pylist(), batch.column("line").to_pylist()):
+                if here != key:
+                    settle()
+                    key, chars, run, core = here, 0, {}, None
+                if core is not None:
+                    sign = signature(text)
+                    pairs.extend(core.beside(name, text, sign))
+                    passed.append((here, name, text, signed(sign)))
+                    continue
+                run[name] = text
+                chars += len(text)
+                if not last and len(run) > 1 and (len(run) > hold or chars > HOLD_CHARS):
+                    core = Core(run)
+                    pairs.extend(core.pairs())
+                    passed.extend((here, n, t, signed(int(s))) for n, t, s in zip(core.ids, core.texts, core.sign))
+            if len(pairs) + len(passed) > 5000:
+                yield from out()
+        settle()
+        yield from out()
 
-    return by_batch(dealt, work, "a long, b long")
+    return by_batch(rows.select("key", "line_id", "line").repartition("key").sortWithinPartitions("key", "line_id"), work, "a binary, b binary, key long, line_id binary, line string, sign long")
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = PAIRS, block: int = BLOCK) -> DataFrame:
+def links(members: DataFrame, texts: DataFrame, hold: int | None = None) -> DataFrame:
+    """(a, b) line ids that connect all lines within the allowed edits; members: key, short.
+
+    Keys of too many lines are looked at again where their lines are not all of one component yet: each line is dealt
+    by every choice of bands of its signature, and groups of one component are left out before their texts move.
+    """
+    rows = members.join(texts, "short").select("key", "line_id", "line")
+    every = None
+    for level in range(LEVELS + 1):
+        found = staged(run_links(rows, hold or HOLD, level == LEVELS), "runs")
+        pairs = found.where("a is not null").select("a", "b")
+        every = pairs if every is None else every.unionByName(pairs)
+        more = found.where("a is null").select("key", "line_id", "line", "sign")
+        if more.isEmpty():
+            break
+        root = components(every).withColumnRenamed("node", "line_id")
+        mixed = lambda x: x.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        rooted = staged(more.join(root, "line_id", "left").withColumn("root", F.coalesce("root", "line_id")), "rooted")
+        keys = [F.xxhash64("key", F.lit(g), F.col("sign").bitwiseAND(F.lit(m))) for g, (m,) in enumerate(band_choices(level, FLIPS * EDITS))]
+        dealt = staged(rooted.join(mixed(rooted), "key", "left_semi").select("line_id", "root", F.explode(F.array(*keys)).alias("key")), "dealt")
+        rows = dealt.join(mixed(dealt), "key", "left_semi").select("key", "line_id").join(rooted.select("line_id", "line").dropDuplicates(["line_id"]), "line_id")
+    return every
+
+
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold: int | None = None) -> DataFrame:
     """(doc_id, line_no, class_doc, class_line) of every line of docs that is not blank.
 
     Lines are compared without the white space around them. A class is what links connect: equal lines, and lines of
     CHARS characters or more within one edit for each CHARS of the shorter one, EDITS at most. It is named by its first
     line (smallest doc_id, null first, then line number); a line is a duplicate unless it is that one. Null and empty
-    texts have no lines; rows that repeat an id are taken as they come.
+    texts have no lines. Rows that repeat an id, or have none, are taken as they come: their equal line numbers are
+    ties that name the same place. Lines of any length are compared whole. Columns of docs beside these two are not
+    read, whatever their names. An empty table gives no rows.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lines = staged(line_table(chosen), "lines")
-    found = staged(candidates(key_table(chosen), most), "candidates")
-    pairs = staged(found.where("b is not null").select("a", "b").distinct(), "pairs")
-    members = staged(found.where("b is null").groupBy("key", F.col("a").bitwiseAND(F.lit(-2)).alias("line_id")).agg(F.bool_or(F.col("a").bitwiseAND(F.lit(1)) == 0).alias("indexed")), "members")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).unionByName(members.select("line_id")).distinct()
-    texts = staged(line_texts(chosen, wanted), "texts")
-    root = components(verified(pairs, texts).unionByName(crowded_links(members, texts, block)))
+    members = staged(shared_keys(key_table(chosen)), "members")
+    texts = staged(line_texts(chosen, members.select("short").distinct()), "texts")
+    root = components(links(members, texts, hold))
     classed = lines.join(root.withColumnRenamed("node", "line_id"), "line_id", "left").select("doc_id", "line_no", F.coalesce("root", "line_id").alias("class"))
     # a table of its own, so that the join can split the rows of a hot class
     first = staged(classed.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("f")), "classes")
@@ -356,7 +381,19 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     """docs with the text's duplicate lines taken out; blank lines stay, columns stay. Ids are expected to be unique."""
     again = line_classes(docs).where("doc_id is distinct from class_doc or line_no <> class_line")
     gone = again.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i.cast("long")))
-    text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
-    return both.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select(*[docs[c] for c in docs.columns], "__gone")
+
+    columns = docs.columns
+
+    def left(text: str | None, lines: list[int] | None) -> str | None:
+        if not lines or text is None:
+            return text
+        out = set(lines)
+        return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in out)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array(map(left, batch.column("text").to_pylist(), batch.column("__gone").to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in columns], names=columns)
+
+    return by_batch(both, work, docs.schema)
