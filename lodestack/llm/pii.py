@@ -9,28 +9,47 @@ different ones stay different. E-mail addresses, which have no number format, ge
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
 #: What is looked for, tried in this order at each place.
+MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+LONG_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+DAY, DAY_1 = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|[12][0-9]|3[01])"
+MONTH, MONTH_1, YEAR = "(?:0[1-9]|1[0-2])", "(?:0?[1-9]|1[0-2])", "(?:19|20)[0-9]{2}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "iso_date": r"(?<![0-9.-])(?:19|20)[0-9]{2}([-/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])",
-    "day_date": r"(?<![0-9.])(?:0[1-9]|[12][0-9]|3[01])\.(?:0[1-9]|1[0-2])\.(?:19|20)[0-9]{2}(?![0-9])",
-    "month_date": r"(?<![0-9/])(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/(?:19|20)[0-9]{2}(?![0-9/])",
+    "ipv6": r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Fa-f:.])",
+    "iso_date": rf"(?<![0-9.-]){YEAR}(?:-{MONTH}-{DAY}|/{MONTH}/{DAY})(?![0-9-])",
+    "iso_date_1": rf"(?<![0-9.-]){YEAR}-{MONTH_1}-{DAY_1}(?![0-9-])",
+    "point_date": rf"(?<![0-9.]){DAY}\.{MONTH}\.{YEAR}(?![0-9])",
+    "point_date_1": rf"(?<![0-9.]){DAY_1}\.{MONTH_1}\.{YEAR}(?![0-9])",
+    "month_date": rf"(?<![0-9/]){MONTH}/{DAY}/{YEAR}(?![0-9/])",
+    "month_date_1": rf"(?<![0-9/]){MONTH_1}/{DAY_1}/{YEAR}(?![0-9/])",
+    "day_date": rf"(?<![0-9/])(?:1[3-9]|2[0-9]|3[01])/{MONTH}/{YEAR}(?![0-9/])",
+    "day_date_1": rf"(?<![0-9/])(?:1[3-9]|2[0-9]|3[01])/{MONTH_1}/{YEAR}(?![0-9/])",
+    "word_date": rf"\b(?:{MONTHS}) {DAY_1}, {YEAR}(?![0-9])",
+    "long_date": rf"\b(?:{LONG_MONTHS}) {DAY_1}, {YEAR}(?![0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "cards": r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){2,}(?:[ -][0-9]{1,3})?(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19})(?![0-9])",
     "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "e164": r"(?<![0-9+])\+[1-9][0-9]{7,14}(?![0-9])",
+    "e164": r"(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,12})){1,4}(?![0-9])",
 }
-ANY = "|".join(p.replace(r"([-/])", r"(?:[-/])").replace(r"\1", "[-/]") for p in PATTERNS.values())
+ANY = "|".join(PATTERNS.values())
 KINDS = ("email", "iban", "date", "ip", "ssn", "card", "phone")
 FIRST_DAY, DAYS = "1900-01-01", 73049
+#: Layouts of the date patterns.
+LAYOUTS = {
+    "iso_date": "yyyy-MM-dd", "iso_date_1": "yyyy-M-d", "point_date": "dd.MM.yyyy", "point_date_1": "d.M.yyyy", "month_date": "MM/dd/yyyy", "month_date_1": "M/d/yyyy",
+    "day_date": "dd/MM/yyyy", "day_date_1": "d/M/yyyy", "word_date": "MMM d, yyyy", "long_date": "MMMM d, yyyy",
+}
 
 
 def _keyed(key: str, tweak: str, i: Column, half: Column) -> Column:
@@ -114,6 +133,26 @@ def card(m: Column, key: str) -> Column:
     return F.when(luhn_sum(d, 1) % 10 == 0, F.transform(F.array(full), lambda x: with_digits(m, x))[0])
 
 
+def cards(m: Column, key: str) -> Column:
+    """The first card in a run of groups of four and perhaps a shorter last one; null if there is none.
+
+    Of the cards that begin at a group (19 digits, 16 or 13) the leftmost and then longest counts, so that numbers
+    beside it (another number, an expiry date, a security code) do not hide it.
+    """
+    d = digits(m)
+    sizes = F.array(*[F.lit(n) for n in (19, 16, 13)])
+    starts = F.sequence(F.lit(0), F.length(d) - 12, F.lit(4))
+    spots = F.flatten(F.transform(starts, lambda i: F.transform(sizes, lambda n: F.struct(i.alias("i"), n.alias("n")))))
+    fits = lambda p: (p["i"] + p["n"] <= F.length(d)) & ((p["n"] == 16) | (p["i"] + p["n"] == F.length(d)))
+    found = F.get(F.filter(spots, lambda p: fits(p) & (luhn_sum(F.substring(d, p["i"] + 1, p["n"]), 1) % 10 == 0)), F.lit(0))
+
+    def changed(p: Column) -> Column:
+        new = card(F.substring(d, p["i"] + 1, p["n"]), key)
+        return with_digits(m, F.concat(F.substring(d, F.lit(1), p["i"]), new, F.substring(d, p["i"] + p["n"] + 1, F.length(d))))
+
+    return F.transform(F.array(found), lambda p: F.when(p.isNotNull(), changed(p)))[0]
+
+
 def ssn(m: Column, key: str) -> Column:
     def valid(x: Column) -> Column:
         area, rest = _over(x, F.lit(1_000_000)), F.pmod(x, F.lit(1_000_000))
@@ -135,9 +174,26 @@ def phone(m: Column, key: str) -> Column:
 
 
 def e164(m: Column, key: str) -> Column:
-    """The country code's first digit stays, the others are permuted."""
+    """The country code's first digit and the layout stay, the other digits are permuted; null beyond 8 to 15 digits."""
     d = digits(m)
-    return F.concat(F.lit("+"), F.substring(d, 1, 1), permuted_digits(F.substring(d, F.lit(2), F.length(d) - 1), key, "e164"))
+    new = F.concat(F.substring(d, 1, 1), permuted_digits(F.substring(d, F.lit(2), F.length(d) - 1), key, "e164"))
+    return F.when(F.length(d).between(8, 15), F.transform(F.array(new), lambda x: with_digits(m, x))[0])
+
+
+def ipv6(m: Column, key: str) -> Column:
+    """An address of eight groups; ways to write the same address give the same one. Null if groups are missing."""
+    half = F.split(m, "::")
+    groups = lambda i: F.filter(F.split(F.coalesce(F.get(half, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+    gap = 8 - F.size(groups(0)) - F.size(groups(1))
+    full = F.transform(F.concat(groups(0), F.array_repeat(F.lit("0"), gap), groups(1)), lambda g: F.conv(g, 16, 10).cast("long"))
+    # four numbers of 32 bits: two networks, crossed by a third and fourth
+    two = lambda a, b, t: F.transform(F.array(feistel(a, b, F.lit(1 << 32), F.lit(1 << 32), key, t)), lambda o: F.array(o["l"], o["r"]))[0]
+    number = lambda i: F.get(full, F.lit(2 * i)) * 65536 + F.get(full, F.lit(2 * i + 1))
+    first = F.struct(two(number(0), number(1), "ipv6-a").alias("a"), two(number(2), number(3), "ipv6-b").alias("b"))
+    second = F.transform(F.array(first), lambda x: F.struct(two(x["a"][0], x["b"][0], "ipv6-c").alias("a"), two(x["a"][1], x["b"][1], "ipv6-d").alias("b")))[0]
+    hexes = lambda x: F.concat(F.lower(F.hex(_over(x, F.lit(65536)))), F.lit(":"), F.lower(F.hex(F.pmod(x, F.lit(65536)))))
+    text = F.transform(F.array(second), lambda x: F.array_join(F.transform(F.concat(x["a"], x["b"]), hexes), ":"))[0]
+    return F.when(F.when(m.contains("::"), gap > 0).otherwise(gap == 0), text)
 
 
 def ip(m: Column, key: str) -> Column:
@@ -150,11 +206,14 @@ def ip(m: Column, key: str) -> Column:
 
 
 def date(m: Column, layout: str, key: str) -> Column:
-    """A date of 1900-2099 in the same layout; null if m is no date (30 February)."""
-    day = F.try_to_date(m, layout)
-    index = F.datediff(day, F.to_date(F.lit(FIRST_DAY)))
-    new = walked(index, F.lit(271), F.lit(270), key, "date", lambda x: x < DAYS, 12)
-    return F.date_format(F.date_add(F.to_date(F.lit(FIRST_DAY)), new.cast("int")), layout)
+    """A date of 1900-2099 in the same layout; null if m is no date (30 February). A day-first layout with slashes,
+    which only days after the 12th tell from a month-first one, stays among such days."""
+    first = F.to_date(F.lit(FIRST_DAY))
+    index = F.datediff(F.try_to_date(m, layout), first)
+    tells = lambda x: F.dayofmonth(F.date_add(first, F.least(x, F.lit(DAYS - 1)).cast("int"))) > 12
+    same = (lambda x: (x < DAYS) & tells(x)) if layout in ("dd/MM/yyyy", "d/M/yyyy") else (lambda x: x < DAYS)
+    new = walked(index, F.lit(271), F.lit(270), key, "date", same, 60)
+    return F.date_format(F.date_add(first, new.cast("int")), layout)
 
 
 def mod97(s: Column) -> Column:
@@ -165,14 +224,25 @@ def mod97(s: Column) -> Column:
 
 
 def iban(m: Column, key: str) -> Column:
-    """The account's digits are permuted and the check digits set right; null if the check fails."""
-    flat = F.replace(m, F.lit(" "), F.lit(""))
-    head, own = F.substring(flat, 1, 2), F.substring(flat, F.lit(5), F.length(flat))
-    valid = mod97(F.concat(own, head, F.substring(flat, 3, 2))) == 1
-    new = F.when(F.length(digits(own)) > 1, with_digits(own, permuted_digits(digits(own), key, "iban"))).otherwise(own)
-    check = lambda x: F.lpad((98 - mod97(F.concat(x, head, F.lit("00")))).cast("string"), 2, "0")
-    full = F.transform(F.array(new), lambda x: F.concat(check(x), digits(x)))[0]
-    return F.when(valid, F.transform(F.array(full), lambda x: with_digits(m, x))[0])
+    """The account's digits are permuted and the check digits set right; null if no check holds.
+
+    The longest beginning of m that ends with a group and holds counts, so that a word behind it does not hide it.
+    """
+    ends = F.filter(F.sequence(F.length(m), F.lit(15), F.lit(-1)), lambda n: (n == F.length(m)) | (F.substring(m, n + 1, F.lit(1)) == " "))
+    heads = F.filter(F.when(F.length(m) >= 15, ends), lambda n: F.substring(m, n, F.lit(1)) != " ")
+    flat = lambda n: F.replace(F.substring(m, F.lit(1), n), F.lit(" "), F.lit(""))
+    holds = lambda x: mod97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))) == 1
+    found = F.get(F.filter(heads, lambda n: (F.length(flat(n)) >= 15) & holds(flat(n))), F.lit(0))
+
+    def changed(n: Column) -> Column:
+        head, own = F.substring(flat(n), 1, 2), F.substring(flat(n), F.lit(5), F.length(flat(n)))
+        new = F.when(F.length(digits(own)) > 1, with_digits(own, permuted_digits(digits(own), key, "iban"))).otherwise(own)
+        check = lambda x: F.lpad((98 - mod97(F.concat(x, head, F.lit("00")))).cast("string"), 2, "0")
+        full = F.transform(F.array(new), lambda x: F.concat(check(x), digits(x)))[0]
+        text = F.transform(F.array(full), lambda x: with_digits(F.substring(m, F.lit(1), n), x))[0]
+        return F.concat(text, F.substring(m, n + 1, F.length(m)))
+
+    return F.transform(F.array(found), lambda n: F.when(n.isNotNull(), changed(n)))[0]
 
 
 def email(m: Column, key: str) -> Column:
@@ -183,16 +253,16 @@ def email(m: Column, key: str) -> Column:
 def pseudonym(m: Column, key: str) -> Column:
     """struct(kind, text) of one match; kind is null and the text unchanged if no format validates it."""
     full = lambda p: m.rlike(rf"\A(?:{PATTERNS[p]})\z")
-    iso = lambda sep: F.substring(m, 5, 1) == sep
+    dates = [("date", full(p) & (m.contains("-") if p == "iso_date" else F.lit(True)), date(m, layout, key)) for p, layout in LAYOUTS.items()]
     forms = [
         ("email", full("email"), email(m, key)),
         ("iban", full("iban"), iban(m, key)),
-        ("date", full("iso_date") & iso("-"), date(m, "yyyy-MM-dd", key)),
+        ("ip", full("ipv6"), ipv6(m, key)),
+        *dates,
         ("date", full("iso_date"), date(m, "yyyy/MM/dd", key)),
-        ("date", full("day_date"), date(m, "dd.MM.yyyy", key)),
-        ("date", full("month_date"), date(m, "MM/dd/yyyy", key)),
         ("ip", full("ip"), ip(m, key)),
         ("ssn", full("ssn"), ssn(m, key)),
+        ("card", full("cards"), cards(m, key)),
         ("card", full("card"), card(m, key)),
         ("phone", full("phone"), phone(m, key)),
         ("phone", full("e164"), e164(m, key)),
@@ -204,13 +274,22 @@ def pseudonym(m: Column, key: str) -> Column:
     return F.transform(F.array(choice), kept)[0]
 
 
-def pseudonymize(docs: DataFrame, key: str = "lodestack", text_col: str = "text") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key in the setting ``lodestack.pii.key``; where it is unset, one is drawn for the session and kept there."""
+    if not (key := spark.conf.get("lodestack.pii.key", None)):
+        spark.conf.set("lodestack.pii.key", key := secrets.token_hex(16))
+    return key
+
+
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with the text's validated values replaced, and n_<kind> counts of them for each of KINDS.
 
     Whole texts; null stays null and empty stays empty, with counts of 0. Candidates that fail their validation
-    stay as they are. Rows are handled one by one, so repeats stay repeats and nothing is shuffled. Columns named
+    stay as they are. Whoever has the key can invert the pseudonyms, so there is no default. Rows are handled one by one, so repeats stay repeats and nothing is shuffled. Columns named
     n_<kind> that docs has already are replaced.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.col(text_col)
     some = F.when(text.rlike("[0-9@]"), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key)))
     found = docs.drop(*[f"n_{k}" for k in KINDS]).withColumn("__new", some)
