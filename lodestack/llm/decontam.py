@@ -5,8 +5,8 @@ of known words that are long enough for the shortest window. The suffixes of wha
 doubling, every benchmark suffix is binary-searched, and the interval of suffixes that share its window gives all
 occurrences. Neighbouring windows on one diagonal are joined into the longest verbatim matches with their places.
 
-The benchmark is cut into blocks of a bounded number of words; each block is broadcast, and every shard is searched
-for one block after another, so neither side has to fit into memory.
+The benchmark is cut into blocks of a bounded number of words; each block is broadcast to the executors' disks, and
+every shard is searched for one block after another, which a worker lets go before it loads the next.
 """
 
 from __future__ import annotations
@@ -78,8 +78,10 @@ def blocks_of(benchmark: DataFrame, window: int, id_col: str, text_col: str) ->
         yield block
 
 
-#: Item name to (length, word position, item position) of its longest match.
-Found = dict[str, tuple[int, int, int]]
+#: (item name, length, word position, item position) of verbatim matches that cannot be made longer.
+Found = list[tuple[str, int, int, int]]
+#: Pairs of a match and an item that has it which are looked at together.
+PAIRS = 2_000_000
 
 
 def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
@@ -122,7 +124,7 @@ def intervals(seq: np.ndarray, order: np.ndarray, windows: np.ndarray, sizes: np
 
 
 def search_shard(docs: list[list[bytes]], block: Block, hit: np.ndarray, bounds: np.ndarray, found: list[Found]) -> None:
-    """Mark hit words of a shard and note each document's items with (length, word position, item position)."""
+    """Mark hit words of a shard and note each document's matches."""
     windows, sizes = block.table()
     get = block.vocabulary.get
     flat = np.zeros(int(bounds[-1]) + len(docs), dtype=np.int32)
@@ -156,11 +158,20 @@ def search_shard(docs: list[list[bytes]], block: Block, hit: np.ndarray, bounds:
     hit |= np.cumsum(cover)[:-1] > 0
     owned = block.owners
     own_count = np.array([len(owned[k]) for k in met.tolist()])
-    own_start = np.zeros(len(windows), dtype=np.int64)
-    own_start[met] = np.cumsum(own_count) - own_count
+    own_start, many = np.zeros(len(windows), dtype=np.int64), np.zeros(len(windows), dtype=np.int64)
+    own_start[met], many[met] = np.cumsum(own_count) - own_count, own_count
     own = np.array([x for k in met.tolist() for x in owned[k]], dtype=np.int64).reshape(-1, 2)
-    many = np.zeros(len(windows), dtype=np.int64)
-    many[met] = own_count
+    by = np.argsort(doc, kind="stable")
+    doc, at, which = doc[by], at[by], which[by]
+    # some documents at a time: a passage that many items hold has a row for each of them
+    turn = np.cumsum(many[which]) // PAIRS
+    turn = np.maximum.accumulate(np.where(np.concatenate([[True], doc[1:] != doc[:-1]]), turn, 0))
+    for low, high in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate([[0], np.flatnonzero(turn[1:] != turn[:-1]) + 1, [len(turn)]]))):
+        note_matches(doc[low:high], at[low:high], which[low:high], sizes, own, own_start, many, bounds, block.items, found)
+
+
+def note_matches(doc: np.ndarray, at: np.ndarray, which: np.ndarray, sizes: np.ndarray, own: np.ndarray, own_start: np.ndarray, many: np.ndarray, bounds: np.ndarray, names: list[str], found: list[Found]) -> None:
+    """Join windows that follow each other on one diagonal of a document and an item."""
     rep = many[which]
     pick = np.repeat(own_start[which], rep) + np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep)
     doc, at, size = np.repeat(doc, rep), np.repeat(at, rep), np.repeat(sizes[which], rep)
@@ -172,13 +183,11 @@ def search_shard(docs: list[list[bytes]], block: Block, hit: np.ndarray, bounds:
     head = np.flatnonzero(new)
     run = np.diff(np.append(head, len(by)))
     for d, i, a, p, n in zip(doc[head].tolist(), item[head].tolist(), (at[head] - bounds[doc[head]]).tolist(), item_at[head].tolist(), (run - 1 + size[head]).tolist()):
-        name = block.items[i]
-        if n > found[d].get(name, (0, 0, 0))[0]:
-            found[d][name] = (n, a, p)
+        found[d].append((names[i], n, a, p))
 
 
 def scan(texts: list[str], sent: list[Broadcast[Block]]) -> tuple[np.ndarray, np.ndarray, list[Found]]:
-    """Word counts, hit word counts and longest matches of some texts, one shard after another."""
+    """Word counts, hit word counts and matches of some texts, one shard after another."""
     n_words, n_hit, all_found = [], [], []
     shard: list[list[bytes]] = []
     size = 0
@@ -188,9 +197,11 @@ def scan(texts: list[str], sent: list[Broadcast[Block]]) -> tuple[np.ndarray, np
         if size > SHARD_WORDS or k == len(texts) - 1:
             bounds = np.concatenate([[0], np.cumsum([len(w) for w in shard])]).astype(np.int64)
             hit = np.zeros(size, dtype=bool)
-            found: list[Found] = [{} for _ in shard]
+            found: list[Found] = [[] for _ in shard]
             for one in sent:
                 search_shard(shard, one.value, hit, bounds, found)
+                if len(sent) > 1:
+                    one.__dict__.pop("_value", None)  # it is read from disk again for the next shard
             n_words.append(np.diff(bounds))
             n_hit.append(np.diff(np.concatenate([[0], np.cumsum(hit)])[bounds]))
             all_found += found
@@ -207,8 +218,8 @@ def sent_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit (words inside an occurrence of a window), and matches.
 
-    matches lists for each item with an occurring window its longest verbatim match: item, n_words, doc_at, item_at
-    (word positions from 0), ordered by item as a string. Items shorter than the window count as one window of their
+    matches lists all verbatim matches of a window or more that cannot be made longer: item, n_words, doc_at, item_at
+    (word positions from 0), ordered by item as a string, then by place. Items shorter than the window count as one window of their
     own length; wordless and null items are never met, and a null item id is named "null". Items with the same id
     count as one. Null and empty texts have no words. Repeated rows give repeated rows.
     """
@@ -218,7 +229,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_hit, found = scan(texts_of(batch), sent)
-            matches = [[{"item": k, "n_words": f[k][0], "doc_at": f[k][1], "item_at": f[k][2]} for k in sorted(f)] for f in found]
+            matches = [[dict(zip(("item", "n_words", "doc_at", "item_at"), m)) for m in sorted(f, key=lambda m: (m[0], m[2], m[3]))] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array(matches, kind)], names=["doc_id", "n_words", "n_hit", "matches"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -227,8 +238,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
 
 def digest(matches: DataFrame) -> DataFrame:
     """The columns of the op1 query from those of find_matches."""
-    names = F.transform("matches", lambda m: m["item"])
-    return matches.select("doc_id", "n_words", "n_hit", F.size("matches").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    names = F.array_distinct(F.transform("matches", lambda m: m["item"]))
+    return matches.select("doc_id", "n_words", "n_hit", F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:

@@ -7,22 +7,41 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that a classifier is fitted on at most; every document is scored.
 SAMPLE = 4000
+#: Characters that their texts hold together at most (the first of them counts whatever its length).
+SAMPLE_CHARS = 64_000_000
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, kept_out: int, limit: int = SAMPLE) -> list[tuple[int, str, str | None, int]]:
     """Up to ``limit`` (doc_id, text, lang, label) whose crc32(doc_id as text) mod ``modulus`` is not ``kept_out``.
 
-    Which rows: those with the smallest hash of doc_id. Null ids and labels are left out, null text is empty,
-    and a doc_id that is labelled or stored more than once is used once.
+    Which rows: those with the smallest hash of doc_id, as far as SAMPLE_CHARS go. Null ids and labels are left out,
+    null text is empty. A doc_id that is labelled or stored more than once is used once, with its smallest label, and
+    its smallest text and language; the choice is made before anything comes to the driver.
     """
     key = F.col("doc_id").cast("long")
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus != kept_out)
-    rows = known.select(key.alias("doc_id"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(limit).collect()
-    y = {r["doc_id"]: r["y"] for r in reversed(rows)}
-    if not y:
+    rows = known.groupBy(key.alias("doc_id")).agg(F.min(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
+    if not rows:
         return []
-    picked = docs.sparkSession.createDataFrame([(k,) for k in y], "picked long")  # at most ``limit`` ids
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    found = docs.join(F.broadcast(picked), key == F.col("picked"), "left_semi").select(key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).collect()
-    texts = {r["doc_id"]: (r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["text"], r["lang"] or ""))}
-    return [(k, *texts[k], y[k]) for k in sorted(texts)]
+    y = {r["doc_id"]: r["y"] for r in rows}
+
+    def stored(ids: list[int]) -> DataFrame:
+        """One row for each of the ids, at most ``limit``."""
+        picked = docs.sparkSession.createDataFrame([(k,) for k in ids], "picked long")
+        lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+        row = F.struct(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(lang, F.lit("")).alias("lang"))
+        found = docs.join(F.broadcast(picked), key == F.col("picked"), "left_semi").select(key.alias("doc_id"), row.alias("r"))
+        return found.groupBy("doc_id").agg(F.min("r").alias("r"))
+
+    chars = {r["doc_id"]: r["n"] for r in stored(list(y)).select("doc_id", F.length("r.text").alias("n")).collect()}
+    ids, total = [], 0
+    for k in y:  # in the order of the hashes
+        if k in chars:
+            if ids and total + chars[k] > SAMPLE_CHARS:
+                break
+            ids.append(k)
+            total += chars[k]
+    if not ids:
+        return []
+    texts = {r["doc_id"]: r["r"] for r in stored(ids).collect()}
+    return [(k, texts[k]["text"], texts[k]["lang"] or None, y[k]) for k in sorted(texts)]

@@ -2,12 +2,15 @@
 
 A document's key is -ln(u) / w with u from a hash of its id and w its quality weight: ascending keys are a weighted
 sample without replacement. A source with target T and size S gives all its documents floor(T / S) times; the rest of
-T is filled in key order. Prefix sums never sort a source in one task: keys fall into as many slices as the table's
-size asks for, slices are summed first, and only the one slice where a source's budget ends is ordered.
+T is filled in key order. Prefix sums never sort a source in one task: the key range is cut at its quantiles, whatever
+the weights, slices are summed first, and only the one slice where a source's budget ends is ordered.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +19,8 @@ from .common import running_number, staged
 
 #: A source gives its own size this many times at most.
 MOST = 3
-#: Rows that one slice of the keys should hold.
-SLICE = 4000
+#: Rows that one slice of the keys should hold, and slices at most; a slice is sorted by a window, which spills.
+SLICE, SLICES = 4000, 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -56,20 +59,40 @@ def targets(sizes: DataFrame) -> DataFrame:
     return table.select("source", "source_size", want.cast("double").alias("target"))
 
 
+def sliced(base: DataFrame) -> Column:
+    """Slices of about equal numbers of rows, in the order of ``key``: the place among its approximate quantiles.
+
+    The quantiles are a bounded list. They are looked up by halving: the first half of the steps in a list of lists.
+    """
+    n = max(2, min(SLICES, base.count() // SLICE))
+    probes = F.array(*[F.lit(k / n) for k in range(1, n)])
+    cuts = sorted(set(base.agg(F.percentile_approx("key", probes, F.lit(2 * n))).first()[0] or []))
+    width = max(1, math.isqrt(len(cuts)))
+    rows = [cuts[k : k + width] for k in range(0, len(cuts), width)] or [[]]
+    past = lambda values: F.size(F.filter(values, lambda c: c < F.col("key")))
+    row = past(_listed([r[-1] for r in rows if r]))  # rows of cuts that the key is past
+    inner = F.get(F.from_json(F.lit(json.dumps(rows)), "array<array<double>>"), row)
+    return (row * width + F.coalesce(past(inner), F.lit(0))).cast("long")
+
+
+def _listed(values: list[float]) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "array<double>")
+
+
 def mix(docs: DataFrame, weight: Column | None = None, seed: int = 17) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of docs.
 
     size: words of the whole text (null: 0). Documents are taken whole; the one that crosses the budget is taken if
-    that comes nearer. Empty texts take part with size 0. Rows that repeat an id share its key, ordered by size. A
-    null source is a source of its own. An empty table gives no rows. Reruns agree.
+    that comes nearer. Empty texts take part with size 0. Rows that repeat an id share its key, ordered by size; rows
+    without an id get a key by their text. A null source is a source of its own. Columns of docs beside these three
+    are not read, whatever their names. An empty table gives no rows. Reruns agree.
     """
     w = quality_weight(F.col("text")) if weight is None else weight
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), (-F.log(u) / w).alias("key"))
     base = staged(base, "sized")
-    slices = max(64, base.count() // SLICE)
-    base = base.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * slices).cast("long"))
+    base = base.withColumn("slice", sliced(base))
     summed = staged(base.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "slices")
     sizes = summed.groupBy("source").agg(F.sum("slice_size").alias("source_size"))
     goal = staged(targets(sizes), "targets")

@@ -40,12 +40,15 @@ def test_decontamination(spark, docs_of, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for words in (1_000_000, 20):
         monkeypatch.setattr(decontam, "BLOCK_WORDS", words)
+        monkeypatch.setattr(decontam, "PAIRS", words)
         got = {r["doc_id"]: r for r in decontam.find_matches(docs, bench).collect()}
         for k, t in enumerate(texts):
             r = got[k]
-            assert (r["n_words"], r["n_hit"], [m["item"] for m in r["matches"]]) == slow_matches(t, items), k
+            assert (r["n_words"], r["n_hit"], sorted({m["item"] for m in r["matches"]})) == slow_matches(t, items), k
     whole = next(m for m in got[40]["matches"] if m["item"] == "50")
     assert (whole["n_words"], whole["doc_at"], whole["item_at"]) == (12, 1, 0)
+    twice = [(m["n_words"], m["doc_at"]) for m in decontam.find_matches(docs_of([(1, f"{ITEM} x {ITEM}")]), bench).first()["matches"] if m["item"] == "50"]
+    assert twice == [(12, 0), (12, 13)]
     made = decontam.digest(decontam.find_matches(docs, bench)).where("doc_id = 40").first()
     assert made["items_sha256"] == hashlib.sha256(b"50,51").hexdigest() and made["contaminated"]
     clean = decontam.decontaminate(docs, bench)
@@ -96,6 +99,21 @@ def test_mixing(docs_of, monkeypatch):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_rows_without_ids_and_light_documents(docs_of, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "SLICE", 50)
+    rows = [(None, f"w{k} w w", "a") for k in range(2000)] + [(7, "w w", "b")] * 300 + [(k, "w w w", "c") for k in range(900)]
+    docs = docs_of(rows)
+    got = mixing.mix(docs, weight=F.lit(0.05))
+    assert got.count() == len(rows)
+    for r in got.groupBy("source_size", "target").agg(F.sum("taken").alias("n")).collect():
+        assert abs(r["n"] - r["target"]) <= 3
+    keys = docs.select((-F.log((F.abs(F.xxhash64("text", "doc_id")) % 1000 + 1) / 1001.0) / 0.05).alias("key"))
+    sizes = [r["count"] for r in keys.withColumn("slice", mixing.sliced(keys)).groupBy("slice").count().collect()]
+    assert max(sizes) < 20 * 50  # equal keys stay together
+
+
 def test_heavier_documents_come_first(docs_of):
     from pyspark.sql import functions as F
 
@@ -133,6 +151,19 @@ def test_toxicity_gradients():
     assert np.allclose(together, [toxicity.scores(model, model.table(), [t])[0] for t in texts])  # no text sees another
 
 
+def test_sample_of_repeated_and_long_rows(spark, docs_of, monkeypatch):
+    from lodestack.llm import labelled
+
+    docs = docs_of([(1, "b"), (1, "a"), (1, None), (2, "x" * 50), (3, "y"), (None, "z")])
+    labels = spark.createDataFrame([(k, t) for k in (1, 1, 2, 3, 9, None) for t in (1, 0)] + [(3, None)], "doc_id long, toxic int")
+    got = labelled.sample(docs, labels, "toxic", 4, 7)
+    assert [(r[0], r[1][:1], r[3]) for r in got] == [(1, "", 0), (2, "x", 0), (3, "y", 0)]
+    monkeypatch.setattr(labelled, "SAMPLE_CHARS", 10)
+    few = labelled.sample(docs, labels, "toxic", 4, 7)
+    assert 0 < len(few) < 3 or all(len(r[1]) < 50 for r in few)
+    assert labelled.sample(docs, labels.limit(0), "toxic", 4, 7) == []
+
+
 def test_quality(spark, docs_of):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))

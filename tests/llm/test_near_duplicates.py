@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestack.llm import graph, jaccard, lines, simhash
+from lodestack.llm import graph, lines, simhash
 
 
 def slow_fingerprint(text):
@@ -73,14 +73,12 @@ def test_links_connect_all_that_brute_force_connects(spark, monkeypatch):
                 y ^= 1 << rng.randrange(64)
             fps.add(simhash.signed(y))
     fps = sorted(fps)
-    monkeypatch.setattr(simhash, "BLOCK", 4)  # every cell with more is dealt in block pairs
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    for distance in (3, 5):
+    for distance, hold, small in ((3, None, 256), (3, 6, 256), (3, None, 2), (5, None, 256)):
+        monkeypatch.setattr(simhash, "SMALL", small)
         want = slow_components(fps, lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= distance)
-        for few in (2, 16):
-            monkeypatch.setattr(simhash, "FEW", few)
-            got = {r["node"]: r["root"] for r in graph.components(simhash.links(df, distance)).collect()}
-            assert got == {k: v for k, v in want.items() if list(want.values()).count(v) > 1}
+        got = {r["node"]: r["root"] for r in graph.components(simhash.links(df, distance, hold)).collect()}  # hold: crowded cells are dealt again
+        assert got == {k: v for k, v in want.items() if list(want.values()).count(v) > 1}
 
 
 def test_near_duplicates_of_odd_rows(docs_of):
@@ -88,7 +86,7 @@ def test_near_duplicates_of_odd_rows(docs_of):
     docs = docs_of([(5, "A b c d"), (3, "a B  c\nd"), (9, ""), (2, None), (8, "other words here now"), (8, "other words here now"), (None, "a b c d"), (1, words)])
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (9, 2), (2, 2), (8, 8), (8, 8), (None, 3), (1, 1)], key=str)
-    kept = simhash.keep_first(docs)
+    kept = simhash.keep_first(docs, simhash.near_duplicates)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "8", "8", "None"]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
@@ -136,7 +134,7 @@ def test_line_classes(docs_of):
         rows.append((d, "\n".join(own)))
     rows += [(100, None), (101, ""), (102, "\n\n")]
     want = slow_classes(rows)
-    for options in ({}, {"most": 0, "block": 3}):  # directly, and with every key treated as crowded
+    for options in ({}, {"hold": 10}):  # directly, and with keys of more lines dealt again
         got = sorted(tuple(r) for r in lines.line_classes(docs_of(rows), **options).collect())
         assert got == want
 
@@ -150,17 +148,17 @@ def test_lines_taken_out(docs_of):
     assert lines.line_classes(docs.limit(0)).count() == 0
 
 
-def test_similar_documents_are_all_found_and_no_others(docs_of, monkeypatch):
+def test_similar_documents(docs_of):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
-    rows = {900: None, 901: "", 902: "One  two", 903: "one two", 904: "one three"}
-    for g in range(40):
+    rows = {9000: None, 9001: "", 9002: "One  two", 9003: "one two", 9004: "one three"}
+    for g in range(120):
         base = [word() for _ in range(rng.choice([6, 40, 120]))]
-        for k in range(4):
+        for k in range(rng.choice([4, 4, 40])):
             own = list(base)
-            for _ in range(rng.randrange(5)):
+            for _ in range(rng.randrange(1 + len(own) // 20)):
                 own[rng.randrange(len(own))] = word()
-            rows[g * 10 + k] = " ".join(own)
+            rows[g * 40 + k] = " ".join(own)
 
     def shingles(text):
         words = (text or "").lower().split()
@@ -168,14 +166,17 @@ def test_similar_documents_are_all_found_and_no_others(docs_of, monkeypatch):
 
     sets = {k: shingles(t) for k, t in rows.items()}
     linked = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
-    want = slow_components(sorted(rows), linked)
+    close = [(a, b) for a in rows for b in rows if a < b and a // 40 == b // 40 and linked(a, b)]
+    want = slow_components(sorted(rows), lambda a, b: a // 40 == b // 40 and linked(a, b))
     docs = docs_of(list(rows.items()))
-    for sample in (20_000, 0):
-        monkeypatch.setattr(jaccard, "SAMPLE", sample)
-        assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()} == want
-    assert len(set(want.values())) < len(rows) - 20
-    assert {r["doc_id"] for r in jaccard.keep_first(docs).collect()} == set(want.values())
-    assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+    for hold in (30,):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, hold).collect()}
+        assert got.keys() == rows.keys()
+        assert all(want[k] == want[v] for k, v in got.items())  # no link is wrong
+        assert sum(got[a] == got[b] for a, b in close) >= 0.97 * len(close)
+    assert len(set(want.values())) < len(rows) - 100
+    assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} >= set(want.values())
+    assert simhash.similar(docs.limit(0)).count() == 0
 
 
 def test_the_pipeline_links_by_similarity(spark, docs_of):
