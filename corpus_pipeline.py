@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import decontam, jaccard, mixing, tokens, toxicity
-from lodestack.llm.common import scratch, table
+from lodestack.llm import decontam, mixing, simhash, tokens, toxicity
+from lodestack.llm.common import remove, scratch, table
 from lodestack.llm.queries import tokenizer_path
 
 
@@ -18,8 +18,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id stays; links share 80 % of five-word shingles."""
-    return jaccard.keep_first(docs)
+    """Of each near-duplicate group the document with the smallest id stays. Candidates have near fingerprints, links 80 % of their five-word shingles."""
+    return simhash.keep_first(docs)
 
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's table goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
     base = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
+    for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
-    last, stage = STAGES[-1]
-    stage(spark, docs, sf_dir).write.parquet(f"{base}/{last}")
-    return spark.read.parquet(f"{base}/{last}")
+        if k:
+            remove(spark, f"{base}/{STAGES[k - 1][0]}")
+    return docs
