@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import cache
@@ -19,20 +20,54 @@ def _fold(ch: str) -> str:
     return "".join(c for c in plain if not unicodedata.combining(c))
 
 
+@cache
+def folds() -> tuple[dict[str, str], dict[str, str], str]:
+    """(characters that fold to one ASCII letter or digit, those that fold to several characters with one among them,
+    a pattern of those that fold to nothing), over all of Unicode."""
+    single: dict[str, str] = {}
+    several: dict[str, str] = {}
+    gone: list[int] = []
+    for i in range(0x80, 0x110000):
+        if 0xD800 <= i < 0xE000:
+            continue
+        plain = _fold(chr(i))
+        if not plain:
+            gone.append(i)
+        elif len(plain) == 1:
+            if plain.isascii() and plain.isalnum():
+                single[chr(i)] = plain
+        elif any(c.isascii() and c.isalnum() for c in plain):
+            several[chr(i)] = plain
+    return single, several, _class(gone)
+
+
+def _class(points: list[int]) -> str:
+    """A regular expression for any of the code points, as ranges."""
+    out, start = [], None
+    for k, i in enumerate(points):
+        start = i if start is None else start
+        if k + 1 == len(points) or points[k + 1] != i + 1:
+            out.append(rf"\x{{{start:X}}}-\x{{{i:X}}}")
+            start = None
+    return "[" + "".join(out) + "]"
+
+
 @cache
 def fold_table() -> tuple[str, str]:
-    """Characters of the basic plane that fold to one ASCII letter or digit, and what they fold to."""
-    pairs = [(chr(i), _fold(chr(i))) for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000]
-    single = [(a, b) for a, b in pairs if len(b) == 1 and b.isascii() and b.isalnum()]
-    return "".join(a for a, _ in single), "".join(b for _, b in single)
+    single = folds()[0]
+    return "".join(single), "".join(single.values())
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents. ASCII texts skip the table; letters that fold to two are spelt out."""
-    out = text
-    for ch, plain in (("ß", "ss"), ("ẞ", "ss"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
-        out = F.replace(out, F.lit(ch), F.lit(plain))
-    out = F.regexp_replace(F.translate(out, *fold_table()), r"\p{M}+", "")
+    """Lower case without accents, as ``tokenize`` does it. ASCII texts skip the tables, and the few characters that
+    fold to several are looked up one by one where there are any."""
+    _, several, gone = folds()
+    pattern = _class(sorted(map(ord, several)))
+    plain = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    spelt = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda c: F.try_element_at(plain, c))
+    pieces = F.zip_with(F.split(text, pattern, -1), F.concat(spelt, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    whole = F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
+    out = F.regexp_replace(F.translate(whole, *fold_table()), gone + "+", "")
     return F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import non_space_chars, text_quality
 
-MIN_PAGE_CHARS, OCR_PAGES = 80, 12
+MIN_PAGE_CHARS, OCR_PAGES, SNIPPET = 80, 12, 120
 MIN_COVERAGE, MIN_QUALITY = 0.5, 0.65
 
 
@@ -42,9 +42,14 @@ def gate(read: DataFrame) -> DataFrame:
 
 
 def probe(pages: DataFrame) -> DataFrame:
-    """(doc_id, kind): text if at least 0.8 of the pages have text, scanned if at most 0.2, else mixed."""
+    """(doc_id, kind, pages, chars, snippet): text if at least 0.8 of the pages have text, scanned if at most 0.2, else
+    mixed; encrypted or error where reading failed (``error``, if pages has it); snippet: its first SNIPPET characters."""
+    failed = F.max("error") if "error" in pages.columns else F.max(F.lit(None).cast("string"))
+    first = F.min_by(F.regexp_replace(F.trim("text"), r"\s+", " "), "page") if "page" in pages.columns else F.min("text")
     share = F.col("coverage")
-    return coverage(pages).withColumn("kind", F.when(share >= 0.8, "text").when(share <= 0.2, "scanned").otherwise("mixed"))
+    both = coverage(pages).join(pages.groupBy("doc_id").agg(failed.alias("_error"), F.substring(F.coalesce(first, F.lit("")), 1, SNIPPET).alias("snippet")), "doc_id")
+    kind = F.when(F.lower("_error").contains("encrypt"), "encrypted").when(F.col("_error").isNotNull(), "error").when(share >= 0.8, "text").when(share <= 0.2, "scanned").otherwise("mixed")
+    return both.withColumn("kind", kind).drop("_error")
 
 
 def searchable(texts: DataFrame, documents: DataFrame, min_quality: float = MIN_QUALITY) -> DataFrame:

@@ -6,7 +6,7 @@ keeps the optimizer from evaluating the tokenizer twice for its size filter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import stemmed, tokens
@@ -27,13 +27,23 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return toks.withColumn("dl", F.size("toks"))
 
 
+def postings_of(toks: DataFrame) -> DataFrame:
+    """(term, doc_id, dl, tf) from tokenized()."""
+    each = toks.withColumn("term", F.explode_outer("toks")).where(F.col("term").isNotNull())
+    return each.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+
+
+def stats_of(toks: DataFrame) -> DataFrame:
+    """One row (n_docs, avg_dl) from tokenized()."""
+    return toks.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_dl"))
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, doc_id, dl, tf). Documents without tokens have no posting but count in the statistics.
 
     A document's terms are counted where the document lies: rows of one document need no shuffle.
     """
-    sorted_ = tokenized(docs, id_col, text_col).withColumn("term", F.explode_outer("toks")).where(F.col("term").isNotNull())
-    return sorted_.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    return postings_of(tokenized(docs, id_col, text_col))
 
 
 def duplicate_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -43,7 +53,7 @@ def duplicate_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (n_docs, avg_dl) over all documents, empty ones included; avg_dl is 0 for an empty collection."""
-    return tokenized(docs, id_col, text_col).agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_dl"))
+    return stats_of(tokenized(docs, id_col, text_col))
 
 
 def doc_freq(post: DataFrame) -> DataFrame:
@@ -70,18 +80,35 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("doc_freq"))
 
 
-def write_index(docs: DataFrame, path: str, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text") -> None:
+#: Rows of weights that one slot should hold.
+SLOT_ROWS = 2_000_000
+
+
+def slot_of(term: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(slots)).cast("int")
+
+
+def write_index(docs: DataFrame, path: str, slots: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Persist statistics, vocabulary, and weights partitioned by a hash of the term, so that a query's terms prune files.
 
-    Texts are cut into words once; all three tables come from that. Rows of a slot stay together unless they are too many.
+    Texts are cut into words once; all tables come from that. The number of slots follows from the number of postings
+    and is kept with the statistics. Rows of a slot stay together unless they are too many.
     """
     spark = docs.sparkSession
     words = staged(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))).select("doc_id", tokens(F.col("_text"), stem=False).alias("words")), "words")
-    words.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.size("words")), F.lit(0.0)).alias("avg_dl")).write.mode("overwrite").parquet(f"{path}/stats")
     vocab = words.select(F.explode_outer(F.array_distinct("words")).alias("word")).where("word is not null").groupBy("word").agg(F.count("*").alias("doc_freq"))
     vocab.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/vocabulary")
     terms = words.select("doc_id", F.size("words").alias("dl"), F.explode_outer(stemmed(F.col("words"))).alias("term")).where("term is not null")
     post = staged(terms.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")), "postings")
-    slot = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    made = weights(post, spark.read.parquet(f"{path}/stats")).withColumn("slot", slot)
+    n = slots or max(8, -(-post.count() // SLOT_ROWS))
+    found = words.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.size("words")), F.lit(0.0)).alias("avg_dl"))
+    found.withColumn("slots", F.lit(n)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    made = weights(post, spark.read.parquet(f"{path}/stats")).withColumn("slot", slot_of(F.col("term"), n))
     made.hint("rebalance", "slot").sortWithinPartitions("slot", "term").write.mode("overwrite").partitionBy("slot").parquet(f"{path}/weights")
+
+
+def open_weights(spark: SparkSession, path: str) -> DataFrame:
+    """(term, doc_id, weight, slot) of a written index, with which ``rank.bm25`` opens only the slots of a query's terms."""
+    n = spark.read.parquet(f"{path}/stats").first()["slots"]
+    schema = "term string, doc_id long, weight double, slot int"
+    return spark.read.schema(schema).parquet(f"{path}/weights").withMetadata("slot", {"slots": n})

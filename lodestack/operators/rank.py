@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
+from .index import slot_of
 
 #: Query terms up to this number are broadcast; more are joined by shuffle.
 BROADCAST_TERMS = 200_000
@@ -18,14 +19,37 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return terms.where(F.col("term").isNotNull())
 
 
-def small_enough(terms: DataFrame) -> DataFrame:
-    """A broadcast hint only if the terms were counted and are few."""
-    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+#: Terms up to this number are also a filter on the scan.
+FILTER_TERMS = 1000
+
+
+def counted_terms(terms: DataFrame) -> list | None:
+    """The rows of the query terms if they are few enough to be broadcast, else None."""
+    rows = terms.limit(BROADCAST_TERMS + 1).collect()
+    return rows if len(rows) <= BROADCAST_TERMS else None
+
+
+def matching(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """rows (term, ...) of the query terms, with their query_id. Few terms become literal rows, which are cut and counted
+    once and broadcast; of a written index (it has ``slot``) only the terms' partitions are read."""
+    slots = rows.schema["slot"].metadata["slots"] if "slot" in rows.columns else None
+    if slots:
+        terms = terms.withColumn("slot", slot_of(F.col("term"), slots))
+    keys = ["slot", "term"] if slots else ["term"]
+    known = counted_terms(terms)
+    if known is None:
+        return rows.join(terms, keys)
+    words = {r["term"] for r in known}
+    if slots:
+        rows = rows.where(F.col("slot").isin(sorted({r["slot"] for r in known})))
+    if len(words) <= FILTER_TERMS:
+        rows = rows.where(F.col("term").isin(sorted(words)))
+    return rows.join(F.broadcast(terms.sparkSession.createDataFrame(known, terms.schema)), keys)
 
 
 def bm25(weights: DataFrame, terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score). ``allowed`` (doc_id) restricts the output, never the statistics."""
-    hits = weights.join(small_enough(terms), "term")
+    hits = matching(weights, terms)
     if allowed is not None:
         hits = hits.join(allowed.select("doc_id"), "doc_id", "left_semi")
     return hits.groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
@@ -33,7 +57,7 @@ def bm25(weights: DataFrame, terms: DataFrame, allowed: DataFrame | None = None)
 
 def naive(post: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): number of distinct query terms that the document has."""
-    return post.select("term", "doc_id").join(small_enough(terms), "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+    return matching(post.select("term", "doc_id"), terms).groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
 
 
 def ranked(scores: DataFrame, order: list[Column] | None = None) -> DataFrame:

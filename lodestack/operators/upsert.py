@@ -1,6 +1,6 @@
 """Idempotent writes as snapshot transformations: old rows, new rows, next rows.
 
-There is no MERGE on plain Parquet; a full outer join by a unique key gives the next snapshot, which publish() swaps in.
+There is no MERGE on plain Parquet; a full outer join by a unique key gives the next snapshot; publish_all() writes snapshots and then one manifest over all tables.
 """
 
 from __future__ import annotations
@@ -9,10 +9,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import normalize_alias
 from ..schemas import ACTIVITY, SCHEMA_VERSION, TABLES
+from .order import numbered
 
 
 def keep_last(batch: DataFrame, key: str, ordinal: str) -> DataFrame:
@@ -50,7 +50,7 @@ def get_or_create(dimension: DataFrame, names: DataFrame, name: str = "name") ->
     """dimension (id, name) with rows for names it lacks, numbered on from the largest id."""
     fresh = names.select(name).distinct().join(dimension.select(name), name, "left_anti")
     top = dimension.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    made = fresh.join(top).select((F.col("_top") + F.row_number().over(Window.orderBy(name))).cast("long").alias("id"), name)
+    made = numbered(fresh, [F.col(name)], "_at").join(F.broadcast(top)).select((F.col("_top") + F.col("_at") + 1).cast("long").alias("id"), name)
     return dimension.select("id", name).unionByName(made)
 
 
@@ -99,6 +99,13 @@ def mark_manual(documents: DataFrame, corrections: DataFrame) -> DataFrame:
     return documents.join(c, "id", "left").select(*[new.get(x, F.col(x)).alias(x) for x in documents.columns])
 
 
+def upsert_courses(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Courses by code: name and department follow the new rows (code, name, department_id), ids stay, new ones go on."""
+    named = get_or_create(old.select("id", F.col("code").alias("name")), new.select(F.col("code").alias("name"))).withColumnRenamed("name", "code")
+    fresh = keep_last(new.withColumn("_at", F.monotonically_increasing_id()), "code", "_at").drop("_at").join(named, "code")
+    return upsert(old, fresh.select(*old.columns), "id")
+
+
 def add_aliases(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(next aliases, conflicts). Rows: alias, course_id, verified. A nickname of two courses is a conflict, an empty
     one is refused; a known one is refreshed."""
@@ -150,34 +157,62 @@ def remaining(usage: DataFrame, limit: int) -> DataFrame:
     return usage.select("day", F.greatest(F.lit(0), limit - F.col("requests")).alias("remaining"))
 
 
-def publish(df: DataFrame, root: str, table: str) -> str:
-    """Write the next snapshot beside the others, then move the pointer: readers see the old or the new one, whole."""
-    version = uuid.uuid4().hex
-    df.write.parquet(f"{root}/{table}/{version}")
-    df.sparkSession.createDataFrame([(version, SCHEMA_VERSION)], "version string, schema_version int").coalesce(1).write.mode("overwrite").parquet(f"{root}/{table}/_current_version")
-    return version
+def publish_all(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> None:
+    """Write next snapshots beside the others, then one manifest that names every table's current one.
+
+    Manifests are numbered and never changed, and only complete ones are read: a reader, and whoever comes after a
+    crash, finds the old state or the new one, of all tables together. Two writers at once: the second fails.
+    """
+    number, known = _manifest(spark, root)
+    for table, df in tables.items():
+        version = uuid.uuid4().hex
+        df.write.parquet(f"{root}/{table}/{version}")
+        known[table] = version
+    rows = [(t, v, SCHEMA_VERSION) for t, v in sorted(known.items())]
+    spark.createDataFrame(rows, "name string, version string, schema_version int").coalesce(1).write.mode("error").parquet(f"{root}/_manifest/{number + 1:012d}")
+
+
+def publish(df: DataFrame, root: str, table: str) -> None:
+    publish_all(df.sparkSession, root, {table: df})
+
+
+def _manifest(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
+    """(number, table -> version) of the newest complete manifest; (0, {}) for none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_manifest/*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    numbers = [int(f.getPath().getParent().getName()) for f in found]
+    if not numbers:
+        return 0, {}
+    rows = spark.read.parquet(f"{root}/_manifest/{max(numbers):012d}").collect()  # a row for each table
+    if wrong := sorted({r["schema_version"] for r in rows} - {SCHEMA_VERSION}):
+        raise ValueError(f"the catalogue was written with schema {wrong[0]}, not {SCHEMA_VERSION}; read it with its own release")
+    return max(numbers), {r["name"]: r["version"] for r in rows}
 
 
 def current(spark: SparkSession, root: str, table: str) -> DataFrame:
-    row = spark.read.parquet(f"{root}/{table}/_current_version").first()
-    if row["schema_version"] != SCHEMA_VERSION:
-        raise ValueError(f"{table} was written with schema {row['schema_version']}, not {SCHEMA_VERSION}")
-    return spark.read.parquet(f"{root}/{table}/{row['version']}")
+    known = _manifest(spark, root)[1]
+    if table not in known:
+        raise ValueError(f"{root} has no table {table}")
+    return spark.read.parquet(f"{root}/{table}/{known[table]}")
 
 
 def create_schema(spark: SparkSession, root: str) -> None:
-    """Empty tables of every schema."""
+    """Tables of every schema: those that are there stay, with null in columns they lack; others are made empty."""
+    known = _manifest(spark, root)[1]
+    made = {}
     for name, ddl in TABLES.items():
-        publish(spark.createDataFrame([], ddl), root, name)
+        empty = spark.createDataFrame([], ddl)
+        if name not in known:
+            made[name] = empty
+        elif current(spark, root, name).columns != empty.columns:
+            made[name] = empty.unionByName(current(spark, root, name), allowMissingColumns=True).select(*empty.columns)
+    if made:
+        publish_all(spark, root, made)
 
 
 def export_snapshot(spark: SparkSession, root: str, target: str) -> dict[str, int]:
     """Copy a catalogue without people's activity; returns the rows of each table written."""
     if root.rstrip("/") == target.rstrip("/"):
         raise ValueError("the target is the source")
-    counts = {}
-    for name, ddl in TABLES.items():
-        df = spark.createDataFrame([], ddl) if name in ACTIVITY else current(spark, root, name)
-        publish(df, target, name)
-        counts[name] = current(spark, target, name).count()
-    return counts
+    publish_all(spark, target, {name: spark.createDataFrame([], ddl) if name in ACTIVITY else current(spark, root, name) for name, ddl in TABLES.items()})
+    return {name: current(spark, target, name).count() for name in TABLES}

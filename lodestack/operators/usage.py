@@ -1,12 +1,16 @@
 """Stateful rules over usage events: repeats, rate limits, duplicate reports.
 
-Each rule's anchor is the last *accepted* event, so lag() cannot express it: a person's events are folded in order.
-Where a pause is as long as the rule's window, nothing before it matters, so events are first cut into bursts by a window
-that sorts and spills; only one burst is ever held as an array.
+Each rule's anchor is the last *accepted* event, so lag() cannot express it: a person's events are read in order. Where a
+pause is as long as the rule's window, nothing before it matters, so events are first cut into bursts by a window that
+sorts and spills, and bursts are dealt to tasks; none is ever held whole.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,43 +27,68 @@ def logged_text(query: Column) -> Column:
     return F.substring(F.trim(query), 1, MAX_QUERY)
 
 
-def _bursts(events: DataFrame, user: str, time: str, seconds: float, *others: str) -> DataFrame:
-    """(user, _burst, _e): each burst's events in order, as structs (t, id, key)."""
-    w = Window.partitionBy(user).orderBy(time, others[0])
+def _accepted(events: DataFrame, user: str, time: str, event_id: str, columns: list[str], seconds: float, rule: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """(user, event_id) of the events that a person's rule accepts, in the order of time and id.
+
+    The events of a burst are sorted in one task and read in batches; ``rule`` makes an acceptor for each burst, which
+    holds what it needs of the past and no more.
+    """
+    w = Window.partitionBy(user).orderBy(time, event_id)
     pause = F.coalesce(F.col(time) - F.lag(time).over(w) >= seconds, F.lit(True))
-    cut = events.withColumn("_pause", pause.cast("int")).withColumn("_burst", F.sum("_pause").over(w))
-    event = F.struct(F.col(time).alias("t"), *[F.col(o).alias(a) for o, a in zip(others, ("id", "key"))])
-    return cut.groupBy(user, "_burst").agg(F.array_sort(F.collect_list(event)).alias("_e"))
+    cut = events.withColumn("_pause", pause.cast("int")).withColumn("_burst", F.sum("_pause").over(w)).select(user, "_burst", *columns, event_id)
+    place = [user, "_burst", time, event_id]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        burst, accept = None, rule()
+        for batch in batches:
+            kept = []
+            for who, n, *values in zip(batch.column(user).to_pylist(), batch.column("_burst").to_pylist(), *(batch.column(c).to_pylist() for c in columns)):
+                if (who, n) != burst:
+                    burst, accept = (who, n), rule()
+                kept.append(accept(*values))
+            yield batch.select([user, event_id]).filter(pa.array(kept, pa.bool_()))
+
+    kind = dict(events.dtypes)[user]
+    return cut.repartition(user, "_burst").sortWithinPartitions(*place).mapInArrow(work, f"{user} {kind}, {event_id} bigint")
 
 
 def dedupe(events: DataFrame, user: str, time: str, event_id: str, key: str, seconds: float = REPEAT_SECONDS) -> DataFrame:
     """Events that are logged: not those with the key of the person's last logged event less than ``seconds`` before."""
-    item = "struct<t:double,id:bigint,key:string>"
-    state = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("string").alias("key"), F.array().cast("array<bigint>").alias("kept"))
 
-    def step(s: Column, e: Column) -> Column:
-        repeat = F.coalesce((s["key"] == e["key"]) & (e["t"] - s["t"] < seconds), F.lit(False))
-        return F.when(repeat, s).otherwise(F.struct(e["t"].alias("t"), e["key"].alias("key"), F.concat(s["kept"], F.array(e["id"])).alias("kept")))
+    def rule() -> Callable[[float, str], bool]:
+        last: list = [None, None]
+
+        def accept(t: float, what: str) -> bool:
+            if what is not None and what == last[1] and t - last[0] < seconds:
+                return False
+            last[:] = t, what
+            return True
+
+        return accept
 
     seen = events.select(user, F.col(time).cast("double").alias(time), F.col(event_id).cast("bigint").alias(event_id), F.col(key).cast("string").alias(key))
-    folded = _bursts(seen, user, time, seconds, event_id, key).select(user, F.aggregate(F.col("_e").cast(f"array<{item}>"), state, step, lambda s: s["kept"]).alias("kept"))
-    return folded.select(user, F.explode("kept").alias(event_id))
+    return _accepted(seen, user, time, event_id, [time, key], seconds, rule)
 
 
 def rate_limited(events: DataFrame, user: str, time: str, event_id: str, limit: int, seconds: float) -> DataFrame:
     """(user, event_id) of allowed events: at most ``limit`` allowed ones in any window; denied ones do not count, and
     an allowed one expires exactly ``seconds`` later."""
-    item = "struct<t:double,id:bigint>"
-    state = F.struct(F.array().cast("array<double>").alias("recent"), F.array().cast("array<bigint>").alias("kept"))
 
-    def step(s: Column, e: Column) -> Column:
-        recent = F.filter(s["recent"], lambda t: t > e["t"] - seconds)
-        allowed = F.struct(F.concat(recent, F.array(e["t"])).alias("recent"), F.concat(s["kept"], F.array(e["id"])).alias("kept"))
-        return F.when(F.size(recent) < limit, allowed).otherwise(F.struct(recent.alias("recent"), s["kept"].alias("kept")))
+    def rule() -> Callable[[float], bool]:
+        recent: deque[float] = deque()
+
+        def accept(t: float) -> bool:
+            while recent and recent[0] <= t - seconds:
+                recent.popleft()
+            if len(recent) >= limit:
+                return False
+            recent.append(t)
+            return True
+
+        return accept
 
     seen = events.select(user, F.col(time).cast("double").alias(time), F.col(event_id).cast("bigint").alias(event_id))
-    folded = _bursts(seen, user, time, seconds, event_id).select(user, F.aggregate(F.col("_e").cast(f"array<{item}>"), state, step, lambda s: s["kept"]).alias("kept"))
-    return folded.select(user, F.explode("kept").alias(event_id))
+    return _accepted(seen, user, time, event_id, [time], seconds, rule)
 
 
 def new_reports(reports: DataFrame, known: DataFrame, hours: int = 24) -> DataFrame:

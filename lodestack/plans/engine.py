@@ -11,6 +11,7 @@ from ..functions import rules
 from ..operators import stacks, upsert
 from ..operators.catalog import MOST_ALIASES, Catalog, Result
 from ..operators.facets import Filters
+from ..scratch import staged
 from .chat import Form, Parsed, parse
 from .planner import Plan, Planner
 
@@ -25,6 +26,8 @@ class Engine:
         for facet in ("course", "doc_type", "exam_type", "year"):
             if filters and len(filters.values(facet)) > 20:
                 raise ValueError(f"at most 20 values of {facet}")
+        if filters and any(not 2000 <= y <= 2100 for y in filters.values("year")):
+            raise ValueError("years go from 2000 to 2100")
         return self.catalog.search(query, filters)
 
     def page(self, result: Result, number: int = 0, size: int = 20) -> DataFrame:
@@ -61,7 +64,7 @@ class Engine:
 
 
 def sync(spark: SparkSession, root: str, files: DataFrame, source_id: int, seen_at: str, retire: bool = False, force: bool = False) -> dict[str, int]:
-    """One sync of a listing into a stored catalogue: guard, upsert, retire, publish."""
+    """One sync of a listing into a stored catalogue: guard, upsert, retire, then one manifest for all that changed."""
     now = F.to_timestamp(F.lit(seen_at))
     old = upsert.current(spark, root, "raw_files")
     batch = files.withColumn("source_id", F.lit(source_id).cast("long")).withColumn("ordinal", F.monotonically_increasing_id()).withColumn("id", F.xxhash64("drive_file_id"))
@@ -69,13 +72,14 @@ def sync(spark: SparkSession, root: str, files: DataFrame, source_id: int, seen_
     if retire and upsert.partial_listing(known, listed, force):
         raise ValueError(f"the listing has {listed} files but {known} are stored; nothing was changed")
     counts = upsert.upsert_counts(old, batch, "drive_file_id").first().asDict()
-    upsert.publish(upsert.upsert_raw_files(old, batch, now), root, "raw_files")
+    files_now = staged(upsert.upsert_raw_files(old, batch, now), "raw_files")
+    changed = {"raw_files": files_now, "sources": upsert.mark_synced(upsert.current(spark, root, "sources"), source_id, now)}
     counts |= {"retired": 0, "restored": 0}
     if retire:
         before = upsert.current(spark, root, "documents")
-        after = upsert.retire_unseen(before, upsert.current(spark, root, "raw_files"), source_id, now)
-        counts |= upsert.retire_counts(before, after).first().asDict()
-        upsert.publish(after, root, "documents")
+        changed["documents"] = staged(upsert.retire_unseen(before, files_now, source_id, now), "documents")
+        counts |= upsert.retire_counts(before, changed["documents"]).first().asDict()
+    upsert.publish_all(spark, root, changed)
     return counts
 
 

@@ -34,6 +34,12 @@ def other_half_dropped(hits: DataFrame, exams: set[str]) -> DataFrame:
     return hits.where(~F.coalesce(F.col("syllabus_scope") == "post_midsem", F.lit(False))) if exams == {"midsem"} else hits
 
 
+def in_sections(*parts: DataFrame) -> DataFrame:
+    """Hit lists one after another: ``section`` tells the list, so that the order survives a shuffle."""
+    columns = [c for c in parts[0].columns if c != "section"]
+    return reduce(DataFrame.unionByName, [p.select(*columns, F.lit(k).alias("section")) for k, p in enumerate(parts)])
+
+
 @dataclass
 class Plan:
     hits: DataFrame
@@ -59,7 +65,7 @@ class Planner:
             paired = paired_solutions(matched, found)
             unread = unreadable.join(paired.select("doc_id"), "doc_id", "left_anti")
             columns = found.columns
-            found = matched.select(columns).unionByName(paired.select(columns)).unionByName(unread.select(columns))
+            found = in_sections(matched.select(columns), paired.select(columns), unread.select(columns))
         if form.quiz_number is not None and exams & set(NUMBERED_EXAMS):
             found = found.where(F.col("exam_number") == form.quiz_number)
         return found, sorted(years, reverse=True)
@@ -86,5 +92,8 @@ class Planner:
             hits, years = self.papers(form, papers)
         if others:
             more = self.material(form, others, with_years=not papers)
-            hits = more if hits is None else hits.unionByName(more.select(hits.columns))
+            columns = more.columns
+            hits = in_sections(more) if hits is None else in_sections(hits.select(columns), more)
+        elif "section" not in hits.columns:
+            hits = in_sections(hits)
         return Plan(hits, stacks.stacks(hits), years)

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .adapters import RULE_SQL, VIEW_SQL, document_view, rule_files, sql_list, sql_tokens, table
+from .adapters import RULE_SQL, STORED_SQL, VIEW_SQL, document_view, rule_files, sql_list, sql_tokens, stored_tables, table
 from .functions import identity, listing, model_json, paths, rules, text
 from .operators import catalog as cat
-from .operators import compare, content, facets, index, measure, rank, stacks, upsert, usage
-from .plans import chat, planner
+from .operators import compare, content, facets, index, measure, order, rank, records, stacks, strategies, upsert, usage
+from .plans import chat, classify, engine, planner, reading
 from .sources import files as src
 from .sources import tree
 from .vocabulary import DEFAULT_MATERIALS, DOC_TYPE_LABELS, DOC_TYPES, EXAM_TYPE_LABELS, KIND_ORDER, MATERIALS, SHOWN_EXAMS
@@ -375,31 +375,27 @@ def a21(spark, sf):
 
 @query("a22_median_chars", f"WITH {VIEW_SQL} SELECT doc_type, median(n_chars)::DOUBLE AS median_chars, count(*) AS n FROM dv JOIN documents USING (doc_id) GROUP BY doc_type")
 def a22(spark, sf):
-    both = document_view(spark, sf).join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
-    return both.groupBy("doc_type").agg(F.median("n_chars").alias("median_chars"), F.count("*").alias("n"))
+    return records.median_chars(document_view(spark, sf), table(spark, sf, "documents").select("doc_id", "n_chars"))
 
 
 @query("a23_inventory", f"WITH {VIEW_SQL} SELECT doc_type, instructor, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_type ORDER BY n DESC, instructor) AS r FROM (SELECT doc_type, instructor, count(*) AS n FROM dv GROUP BY doc_type, instructor)) WHERE r <= 5")
 def a23(spark, sf):
-    counted = document_view(spark, sf).groupBy("doc_type", "instructor").agg(F.count("*").alias("n"))
-    return counted.withColumn("r", F.row_number().over(Window.partitionBy("doc_type").orderBy(F.desc("n"), "instructor"))).where("r <= 5").drop("r")
+    return records.leading(document_view(spark, sf), "doc_type", "instructor", 5)
 
 
 @query("a14_count_by", f"WITH {VIEW_SQL} SELECT doc_type, count(*) AS n FROM dv GROUP BY doc_type")
 def a14(spark, sf):
-    return document_view(spark, sf).groupBy("doc_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_type")
+    return records.count_by(document_view(spark, sf), "doc_type")
 
 
 @query("a17_type_by_method", f"WITH {VIEW_SQL} SELECT doc_type, count(*) FILTER (method = 'rule') AS rule, count(*) FILTER (method = 'llm') AS llm, count(*) FILTER (method = 'manual') AS manual, round(avg(CASE WHEN method <> 'rule' THEN 1.0 ELSE 0.0 END), 6) AS share FROM dv GROUP BY doc_type")
 def a17(spark, sf):
-    count = lambda m: F.count_if(F.col("method") == m).alias(m)
-    return document_view(spark, sf).groupBy("doc_type").agg(count("rule"), count("llm"), count("manual"), F.round(F.avg((F.col("method") != "rule").cast("double")), 6).alias("share"))
+    return records.methods_by_type(document_view(spark, sf)).withColumn("share", F.round("share", 6))
 
 
 @query("a18_collection", f"WITH {VIEW_SQL} SELECT count(*) AS n, round(avg(CASE WHEN doc_type <> 'unknown' THEN 1.0 ELSE 0.0 END), 6) AS labelled, round(avg(CASE WHEN confidence >= 0.8 THEN 1.0 ELSE 0.0 END), 6) AS sure FROM dv")
 def a18(spark, sf):
-    share = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return document_view(spark, sf).agg(F.count("*").alias("n"), share(F.col("doc_type") != "unknown").alias("labelled"), share(F.col("confidence") >= 0.8).alias("sure"))
+    return records.collection_summary(document_view(spark, sf)).select("n", F.round("labelled", 6).alias("labelled"), F.round("sure", 6).alias("sure"))
 
 
 SHEET = "sh AS (SELECT lang AS stratum, CASE WHEN quality = 1 THEN 'y' ELSE 'n' END AS correct, doc_type, exam_type, CASE WHEN quality = 0 THEN CASE WHEN toxic = 1 THEN doc_type ELSE 'notes' END ELSE '' END AS fix_doc_type, CASE WHEN quality = 0 AND doc_id % 2 = 0 THEN 'quiz' ELSE '' END AS fix_exam_type FROM dv JOIN documents USING (doc_id) JOIN labels USING (doc_id))"
@@ -917,15 +913,154 @@ def w15(spark, sf):
     return usage.retained(e, F.lit(cutoff)).select("event_id")
 
 
-@query("l6_review_order", f"WITH {VIEW_SQL} SELECT doc_id, row_number() OVER (PARTITION BY instructor ORDER BY confidence NULLS FIRST, path, name, doc_id) AS place FROM dv")
+# --- stored tables -----------------------------------------------------------------------------------------------
+
+OPEN_ITEMS = f"WITH {STORED_SQL}, o AS (SELECT q.document_id, sr.path, sr.name, sd.extraction_confidence AS c FROM sq q JOIN sd ON sd.id = q.document_id JOIN sr ON sr.id = sd.raw_file_id WHERE q.status = 'open')"
+
+
+@query("j3_open_reviews", f"{OPEN_ITEMS} SELECT document_id, path, name, round(c, 6) AS confidence FROM o")
+def j3(spark, sf):
+    t = stored_tables(spark, sf)
+    found = records.open_reviews(t["review_queue"], t["documents"], t["raw_files"])
+    return found.select("document_id", "path", "name", F.round("extraction_confidence", 6).alias("confidence"))
+
+
+@query("l6_review_order", f"{OPEN_ITEMS} SELECT document_id, row_number() OVER (ORDER BY c NULLS FIRST, path, name, document_id) - 1 AS place FROM o")
 def l6(spark, sf):
-    order = Window.partitionBy("instructor").orderBy(F.col("confidence").asc_nulls_first(), "path", "name", "doc_id")
-    return document_view(spark, sf).select("doc_id", F.row_number().over(order).cast("long").alias("place"))
+    t = stored_tables(spark, sf)
+    found = records.with_files(t["review_queue"].where("status = 'open'"), t["documents"], t["raw_files"])
+    return order.numbered(found, records.review_order(), "place").select("document_id", "place")
 
 
 @query("l9_batches", "SELECT item_id, CAST((row_number() OVER (ORDER BY item_id) - 1) // 15 AS BIGINT) AS batch FROM benchmark")
 def l9(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", F.floor((F.row_number().over(Window.orderBy("item_id")) - 1) / 15).alias("batch"))
+    return order.batches(table(spark, sf, "benchmark").select("item_id"), [F.col("item_id")], 15)
+
+
+def reports_of(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 300).alias("document_id"), F.col("event_type").alias("type"), F.date_trunc("hour", "ts").alias("created_at"))
+
+
+REPORTS_SQL = "SELECT e.event_id AS report_id, user_id % 300 AS document_id, sr.path, row_number() OVER (ORDER BY date_trunc('hour', ts) DESC, e.event_id DESC) AS r FROM events e JOIN sd ON sd.id = user_id % 300 JOIN sr ON sr.id = sd.raw_file_id"
+
+
+@query("j4_recent_reports", f"WITH {STORED_SQL} SELECT report_id, document_id, path FROM ({REPORTS_SQL}) WHERE r <= 50")
+def j4(spark, sf):
+    t = stored_tables(spark, sf)
+    return records.recent_reports(reports_of(spark, sf), t["documents"], t["raw_files"], 50).select("report_id", "document_id", "path")
+
+
+@query("s10_raw_scan", f"WITH {STORED_SQL} SELECT drive_file_id, path FROM sr")
+def s10(spark, sf):
+    return records.raw_in_order(stored_tables(spark, sf)["raw_files"]).select("drive_file_id", "path")
+
+
+@query("s12_document_view", f"WITH {STORED_SQL} SELECT sd.id AS doc_id, drive_file_id, path, doc_type, coalesce(code, '') AS course_code, coalesce(sc.name, '') AS course_name, instructor, extraction_method AS method FROM sd JOIN sr ON sr.id = sd.raw_file_id LEFT JOIN sc ON sc.id = sd.course_id WHERE link_status <> 'broken'")
+def s12(spark, sf):
+    t = stored_tables(spark, sf)
+    view = engine.document_view(t["documents"], t["raw_files"], t["courses"])
+    return view.select("doc_id", "drive_file_id", "path", "doc_type", "course_code", "course_name", "instructor", "method")
+
+
+@query("s13_file_kinds", f"WITH {STORED_SQL} SELECT sd.id AS doc_id, drive_file_id, extension, doc_type, coalesce(code, '') AS course_code FROM sd JOIN sr ON sr.id = sd.raw_file_id LEFT JOIN sc ON sc.id = sd.course_id WHERE link_status <> 'broken'")
+def s13(spark, sf):
+    t = stored_tables(spark, sf)
+    return records.file_kinds(t["documents"], t["raw_files"], t["courses"])
+
+
+@query("q8_ids_by_raw_file", f"WITH {STORED_SQL} SELECT raw_file_id, id AS document_id, reviewed FROM sd")
+def q8(spark, sf):
+    return records.ids_by_raw_file(stored_tables(spark, sf)["documents"])
+
+
+@query("q9_model_answers", f"WITH {STORED_SQL} SELECT raw_file_id, doc_type, exam_type, exam_number, is_makeup FROM sd WHERE extraction_method = 'llm' AND NOT reviewed")
+def q9(spark, sf):
+    return records.model_answers(stored_tables(spark, sf)["documents"]).select("raw_file_id", "doc_type", "exam_type", "exam_number", "is_makeup")
+
+
+@query("a13_table_counts", f"WITH {STORED_SQL} SELECT (SELECT count(*) FROM sr) AS files, (SELECT count(*) FROM sr WHERE is_indexable) AS indexable, (SELECT count(*) FROM sr WHERE source_id = 1) AS of_source, (SELECT count(*) FROM sq WHERE status = 'open') AS open_reviews, (SELECT count(*) FROM events) AS log_entries")
+def a13(spark, sf):
+    t = stored_tables(spark, sf)
+    return records.table_counts(t["raw_files"], t["review_queue"], table(spark, sf, "events"), 1)
+
+
+@query("a15_counts_by_method", f"WITH {STORED_SQL} SELECT extraction_method AS method, count(*) AS n FROM sd GROUP BY 1")
+def a15(spark, sf):
+    return records.counts_by_method(stored_tables(spark, sf)["documents"].withColumnRenamed("extraction_method", "method"))
+
+
+def alias_rows(spark) -> DataFrame:
+    return spark.createDataFrame([("eng", "Eng.", 1), ("german", "German", 2), ("lost", "lost", 77)], "alias_norm string, alias string, course_id long")
+
+
+@query("j2_named_aliases", "SELECT * FROM (VALUES ('Eng.', 'EN1', 'English'), ('German', 'DE1', 'German')) t(alias, code, name)")
+def j2(spark, sf):
+    return records.named_aliases(alias_rows(spark), stored_tables(spark, sf)["courses"])
+
+
+@query("q11_resolved", "SELECT item_id, CASE item_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS course_id FROM benchmark")
+def q11(spark, sf):
+    i = F.col("item_id") % 3
+    texts = table(spark, sf, "benchmark").select("item_id", F.when(i == 0, " E-N g!").when(i == 1, "GERMAN").otherwise("none such").alias("text"))
+    return records.resolved(texts, alias_rows(spark)).select("item_id", F.col("course_id").cast("int").alias("course_id"))
+
+
+@query("w5_upsert_courses", "SELECT coalesce(o.id, 3 + row_number() OVER (PARTITION BY o.id IS NULL ORDER BY n.code)) AS id, coalesce(n.code, o.code) AS code, coalesce(n.name, o.name) AS name FROM (VALUES (1, 'EN1', 'English'), (2, 'DE1', 'German'), (3, 'XX1', 'Empty')) o(id, code, name) FULL JOIN (SELECT n_name AS code, n_name || ' studies' AS name FROM nation UNION ALL SELECT 'DE1', 'Deutsch') n ON o.code = n.code")
+def w5(spark, sf):
+    old = stored_tables(spark, sf)["courses"]
+    new = table(spark, sf, "nation").select(F.col("n_name").alias("code"), F.concat("n_name", F.lit(" studies")).alias("name"))
+    return upsert.upsert_courses(old, new.unionByName(spark.createDataFrame([("DE1", "Deutsch")], "code string, name string")))
+
+
+@query("w15_log_append", "SELECT id, query FROM (SELECT event_id AS id, event_type AS query FROM events WHERE event_id % 2 = 0 UNION ALL SELECT (SELECT max(event_id) FROM events WHERE event_id % 2 = 0) + row_number() OVER (ORDER BY ts, event_id), event_type FROM events WHERE event_id % 2 = 1)")
+def w15_append(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("query"), F.col("ts").alias("created_at"))
+    return records.appended_log(e.where("id % 2 = 0"), e.where("id % 2 = 1").withColumnRenamed("id", "number"), [F.col("created_at"), F.col("number")]).select("id", "query")
+
+
+@query("w16_saved_texts", "SELECT doc_id AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS method, md5(CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE source END) AS h FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+def w16(spark, sf):
+    d = table(spark, sf, "documents").withColumnRenamed("doc_id", "document_id")
+    old = d.where("document_id % 2 = 0").select("document_id", F.lit("old").alias("method"), F.col("source").alias("text"))
+    new = d.where("document_id % 3 = 0").select("document_id", F.lit("new").alias("method"), F.upper("lang").alias("text"))
+    return records.saved_texts(old, new).select("document_id", "method", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@query("l7_work_limit", f"WITH {VIEW_SQL} SELECT doc_id AS id FROM dv ORDER BY path, name, doc_id LIMIT 40")
+def l7(spark, sf):
+    return reading.in_order(document_view(spark, sf).withColumnRenamed("doc_id", "id"), 40).select("id")
+
+
+@query("q5_bm25_search", f"WITH {POST}, st AS (SELECT count(*) AS n, avg(len(toks)) AS a FROM d), f AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT 0 AS query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.5 + 0.5 * dl / a)))) AS score FROM p JOIN f USING (term), st WHERE list_contains({sql_tokens("'license the ontion heea'")}, term) GROUP BY doc_id) SELECT doc_id, rank, score FROM ({TOP.format(s='s', k=10)})")
+def q5(spark, sf):
+    found = strategies.Bm25Search(table(spark, sf, "documents"), k1=1.2, b=0.5).search("license the ontion heea", 10)
+    return found.select("doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+@query("e1_naive_search", f"WITH {POST}, s AS (SELECT 0 AS query_id, doc_id, CAST(count(*) AS DOUBLE) AS score FROM p WHERE list_contains({sql_tokens("'license the ontion heea'")}, term) GROUP BY doc_id) SELECT doc_id, rank, score FROM ({TOP.format(s='s', k=10)})")
+def e1(spark, sf):
+    found = strategies.NaiveSearch(table(spark, sf, "documents")).search("license the ontion heea", 10)
+    return found.select("doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+def verdict_reply(prompt: str) -> str:
+    """A model that knows one rule and gets every seventh answer wrong."""
+    items = json.loads(prompt)["items"]
+    return json.dumps({"items": [{"id": x["id"], "doc_type": "pyq" if x["id"] % 7 else "poem", "exam_type": "quiz", "exam_number": x["id"] % 5 + 1, "is_makeup": x["id"] % 2 == 0} for x in items]})
+
+
+@query("e4_classify", f"WITH {VIEW_SQL}, w AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS r FROM dv WHERE doc_type = 'unknown') SELECT id, 'pyq' AS v_doc_type, 'quiz' AS v_exam_type, CAST(id % 5 + 1 AS INT) AS v_exam_number, id % 2 = 0 AS v_is_makeup FROM w WHERE r <= 120 AND id % 7 <> 0")
+def e4(spark, sf):
+    files = document_view(spark, sf).where("doc_type = 'unknown'").select(F.col("doc_id").alias("id"), "path", "name")
+    budget = classify.Budget(per_minute=1000, per_day=3)
+    return classify.classify(files, verdict_reply, budget)[0]
+
+
+@query("x6_sections", f"WITH {VIEW_SQL} SELECT doc_id, CASE WHEN doc_type = 'pyq' THEN 0 ELSE 1 END AS section FROM dv WHERE doc_type IN ('pyq', 'notes')")
+def x6(spark, sf):
+    v = document_view(spark, sf)
+    return planner.in_sections(v.where("doc_type = 'pyq'"), v.where("doc_type = 'notes'")).select("doc_id", "section")
 
 
 # --- joins over the document tables ------------------------------------------------------------------------------
@@ -949,15 +1084,6 @@ def p10(spark, sf):
     return planner.other_half_dropped(document_view(spark, sf), {"midsem"}).select("doc_id")
 
 
-@query("s12_document_view", "SELECT l_orderkey || '-' || l_linenumber AS id, coalesce(c_mktsegment, '') AS course FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey WHERE l_returnflag <> 'R'")
-def s12(spark, sf):
-    lines = table(spark, sf, "lineitem").where("l_returnflag <> 'R'").select("l_orderkey", "l_linenumber")
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    some = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    both = lines.join(orders, "l_orderkey").join(some, "o_custkey", "left")
-    return both.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.coalesce("c_mktsegment", F.lit("")).alias("course"))
-
-
 @query("s15_searchable", f"SELECT doc_id AS document_id FROM documents WHERE doc_id % 5 <> 0 AND {QUALITY} >= 0.65 AND doc_id % 19 <> 0")
 def s15(spark, sf):
     d = table(spark, sf, "documents")

@@ -133,6 +133,15 @@ def write_sheet(sheet: DataFrame, path: str) -> None:
     full.coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
-def read_bytes(spark: SparkSession, path: str, most: int = 25 * 1024 * 1024) -> DataFrame:
+#: Bytes of a file that is read at most.
+MOST_BYTES = 25 * 1024 * 1024
+
+
+def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """A label sheet that a person filled in, as ``measure.label_accuracy`` and ``measure.sheet_problems`` take it."""
+    return read_csv(spark, path, ["stratum", "doc_id", "correct", *[f"pred_{f}" for f in FIELDS], *[f"fix_{f}" for f in FIELDS]])
+
+
+def read_bytes(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
     """(path, content) of files up to a size."""
     return spark.read.format("binaryFile").load(path).where(F.col("length") <= most).select("path", "content")

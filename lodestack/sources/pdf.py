@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def text_layer(data: bytes, most_pages: int = 40) -> list[str]:
-    """Page texts of the text layer; encrypted and broken files raise ValueError."""
+def text_layer(data: bytes) -> list[str]:
+    """Texts of all pages of the text layer; encrypted and broken files raise ValueError."""
     try:
         import io
 
@@ -19,7 +20,7 @@ def text_layer(data: bytes, most_pages: int = 40) -> list[str]:
     reader = PdfReader(io.BytesIO(data))
     if reader.is_encrypted:
         raise ValueError("encrypted")
-    return [p.extract_text() or "" for p in reader.pages[:most_pages]]
+    return [p.extract_text() or "" for p in reader.pages]
 
 
 def ocr_engine(name: str = "auto") -> Callable[[bytes, int], str] | None:
@@ -33,9 +34,42 @@ def ocr_engine(name: str = "auto") -> Callable[[bytes, int], str] | None:
         except ImportError:
             if name != "auto":
                 raise
+    if name in ("auto", "rapidocr"):
+        try:
+            import pdf2image
+            from rapidocr_onnxruntime import RapidOCR
+
+            engine = RapidOCR()
+
+            def read(data: bytes, page: int) -> str:
+                image = pdf2image.convert_from_bytes(data, dpi=200, first_page=page + 1, last_page=page + 1)[0]
+                return "\n".join(line[1] for line in engine(image)[0] or [])
+
+            return read
+        except ImportError:
+            if name != "auto":
+                raise
     return None
 
 
+def with_ocr(files: DataFrame, pages: DataFrame, wanted: DataFrame, engine: Callable[[], Callable[[bytes, int], str] | None]) -> DataFrame:
+    """pages (doc_id, page, text) with the wanted (doc_id, page) read again by an engine, which each task makes once.
+
+    files: (doc_id, content). Without an engine, or where it reads nothing, the text layer's text stays.
+    """
+    asked = wanted.groupBy("doc_id").agg(F.collect_set("page").alias("pages"))  # a document's first pages, few
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = engine()
+        for batch in batches:
+            rows = [(d, int(k), read(bytes(c), int(k)) if read else "") for d, c, ks in zip(batch["doc_id"], batch["content"], batch["pages"]) for k in ks]
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "ocr"])
+
+    key = dict(pages.dtypes)["doc_id"]
+    again = files.join(asked, "doc_id").select("doc_id", "content", "pages").mapInPandas(work, f"doc_id {key}, page int, ocr string")
+    return pages.join(again, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce(F.nullif(F.trim("ocr"), F.lit("")), F.col("text")).alias("text"))
+
+
 def read_pages(files: DataFrame, read: Callable[[bytes], list[str]] = text_layer) -> DataFrame:
     """(path, page, text, error) of (path, content); a file that cannot be read gives one row with the error."""
 

@@ -7,8 +7,9 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -59,6 +60,55 @@ def listed_files(items: DataFrame, folders: DataFrame) -> DataFrame:
     return files.groupBy("drive_file_id").agg(F.min_by(F.struct(*others), F.struct("path", "name")).alias("r")).select("drive_file_id", *[F.col("r")[c].alias(c) for c in others])
 
 
+class FileSource(Protocol):
+    """Anything that lists raw files, as schemas.RAW_FILE."""
+
+    def fetch(self) -> DataFrame: ...
+
+
+class Listed:
+    """A source whose listing was fetched already, written once and given again."""
+
+    def __init__(self, files: DataFrame):
+        self.files = staged(files, "listing")
+
+    def fetch(self) -> DataFrame:
+        return self.files
+
+
+class RestTree:
+    """The files below a folder of a REST listing, level by level: every folder of a level is a partition of one read.
+
+    Folders and shortcuts to folders are entered once, which ends cycles, at the shallowest and then smallest path;
+    blank names are skipped. A folder that cannot be listed fails the whole listing, as do more than ``most_folders``.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, endpoint: str, token: str = "", prefix: str = "", most_folders: int = MOST_FOLDERS):
+        self.spark, self.root, self.prefix, self.most = spark, root, prefix, most_folders
+        self.options = {"endpoint": endpoint, "token": token}
+        spark.dataSource.register(FolderSource)
+
+    def fetch(self) -> DataFrame:
+        paths, frontier, items = {self.root: self.prefix}, [self.root], None
+        while frontier:
+            level = staged(self.spark.read.format("folders").options(**self.options, folders=",".join(frontier)).load(), "items")
+            items = level if items is None else items.unionByName(level)
+            short = F.col("mime_type") == SHORTCUT_MIME
+            inner = level.where((F.trim("name") != "") & ((F.col("mime_type") == FOLDER_MIME) | (short & (F.col("target_mime") == FOLDER_MIME))))
+            rows = inner.select("folder", F.when(short, F.col("target_id")).otherwise(F.col("id")).alias("child"), "name").limit(self.most + 1).collect()
+            found: dict[str, str] = {}
+            for r in rows:
+                path = f"{paths[r['folder']]}/{r['name']}"
+                if r["child"] not in paths:
+                    found[r["child"]] = min(path, found.get(r["child"], path))
+            paths |= found
+            if len(paths) > self.most or len(rows) > self.most:
+                raise ValueError(f"more than {self.most} folders")
+            frontier = sorted(found)
+        folders = self.spark.createDataFrame(list(paths.items()), "folder string, path string")
+        return listed_files(items, folders)
+
+
 def retryable(status: int, body: str) -> bool:
     return status == 429 or status >= 500 or (status == 403 and "ateLimitExceeded" in body)
 

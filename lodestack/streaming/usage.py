@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hmac
 import json
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.text import formula_safe
+
 
 class LoggedEvents(StatefulProcessor):
     """Per person: an event is logged unless it repeats the last logged one within the window."""
@@ -67,7 +72,7 @@ def deliver(rows: Iterator, send: Callable[[bytes], None], size: int = 50, attem
         batch = []
 
     for row in rows:
-        batch.append(row.asDict(recursive=True))
+        batch.append(row if isinstance(row, dict) else row.asDict(recursive=True))
         if len(batch) == size:
             flush()
     if batch:
@@ -82,3 +87,64 @@ def webhook(events: DataFrame, url: str, checkpoint: str, send: Callable[[str, b
         df.foreachPartition(lambda rows: deliver(rows, lambda body: send(url, body)))
 
     return events.writeStream.foreachBatch(batch).trigger(processingTime="10 seconds").option("checkpointLocation", checkpoint)
+
+
+class EventSink(Protocol):
+    """Where usage events go. Sending never raises."""
+
+    def send(self, event: dict, urgent: bool = False) -> None: ...
+
+    def flush(self) -> None: ...
+
+    def close(self) -> None: ...
+
+
+class NullSink:
+    def send(self, event: dict, urgent: bool = False) -> None:
+        pass
+
+    def flush(self) -> None:
+        pass
+
+    def close(self) -> None:
+        pass
+
+
+class BufferedSink:
+    """Events of one process: up to ``most`` are held, and further ones dropped while it is full. They are posted when
+    ``flush_at`` are held, ``seconds`` after the last post, or at once for an urgent one."""
+
+    def __init__(self, post: Callable[[bytes], None], most: int = 1000, flush_at: int = 50, seconds: float = 10, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.post, self.most, self.flush_at, self.seconds, self.clock, self.sleep = post, most, flush_at, seconds, clock, sleep
+        self.held: list[dict] = []
+        self.last, self.sent, self.dropped = clock(), 0, 0
+
+    def send(self, event: dict, urgent: bool = False) -> None:
+        if len(self.held) >= self.most:
+            self.dropped += 1
+        else:
+            self.held.append(event)
+        if urgent or len(self.held) >= self.flush_at or self.clock() - self.last >= self.seconds:
+            self.flush()
+
+    def flush(self) -> None:
+        rows, self.held, self.last = self.held, [], self.clock()
+        sent, dropped = deliver(rows, self.post, sleep=self.sleep)
+        self.sent, self.dropped = self.sent + sent, self.dropped + dropped
+
+    def close(self) -> None:
+        self.flush()
+
+
+def build_sink(url: str) -> EventSink:
+    return BufferedSink(lambda body: post_json(url, body)) if url else NullSink()
+
+
+def received(tab: DataFrame, events: DataFrame, secret: str, given: str) -> DataFrame:
+    """A tab of an event sheet with new events; columns that it lacks are added, and cells that a spreadsheet would run
+    are guarded. A wrong secret raises."""
+    if not secret or not hmac.compare_digest(secret, given):
+        raise PermissionError("the shared secret is wrong")
+    kinds = dict(events.dtypes)
+    safe = events.select(*[formula_safe(F.col(c)).alias(c) if kinds[c] == "string" else F.col(c) for c in events.columns])
+    return tab.unionByName(safe, allowMissingColumns=True)
