@@ -89,7 +89,11 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every row; null text is scored as the empty text, which has the bias alone."""
+    """(doc_id, score) of every row; null text is scored as the empty text, which has the bias alone.
+
+    Whole texts of any length; repeated rows and null ids give rows as they come. Other columns are not read, whatever
+    their names; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -164,6 +164,127 @@ def test_sample_of_repeated_and_long_rows(spark, docs_of, monkeypatch):
     assert labelled.sample(docs, labels.limit(0), "toxic", 4, 7) == []
 
 
+def slow_score(model, text):
+    """The network word by word."""
+    ids = [[0] * 3] + toxicity.buckets(text).tolist() + [[0] * 3] * 3
+    ids = ids[1:]
+    x = [sum(model.embedding[b] for b in word) for word in ids]
+    out = model.out_bias
+    for k, (f, bias) in enumerate(zip(model.filters, model.bias)):
+        windows = [sum(x[i + j] @ f[j] for j in range(len(f))) for i in range(len(x) - len(f) + 1)]
+        top = np.maximum(np.max(windows, axis=0) + bias, 0)
+        out += top @ model.out[k * toxicity.FILTERS : (k + 1) * toxicity.FILTERS]
+    return 1 / (1 + np.exp(-out))
+
+
+def small_network():
+    rng = np.random.default_rng(0)
+    words = "one two three four five six seven".split()
+    texts = [" ".join(rng.choice(words, rng.integers(0, 12))) for _ in range(9)]
+    y = np.array([float("two" in t) for t in texts])
+    return toxicity.fit(texts, y, epochs=2), texts, y
+
+
+def test_network_equals_a_plain_one():
+    model, texts, _ = small_network()
+    got = toxicity.batch_scores(model, model.table(), texts)
+    assert got == pytest.approx([slow_score(model, t) for t in texts], abs=1e-5)
+
+
+def test_gradients_equal_finite_differences():
+    model, texts, y = small_network()
+    s = toxicity.gradients(model, [toxicity.buckets(t) for t in texts], y)
+
+    def loss():
+        p = np.array([slow_score(model, t) for t in texts])
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    def slope(values, at, step=1e-5):
+        was = values[at]
+        values[at] = was + step
+        up = loss()
+        values[at] = was - step
+        down = loss()
+        values[at] = was
+        return (up - down) / (2 * step)
+
+    rng = np.random.default_rng(1)
+    for k in rng.integers(0, len(s.rows), 6):
+        if s.rows[k]:
+            assert slope(model.embedding, (s.rows[k], 3)) == pytest.approx(s.pull[k, 3], abs=1e-5)
+    for w in range(3):
+        assert slope(model.filters[w], (0, 2, 1)) == pytest.approx(s.filters[w][0, 2, 1], abs=1e-5)
+        assert slope(model.bias[w], 4) == pytest.approx(s.bias[w][4], abs=1e-5)
+    for k in range(0, len(model.out), 5):
+        assert slope(model.out, k) == pytest.approx(s.out[k], abs=1e-5)
+
+
+def test_updates_equal_plain_ones():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("good bad Fine 12 !! odd".split()) for _ in range(rng.randrange(0, 15))) for _ in range(40)]
+    y = np.array([float("bad" in t) for t in texts])
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.0005, 0.0005
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * l1) / ((beta + n.get(i, 0.0) ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(11)
+    for _ in range(3):
+        for k in order.permutation(len(texts)):
+            x = {"bias": 1.0}
+            for i, v in zip(*(c.tolist() for c in quality.features(texts[k]))):
+                x[i] = x.get(i, 0.0) + v
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y[k]) * v
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    model = quality.fit(texts, y, epochs=3)
+    assert model.bias == pytest.approx(weight("bias")) and set(np.flatnonzero(model.weights).tolist()) <= set(z)
+    for i in z:
+        if i != "bias":
+            assert model.weights[i] == pytest.approx(weight(i), abs=1e-9)
+    for t in texts[:5]:
+        x = list(zip(*quality.features(t)))
+        assert model.score(t) == pytest.approx(1 / (1 + np.exp(-(weight("bias") + sum(weight(int(i)) * v for i, v in x)))))
+
+
+def test_classifiers_of_odd_rows(docs_of):
+    docs = docs_of([(1, "a b"), (1, "a b"), (None, None), (2, ""), (3, "long " * 100_000)])
+    network, _, _ = small_network()
+    linear = quality.fit(["a b", "c"], np.array([1.0, 0.0]))
+    for found in (toxicity.score(docs, network), quality.score(docs, linear)):
+        rows = found.collect()
+        assert len(rows) == 5 and all(0 <= r["score"] <= 1 for r in rows) and sum(r["doc_id"] is None for r in rows) == 1
+    assert toxicity.score(docs.limit(0), network).count() == quality.score(docs.limit(0), linear).count() == 0
+
+
+def test_quality_rules_of_odd_rows(docs_of):
+    rows = [(1, "w " * 200_000), (1, "w " * 200_000), (None, None)]
+    got = compression.quality_rules(docs_of(rows)).collect()
+    assert [(r["n_words"], r["base_failed"], r["kept"]) for r in sorted(got, key=lambda r: -r["n_words"])] == [(200_000, True, False)] * 2 + [(0, True, False)]
+    assert compression.quality_rules(docs_of(rows).limit(0)).count() == 0
+
+
+def test_the_bands_decide():
+    """Texts that pass the base rules and are rejected by the bands alone."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    rng = random.Random(8)
+    base = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(60)) for _ in range(2)]
+    varied = lambda t, k: " ".join(w if i % 3 else f"{w}{k}" for i, w in enumerate(t.split()))
+    rows = [compression.measure(t, press) for t in (" ".join(varied(base[0], k) for k in range(40)), base[0])]
+    assert not rows[0][5] and not rows[0][6] and rows[0][7] > 4  # the same words with a mark: no window repeats
+    assert not rows[1][5] and rows[1][6]
+
+
 def test_quality(spark, docs_of):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))

@@ -139,6 +139,13 @@ def test_line_classes(docs_of):
         assert got == want
 
 
+def test_lines_of_odd_rows(docs_of):
+    long, near = "x" * 150_000 + " end", "x" * 150_000 + " and"
+    rows = [(5, f"one line that is long enough\n{long}"), (5, f"one line that is long enough\n{near}"), (None, "one line that is long enough"), (6, None)]
+    got = sorted(map(tuple, lines.line_classes(docs_of(rows)).collect()), key=str)
+    assert got == sorted([(5, 0, None, 0), (5, 0, None, 0), (None, 0, None, 0), (5, 1, 5, 1), (5, 1, 5, 1)], key=str)
+
+
 def test_lines_taken_out(docs_of):
     long = "one long line that is repeated here"
     docs = docs_of([(1, f"{long}\nsolo"), (2, f"solo 2\n{long}\n\nend"), (3, None)])

@@ -48,6 +48,19 @@ def test_stages(spark, folder, tmp_path):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, rows))
 
 
+def test_stages_of_odd_rows(spark, folder, docs_of):
+    word = " ".join(f"w{k}" for k in range(40_000))
+    docs = docs_of([(1000, word), (1000, word), (None, None), (1001, ""), (1002, "few words")])
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), folder)
+        assert empty.count() == 0, name
+        docs_now = stage(spark, docs, folder)
+        n = docs_now.count()
+        assert n == 5 if name != "source_mixing" else n >= 1, name
+        if name != "token_output":
+            assert docs_now.columns == docs.columns
+
+
 def test_registration():
     import __spark_entry__ as driver
 
