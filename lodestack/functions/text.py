@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 from ..vocabulary import STOPWORDS
 
 
+FAR = 0x250
+
+
 def _fold(ch: str) -> str:
     plain = unicodedata.normalize("NFKD", ch).casefold()
     return "".join(c for c in plain if not unicodedata.combining(c))
@@ -42,14 +45,21 @@ def folds() -> tuple[dict[str, str], dict[str, str], str]:
 
 
 def _class(points: list[int]) -> str:
-    """A regular expression for any of the code points, as ranges."""
-    out, start = [], None
-    for k, i in enumerate(points):
-        start = i if start is None else start
-        if k + 1 == len(points) or points[k + 1] != i + 1:
-            out.append(rf"\x{{{start:X}}}-\x{{{i:X}}}")
-            start = None
-    return "[" + "".join(out) + "]"
+    """A regular expression for any of the code points, as ranges. Those from FAR on stand behind a look that letters
+    of European texts fail at once, because a class of many ranges is slow."""
+
+    def ranges(some: list[int]) -> str:
+        out, start = [], None
+        for k, i in enumerate(some):
+            start = i if start is None else start
+            if k + 1 == len(some) or some[k + 1] != i + 1:
+                out.append(rf"\x{{{start:X}}}-\x{{{i:X}}}")
+                start = None
+        return "[" + "".join(out) + "]"
+
+    near, far = [i for i in points if i < FAR], [i for i in points if i >= FAR]
+    parts = [ranges(near)] * bool(near) + [rf"(?=[^\x{{0}}-\x{{{FAR - 1:X}}}]){ranges(far)}"] * bool(far)
+    return "(?:" + "|".join(parts) + ")"
 
 
 @cache
