@@ -43,7 +43,7 @@ SMALL = 256
 #: Links that a cell may give for each of its rows; a cell with more gives a forest or nearest partners.
 PER_ROW = 4
 #: Of the similarity search: words of a shingle, least similarity, bits, and the chance to find a pair at that limit.
-WORDS, LEAST, WIDTH, FOUND = 5, Fraction(4, 5), 128, 0.95
+WORDS, LEAST, WIDTH, FOUND = 5, Fraction(4, 5), 128, 0.99
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 Masks = list[tuple[int, ...]]
