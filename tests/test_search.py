@@ -154,7 +154,7 @@ def test_engine(catalog):
 
 def test_written_index(spark, tmp_path):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
-    index.write_index(docs, str(tmp_path / "i"), buckets=4)
+    index.write_index(docs, str(tmp_path / "i"), slots=4)
     back = spark.read.parquet(str(tmp_path / "i/weights"))
     assert back.count() == 7 and spark.read.parquet(str(tmp_path / "i/vocabulary")).count() == 5
 
