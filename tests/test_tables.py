@@ -1,5 +1,6 @@
 """Upserts, syncs, sources, usage rules, streaming."""
 
+import dataclasses
 import json
 
 import pytest
@@ -195,7 +196,7 @@ def test_messages(spark, message, field, value):
 def test_refinement(spark):
     first = chat.parse("oop midsem papers 2021", ALIASES).form
     assert chat.parse("also notes", ALIASES, first).form.materials == ("papers", "notes")
-    assert chat.parse("compre", ALIASES, first).form == chat.replace(first, exam_types=("compre",))
+    assert chat.parse("compre", ALIASES, first).form == dataclasses.replace(first, exam_types=("compre",))
     assert chat.parse("last 2 years", ALIASES, first).form.years == ()
     assert chat.parse("start over: logic in cs notes", ALIASES, first).form.exam_types == ()
     assert chat.parse("thanks!!", ALIASES, first).smalltalk == "thanks"
