@@ -41,8 +41,9 @@ def test_extract_of_nulls_and_strangers(spark):
     "stem, expected",
     [("21-22", (2021, True)), ("exam 2018", (2018, False)), ("2021", (2020, True)), ("2022", (2022, False)), ("Lecture-16-17", (None, False)), ("unit 16-17 and 18-19", (2018, True)), ("2023 24", (2023, True)), ("2031B5QT4321Z 21-22", (None, False)), ("", (None, False)), (None, (None, False))],
 )
-def test_years(stem, expected):
-    assert rules.read_year(stem) == expected
+def test_years(spark, stem, expected):
+    row = spark.createDataFrame([(stem,)], "stem string").select(rules.year_from_name(F.col("stem")).alias("y")).first()["y"]
+    assert (row["year"], row["is_span"]) == expected
 
 
 def test_verdicts_fill_gaps_only(spark):
