@@ -40,8 +40,8 @@ LOW = 0x5555555555555555
 HOLD = 32_768
 #: Cells of up to so many rows are compared together, offset by offset.
 SMALL = 256
-#: Links that a cell may give for each of its rows; a cell with more gives a forest or nearest partners.
-PER_ROW = 4
+#: Links that a cell may give for each of its rows before it gives a forest; nearest partners of a row in one cell.
+PER_ROW, NEAREST = 4, 2
 #: Of the similarity search: words of a shingle, least similarity, bits, and the chance to find a pair at that limit.
 WORDS, LEAST, WIDTH, FOUND = 5, Fraction(4, 5), 128, 0.99
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -175,7 +175,7 @@ def forest(x: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
 
 def partners(x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's PER_ROW nearest rows within the distance, for a group of any size."""
+    """Each row's NEAREST nearest rows within the distance, for a group of any size."""
     unary = embedded(x)
     every = np.arange(x.shape[1])
     ones, others = [], []
@@ -183,7 +183,7 @@ def partners(x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
         near = every[apart(unary, every, at) <= distance]
         near = near[near != at]
         d = apart(x, near, at)
-        order = np.argsort(d, kind="stable")[:PER_ROW]
+        order = np.argsort(d, kind="stable")[:NEAREST]
         near = near[order[d[order] <= distance]]
         ones.append(np.full(len(near), at))
         others.append(near)
@@ -191,13 +191,13 @@ def partners(x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which of the pairs are among the PER_ROW nearest of one of their ends."""
+    """Which of the pairs are among the NEAREST nearest of one of their ends."""
     end, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
     order = np.lexsort((pair, d[pair], end))
     start = np.concatenate([[True], end[order][1:] != end[order][:-1]])
     rank = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
     keep = np.zeros(len(a), dtype=bool)
-    keep[pair[order][rank < PER_ROW]] = True
+    keep[pair[order][rank < NEAREST]] = True
     return keep
 
 
