@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, decontam, html_text, lines, mixing, negatives, pii, quality, simhash, tokens, toxicity
+from . import compression, decontam, html_text, lines, mixing, negatives, pii, quality, resample, simhash, tokens, toxicity
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -74,6 +74,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(negatives.scaled(relabelled), F.col("id") % 100 == 0)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_output": op10_token_output,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLE: dict[str, str] = {
@@ -118,4 +123,22 @@ p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same
 g AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
 SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
 FROM g JOIN p USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 5""",
+    # crc32 by its table; the terms are distinct words
+    "op12_importance_resampling": r"""
+WITH RECURSIVE r AS (SELECT range AS n, range AS c, 0 AS k FROM range(256) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM r WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM r WHERE k = 8),
+d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS g FROM benchmark),
+f AS (SELECT row, unnest(w) AS g FROM d),
+v AS (SELECT g, hex(encode(g)) AS h FROM (SELECT g FROM f UNION SELECT g FROM b)),
+k AS (SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM v, crc),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN k USING (g) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (g) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM f) AS sn, (SELECT count(*) FROM b) AS tn),
+a AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sn + 10000)::DOUBLE / ((s + 1)::DOUBLE * (tn + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), n),
+w AS (SELECT row, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN k USING (g) JOIN a USING (bucket) GROUP BY row),
+c AS (SELECT doc_id, CAST(len(d.w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)::DOUBLE + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN w USING (row)),
+o AS (SELECT *, n_features >= 20 AS fit FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY fit) AS m FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 10 * m // 100 THEN place END AS rank FROM p""",
 }
