@@ -19,6 +19,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,12 +179,20 @@ def with_edits(docs: DataFrame, band: tuple[float, float] = BAND, id_col: str =
     """
     spark = docs.sparkSession
     sent: Broadcast[np.ndarray] = spark.sparkContext.broadcast(lexicon(docs, band, text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([press(t.encode()) for t in texts_of(batch)], pa.binary())], names=["doc_id", "packed"])
+
+    # whole texts are shuffled once; packed text by text they take a third less than the shuffle's own compression leaves
+    rows = by_batch(chosen, squeezed, "doc_id long, packed binary").withColumn("row", F.monotonically_increasing_id())
     order = [F.desc_nulls_last("doc_id"), F.asc("row")]
     names = [*COLUMNS, "end", "part", "text"]
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        part, unpack = TaskContext.get().partitionId(), zstandard.ZstdDecompressor().decompress
         last: tuple[int | None, str, tuple[np.ndarray, np.ndarray]] | None = None
 
         def open_end(end: str, doc_id: int | None, text: str) -> pa.RecordBatch:
@@ -194,7 +203,7 @@ def with_edits(docs: DataFrame, band: tuple[float, float] = BAND, id_col: str =
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
+            ids, texts = batch.column("doc_id").to_pylist(), [unpack(p.as_buffer()).decode() for p in batch.column("packed")]
             own = hashed(texts, sent.value)
             if last is None:
                 yield open_end("first", ids[0], texts[0])
@@ -213,7 +222,7 @@ def with_edits(docs: DataFrame, band: tuple[float, float] = BAND, id_col: str =
             found = compared(batch.column("doc_id").to_pylist(), texts, following, hashed(texts, sent.value), hashed(following, sent.value), sent.value)
             yield pa.RecordBatch.from_arrays(found, names=COLUMNS)
 
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "packed")
     met = staged(by_batch(dealt, neighbours, f"{SCHEMA}, end string, part int, text string"), "neighbours")
     first = met.where("end = 'first'").select(F.col("part").alias("after"), F.col("text").alias("following"))
     # the ranges' numbers alone pass through one task
