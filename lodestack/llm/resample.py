@@ -29,13 +29,11 @@ def words(text: Column) -> Column:
 
 def ngrams(words: Column, most: int) -> Column:
     """All runs of 1 to ``most`` words, joined by one space, repeats included."""
-    if most == 1:
-        return words
-    runs = [words]
-    for n in range(2, most + 1):
+    def runs(n: int) -> Column:
         at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(at, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.concat(*runs)
+        return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return words if most == 1 else F.concat(words, *[runs(n) for n in range(2, most + 1)])
 
 
 def bucketed(docs: DataFrame, keep: list[str], text_col: str, most: int, buckets: int) -> DataFrame:
