@@ -6,12 +6,14 @@ There is no MERGE on plain Parquet; a full outer join by a unique key gives the
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_alias
-from ..schemas import ACTIVITY, SCHEMA_VERSION, TABLES
+from ..schemas import ACTIVITY, KEYS, SCHEMA_VERSION, TABLES
 from .order import numbered
 
 
@@ -157,48 +159,145 @@ def remaining(usage: DataFrame, limit: int) -> DataFrame:
     return usage.select("day", F.greatest(F.lit(0), limit - F.col("requests")).alias("remaining"))
 
 
+@dataclass(frozen=True)
+class Part:
+    """One written piece of a table; a later part's rows replace those of the same key in earlier ones."""
+
+    version: str
+    rows: int
+
+
+@dataclass(frozen=True)
+class Manifest:
+    """The parts of every table as of one commit, written with one schema version."""
+
+    number: int
+    schema: int
+    tables: dict[str, list[Part]]
+
+
 def publish_all(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> None:
     """Write next snapshots beside the others, then one manifest that names every table's current one.
 
     Manifests are numbered and never changed, and only complete ones are read: a reader, and whoever comes after a
     crash, finds the old state or the new one, of all tables together. Two writers at once: the second fails.
     """
-    number, known = _manifest(spark, root)
-    for table, df in tables.items():
-        version = uuid.uuid4().hex
-        df.write.parquet(f"{root}/{table}/{version}")
-        known[table] = version
-    rows = [(t, v, SCHEMA_VERSION) for t, v in sorted(known.items())]
-    spark.createDataFrame(rows, "name string, version string, schema_version int").coalesce(1).write.mode("error").parquet(f"{root}/_manifest/{number + 1:012d}")
+    last = _checked(_manifest(spark, root))
+    _commit(spark, root, last, {table: [_written(df, root, table)] for table, df in tables.items()})
 
 
 def publish(df: DataFrame, root: str, table: str) -> None:
     publish_all(df.sparkSession, root, {table: df})
 
 
-def _manifest(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
-    """(number, table -> version) of the newest complete manifest; (0, {}) for none."""
+def append(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> None:
+    """Commit rows that are added to keyed tables or replace rows there (schemas.KEYS), without writing the tables again.
+
+    The rows become a part of their own. Before that, trailing parts that are no larger than what is added are written
+    into it, so a table of n rows has about log2(n) parts and a row is written as often at most.
+    """
+    last = _checked(_manifest(spark, root))
+    changed = {}
+    for table, df in tables.items():
+        key, parts = KEYS[table], list(last.tables.get(table, []))
+        fresh = _written(df, root, table)
+        if not fresh.rows:
+            continue
+        merged = [fresh]
+        while parts and parts[-1].rows <= sum(p.rows for p in merged):
+            merged.insert(0, parts.pop())
+        changed[table] = [*parts, fresh if len(merged) == 1 else _written(_overlaid(spark, root, table, merged, key), root, table)]
+    if changed:
+        _commit(spark, root, last, changed)
+
+
+def _written(df: DataFrame, root: str, table: str) -> Part:
+    version = uuid.uuid4().hex
+    df.write.parquet(f"{root}/{table}/{version}")
+    return Part(version, df.sparkSession.read.parquet(f"{root}/{table}/{version}").count())
+
+
+def _commit(spark: SparkSession, root: str, last: Manifest, changed: dict[str, list[Part]]) -> None:
+    rows = [(t, p.version, SCHEMA_VERSION, k, p.rows) for t, parts in sorted((last.tables | changed).items()) for k, p in enumerate(parts)]
+    spark.createDataFrame(rows, "name string, version string, schema_version int, part int, rows long").coalesce(1).write.mode("error").parquet(f"{root}/_manifest/{last.number + 1:012d}")
+
+
+def _manifest(spark: SparkSession, root: str) -> Manifest:
+    """The newest complete manifest; number 0 and no tables for none."""
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_manifest/*/_SUCCESS")
     found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
     numbers = [int(f.getPath().getParent().getName()) for f in found]
     if not numbers:
-        return 0, {}
-    rows = spark.read.parquet(f"{root}/_manifest/{max(numbers):012d}").collect()  # a row for each table
-    if wrong := sorted({r["schema_version"] for r in rows} - {SCHEMA_VERSION}):
-        raise ValueError(f"the catalogue was written with schema {wrong[0]}, not {SCHEMA_VERSION}; read it with its own release")
-    return max(numbers), {r["name"]: r["version"] for r in rows}
+        return Manifest(0, SCHEMA_VERSION, {})
+    rows = [r.asDict() for r in spark.read.parquet(f"{root}/_manifest/{max(numbers):012d}").collect()]  # a row for each part
+    tables: dict[str, list[Part]] = {}
+    for r in sorted(rows, key=lambda r: (r["name"], r.get("part") or 0)):
+        # manifests of earlier releases have one part a table and do not count it: too large to be merged
+        tables.setdefault(r["name"], []).append(Part(r["version"], r.get("rows", 1 << 62)))
+    return Manifest(max(numbers), max(r["schema_version"] for r in rows), tables)
+
+
+def _checked(found: Manifest) -> Manifest:
+    if found.schema != SCHEMA_VERSION:
+        hint = "migrate it first" if found.schema < SCHEMA_VERSION else "read it with its own release"
+        raise ValueError(f"the catalogue was written with schema {found.schema}, not {SCHEMA_VERSION}; {hint}")
+    return found
+
+
+def _overlaid(spark: SparkSession, root: str, table: str, parts: list[Part], key: str | None) -> DataFrame:
+    """Rows of all parts but those whose key is in a later one."""
+    frames = [spark.read.parquet(f"{root}/{table}/{p.version}") for p in parts]
+    out, later = frames[-1], frames[-1]
+    for frame in reversed(frames[:-1]):
+        out = frame.join(later.select(key), key, "left_anti").select(*frame.columns).unionByName(out, allowMissingColumns=True)
+        later = later.select(key).unionByName(frame.select(key))
+    return out
+
+
+def _opened(spark: SparkSession, root: str, found: Manifest, table: str) -> DataFrame:
+    if table not in found.tables:
+        raise ValueError(f"{root} has no table {table}")
+    return _overlaid(spark, root, table, found.tables[table], KEYS.get(table))
 
 
 def current(spark: SparkSession, root: str, table: str) -> DataFrame:
-    known = _manifest(spark, root)[1]
-    if table not in known:
-        raise ValueError(f"{root} has no table {table}")
-    return spark.read.parquet(f"{root}/{table}/{known[table]}")
+    return _opened(spark, root, _checked(_manifest(spark, root)), table)
+
+
+def _from_1(tables: dict[str, DataFrame], empty: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
+    """Version 1 had other documents, which cannot be told into the columns of today; reports and logs point at them."""
+    if "documents" in tables and (n := tables["documents"].count()):
+        raise ValueError(f"cannot migrate: the old documents table holds {n} rows; keep a copy of the catalogue, remove that table and load it again")
+    return {name: empty(name) for name in ("documents", "reports", "search_logs")}
+
+
+#: version -> what changes on the way to the next one: all tables as they are to those that are written anew.
+STEPS: dict[int, Callable[[dict[str, DataFrame], Callable[[str], DataFrame]], dict[str, DataFrame]]] = {1: _from_1}
+
+
+def migrate(spark: SparkSession, root: str) -> list[int]:
+    """Bring a stored catalogue to today's schema, a step for each version, under one manifest; returns the steps taken.
+
+    A step that refuses leaves the catalogue as it was, and so does a version of a later release.
+    """
+    found = _manifest(spark, root)
+    todo = list(range(found.schema, SCHEMA_VERSION))
+    if found.schema > SCHEMA_VERSION or any(v not in STEPS for v in todo):
+        _checked(found)
+    if not todo:
+        return []
+    tables = {name: _opened(spark, root, found, name) for name in found.tables}
+    changed: dict[str, DataFrame] = {}
+    for version in todo:
+        changed |= STEPS[version](tables | changed, lambda name: spark.createDataFrame([], TABLES[name]))
+    _commit(spark, root, found, {table: [_written(df, root, table)] for table, df in changed.items()})
+    return todo
 
 
 def create_schema(spark: SparkSession, root: str) -> None:
-    """Tables of every schema: those that are there stay, with null in columns they lack; others are made empty."""
-    known = _manifest(spark, root)[1]
+    """Tables of every schema: those that are there stay, with null in columns they lack; others are made empty. An older catalogue is migrated."""
+    migrate(spark, root)
+    known = _manifest(spark, root).tables
     made = {}
     for name, ddl in TABLES.items():
         empty = spark.createDataFrame([], ddl)

@@ -15,6 +15,8 @@ TABLES = {
     "search_logs": "id long, user_hash string, query string, filters string, result_count int, clicked_document_id long, created_at timestamp",
     "reports": "id long, document_id long, type string, note string, created_at timestamp",
 }
+#: Tables that may have several parts, and the key by which later parts replace rows of earlier ones.
+KEYS = {"document_text": "document_id"}
 #: Tables of people's activity, which an exported snapshot leaves empty.
 ACTIVITY = ["search_logs", "reports", "llm_usage"]
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +22,43 @@ def scratch(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_run = f"engine-{uuid.uuid4().hex}"
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_swept: set[str] = set()
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends there, lost executors recompute nothing before it."""
-    path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    """Write to the shared folder and read back: lineage ends there, lost executors recompute nothing before it.
+
+    Tables lie in a folder of this process, which goes when the process ends; ``forget`` lets one go before.
+    """
+    spark = df.sparkSession
+    base = f"{scratch(spark)}/{_run}"
+    if base not in _swept:
+        _swept.add(base)
+        atexit.register(_sweep, spark, base)
+    path = f"{base}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for t in tables:
+        if path := _places.pop(t, None):
+            remove(t.sparkSession, path)
+
+
+def _sweep(spark: SparkSession, base: str) -> None:
+    try:
+        remove(spark, base)
+    except Exception:  # the JVM has gone already; a remote store keeps what only it can delete
+        shutil.rmtree(base.removeprefix("file:"), ignore_errors=True)

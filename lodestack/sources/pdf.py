@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import closing
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .guard import Guarded, Unreadable
+
 
 def text_layer(data: bytes) -> list[str]:
-    """Texts of all pages of the text layer; encrypted and broken files raise ValueError."""
+    """Texts of all pages of the text layer; encrypted and broken files raise ValueError, whatever the library raises."""
     try:
         import io
 
         from pypdf import PdfReader
     except ImportError as e:
         raise RuntimeError("the text-layer reader needs pypdf") from e
-    reader = PdfReader(io.BytesIO(data))
-    if reader.is_encrypted:
-        raise ValueError("encrypted")
-    return [p.extract_text() or "" for p in reader.pages]
+    try:
+        reader = PdfReader(io.BytesIO(data))
+        if not reader.is_encrypted:
+            return [p.extract_text() or "" for p in reader.pages]
+    except Exception as e:
+        raise ValueError(f"{type(e).__name__}: {e}") from e
+    raise ValueError("encrypted")
 
 
 def ocr_engine(name: str = "auto") -> Callable[[bytes, int], str] | None:
@@ -70,17 +76,21 @@ def with_ocr(files: DataFrame, pages: DataFrame, wanted: DataFrame, engine: Call
     return pages.join(again, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce(F.nullif(F.trim("ocr"), F.lit("")), F.col("text")).alias("text"))
 
 
-def read_pages(files: DataFrame, read: Callable[[bytes], list[str]] = text_layer) -> DataFrame:
-    """(path, page, text, error) of (path, content); a file that cannot be read gives one row with the error."""
+def read_pages(files: DataFrame, read: Callable[[bytes], list[str]] = text_layer, seconds: float = 60) -> DataFrame:
+    """(path, page, text, error) of (path, content); a file that cannot be read gives one row with the error.
+
+    The reader runs in a process of its own, so one that raises, dies or hangs for ``seconds`` costs its file alone.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    rows += [(path, k, t, None) for k, t in enumerate(read(bytes(content)))]
-                except ValueError as e:
-                    rows.append((path, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "page", "text", "error"]).astype({"page": "Int32"})
+        with closing(Guarded(lambda: read, seconds)) as guarded:
+            for batch in batches:
+                rows = []
+                for path, content in zip(batch["path"], batch["content"]):
+                    try:
+                        rows += [(path, k, t, None) for k, t in enumerate(guarded(bytes(content)))]
+                    except Unreadable as e:
+                        rows.append((path, None, None, str(e)))
+                yield pd.DataFrame(rows, columns=["path", "page", "text", "error"]).astype({"page": "Int32"})
 
     return files.select("path", "content").mapInPandas(work, "path string, page int, text string, error string")
