@@ -13,7 +13,10 @@ than HOLD rows is not compared there; its rows pass through and are dealt again
 Two searches use it. ``links`` is complete for few bits: coordinates fall into m bands, and the choices of m - distance
 bands are grids that miss no pair. ``similar`` looks for documents whose five-word shingles have a Jaccard similarity of
 0.8 or more: its 128-bit fingerprints differ in about 19 bits there, so its grids are as many random choices of
-coordinates as find a pair at that limit with the stated probability, and every link is verified on the shingles.
+coordinates as find a pair at that limit with the stated probability, and every link is verified on the shingles. A
+row offers its nearest partners first. Where it has more, its cell stays open: once the offers are verified and their
+components known, the cell is looked at again, and offers the next partners that are still in another component, until
+none is left. So no partner within the distance goes unverified, and a large group of copies is joined by few links.
 """
 
 from __future__ import annotations
@@ -40,8 +43,10 @@ LOW = 0x5555555555555555
 HOLD = 32_768
 #: Cells of up to so many rows are compared together, offset by offset.
 SMALL = 256
-#: Links that a cell may give for each of its rows before it gives a forest; nearest partners of a row in one cell.
-PER_ROW, NEAREST = 4, 2
+#: Links that a cell may give for each of its rows before it gives a forest.
+PER_ROW = 4
+#: Of the similarity search: partners that a row offers in its cell's first turn, and how many times as many in each later one.
+NEAREST, MORE = 2, 4
 #: Of the similarity search: words of a shingle, least similarity, bits, and the chance to find a pair at that limit.
 WORDS, LEAST, WIDTH, FOUND = 5, Fraction(4, 5), 128, 0.99
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -174,46 +179,12 @@ def forest(x: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
-def partners(x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's NEAREST nearest rows within the distance, for a group of any size."""
-    unary = embedded(x)
-    every = np.arange(x.shape[1])
-    ones, others = [], []
-    for at in range(x.shape[1]):
-        near = every[apart(unary, every, at) <= distance]
-        near = near[near != at]
-        d = apart(x, near, at)
-        order = np.argsort(d, kind="stable")[:NEAREST]
-        near = near[order[d[order] <= distance]]
-        ones.append(np.full(len(near), at))
-        others.append(near)
-    return np.concatenate(ones), np.concatenate(others)
-
-
-def nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which of the pairs are among the NEAREST nearest of one of their ends."""
-    end, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
-    order = np.lexsort((pair, d[pair], end))
-    start = np.concatenate([[True], end[order][1:] != end[order][:-1]])
-    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
-    keep = np.zeros(len(a), dtype=bool)
-    keep[pair[order][rank < NEAREST]] = True
-    return keep
-
-
-def of_runs(cell: np.ndarray, x: np.ndarray, distance: int, connect: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (a, b) of the links within runs of equal cells.
-
-    connect: what links join is what all pairs within the distance would join. Else each row's nearest partners.
-    """
-    edge = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
-    size = np.diff(edge)
-    run = np.repeat(np.arange(len(size)), size)
-    after = np.where(size[run] <= SMALL, edge[run + 1] - np.arange(len(cell)), 0)
+def near_pairs(x: np.ndarray, run: np.ndarray, end: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within the distance in runs of equal numbers, up to SMALL rows each; end: where a row's run ends, by run."""
     unary = embedded(x)
+    after = np.where(np.diff(np.concatenate([[0], end]))[run] <= SMALL, end[run] - np.arange(len(run)), 0)
     ones, others = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    at = np.flatnonzero(after > 1)
-    k = 1
+    at, k = np.flatnonzero(after > 1), 1
     while len(at):
         near = at[apart(unary, at, at + k) <= distance]
         near = near[apart(x, near, near + k) <= distance]
@@ -221,52 +192,103 @@ def of_runs(cell: np.ndarray, x: np.ndarray, distance: int, connect: bool) -> tu
         others.append(near + k)
         k += 1
         at = at[after[at] > k]
-    a, b = np.concatenate(ones), np.concatenate(others)
+    return np.concatenate(ones), np.concatenate(others)
+
+
+def runs_in(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each row's run of equal cells, where each run ends)."""
+    edge = np.append(np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell))
+    return np.repeat(np.arange(len(edge)), np.diff(np.concatenate([[0], edge]))), edge
+
+
+def offers(cell: np.ndarray, x: np.ndarray, root: np.ndarray, distance: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, open) of runs of equal cells: pairs of different roots within the distance where b is a's low-th to high-th
+    nearest (by distance, then place), and which rows lie in a run where a later one is of another root still."""
+    run, end = runs_in(cell)
+    a, b = near_pairs(x, run, end, distance)
+    one, other, d = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(apart(x, a, b), 2)
+    by = np.lexsort((other, d, one))
+    one, other = one[by], other[by]
+    start = np.concatenate([[True], one[1:] != one[:-1]])[: len(one)]
+    rank = np.arange(len(one)) - np.maximum.accumulate(np.where(start, np.arange(len(one)), 0)) if len(one) else one
+    unlike = root[one] != root[other]
+    kept = unlike & (rank >= low) & (rank < high)
+    ones, others, opened = [one[kept]], [other[kept]], np.zeros(len(end), dtype=bool)
+    opened[run[one[unlike & (rank >= high)]]] = True
+    size = np.diff(np.concatenate([[0], end]))
+    for r in np.flatnonzero(size > SMALL).tolist():
+        begin = int(end[r] - size[r])
+        own, roots = x[:, begin : end[r]], root[begin : end[r]]
+        unary, every = embedded(own), np.arange(size[r])
+        if (roots == roots[0]).all():
+            continue
+        for at in range(int(size[r])):
+            near = every[apart(unary, every, at) <= distance]
+            near = near[near != at]
+            d = apart(own, near, at)
+            near = near[np.argsort(d, kind="stable")[: int((d <= distance).sum())]]
+            unlike = roots[near] != roots[at]
+            fit = near[low:high][unlike[low:high]]
+            ones.append(np.full(len(fit), begin + at))
+            others.append(begin + fit)
+            opened[r] |= bool(unlike[high:].any())
+    return np.concatenate(ones), np.concatenate(others), opened[run]
+
+
+def of_runs(cell: np.ndarray, x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of links within runs of equal cells that join what all pairs within the distance would join."""
+    run, end = runs_in(cell)
+    size = np.diff(np.concatenate([[0], end]))
+    a, b = near_pairs(x, run, end, distance)
     dense = np.bincount(run[a], minlength=len(size)) > PER_ROW * size
-    whole = np.flatnonzero(dense | (size > SMALL))
-    if connect:
-        kept = ~dense[run[a]]
-    else:
-        kept = nearest(a, b, apart(x, a, b)) if len(a) else np.zeros(0, dtype=bool)
-        whole = np.flatnonzero(size > SMALL)
+    kept = ~dense[run[a]]
     ones, others = [a[kept]], [b[kept]]
-    for r in whole.tolist():
-        own = x[:, edge[r] : edge[r + 1]]
-        p, q = np.array(forest(own, distance), dtype=np.int64).reshape(-1, 2).T if connect else partners(own, distance)
-        ones.append(p + edge[r])
-        others.append(q + edge[r])
+    for r in np.flatnonzero(dense | (size > SMALL)).tolist():
+        begin = end[r] - size[r]
+        p, q = np.array(forest(x[:, begin : end[r]], distance), dtype=np.int64).reshape(-1, 2).T
+        ones.append(p + begin)
+        others.append(q + begin)
     return np.concatenate(ones), np.concatenate(others)
 
 
-def grid_join(points: DataFrame, words: list[str], masks: Masks, finer: Callable[[int], Masks], distance: int, connect: bool, hold: int | None = None) -> DataFrame:
-    """(a, b, d) links between the nodes of points (node and the named words, all distinct), repeats included."""
-    most = hold or HOLD
-    names = [f"w{k}" for k in range(len(words))]
+def in_cells(rows: DataFrame, words: int, distance: int, most: int, window: tuple[int, int] | None) -> DataFrame:
+    """(a, b, d, cell, w0, ...) from rows (node, root, w0, ..., cell), dealt by cell here and staged.
+
+    b not null: a link; d: its distance. Rows with b null pass through: those of a cell of more than ``most`` rows (d
+    null), and those of a cell that is open after this window (d 0). No window: links that join what all would join.
+    """
+    names = [f"w{k}" for k in range(words)]
     columns = ["a", "b", "d", "cell", *names]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64()] + [pa.int64()] * len(words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2 + len(words), 0), dtype=np.int64)
+        held = np.zeros((3 + words, 0), dtype=np.int64)
         passing: int | None = None
 
-        def linked(rows: np.ndarray) -> pa.RecordBatch:
+        def passed(rows: np.ndarray, d: int | None) -> pa.RecordBatch:
+            n = rows.shape[1]
+            return pa.RecordBatch.from_arrays([pa.array(rows[1].copy()), pa.nulls(n, pa.int64()), pa.array([d] * n, pa.int32()), pa.array(rows[0].copy()), *[pa.array(w.copy()) for w in rows[3:]]], names=columns)
+
+        def linked(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             again = rows[0, 1:] == rows[0, :-1]
             rows = rows[:, np.concatenate([[False], again]) | np.concatenate([again, [False]])]
-            x = rows[2:].view(np.uint64)
-            a, b = of_runs(rows[0], x, distance, connect) if rows.shape[1] else (np.zeros(0, dtype=np.int64),) * 2
+            if not rows.shape[1]:
+                return
+            x = rows[3:].view(np.uint64)
+            if window is None:
+                a, b = of_runs(rows[0], x, distance)
+            else:
+                a, b, opened = offers(rows[0], x, rows[2], distance, *window)
+                if opened.any():
+                    yield passed(rows[:, opened], 0)
             none = pa.nulls(len(a), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(rows[1][a]), pa.array(rows[1][b]), pa.array(apart(x, a, b).astype(np.int32)), *[none] * (1 + len(words))], names=columns)
-
-        def crowded(rows: np.ndarray) -> pa.RecordBatch:
-            n = rows.shape[1]
-            return pa.RecordBatch.from_arrays([pa.array(rows[1].copy()), pa.nulls(n, kinds[1]), pa.nulls(n, kinds[2]), pa.array(rows[0].copy()), *[pa.array(w.copy()) for w in rows[2:]]], names=columns)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[1][a]), pa.array(rows[1][b]), pa.array(apart(x, a, b).astype(np.int32)), *[none] * (1 + words)], names=columns)
 
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy() for c in ("cell", "node", *names)])
+            rows = np.stack([batch.column(c).to_numpy() for c in ("cell", "node", "root", *names)])
             if passing is not None:
                 n = int(np.searchsorted(rows[0] != passing, True)) if rows.shape[1] else 0
                 if n:
-                    yield crowded(rows[:, :n])
+                    yield passed(rows[:, :n], None)
                 if n == rows.shape[1]:
                     continue
                 rows, passing = rows[:, n:], None
@@ -275,34 +297,43 @@ def grid_join(points: DataFrame, words: list[str], masks: Masks, finer: Callable
                 continue
             last = int(np.searchsorted(rows[0], rows[0, -1]))
             if last:
-                yield linked(rows[:, :last])
+                yield from linked(rows[:, :last])
             held = rows[:, last:]
             if held.shape[1] > most:
-                yield crowded(held)
+                yield passed(held, None)
                 passing, held = int(held[0, 0]), held[:, :0]
         if held.shape[1] > 1:
-            yield linked(held)
+            yield from linked(held)
 
     schema = "a long, b long, d int, cell long, " + ", ".join(f"{w} long" for w in names)
-    dealt = lambda rows, keys: rows.select("node", *names, F.explode(F.array(*keys)).alias("cell")).repartition("cell").sortWithinPartitions("cell")
+    dealt = rows.select("cell", "node", "root", *names).repartition("cell").sortWithinPartitions("cell", "node")
+    return staged(by_batch(dealt, work, schema), "cells")
+
+
+def grid_join(points: DataFrame, words: list[str], masks: Masks, finer: Callable[[int], Masks], distance: int, connect: bool, hold: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(a, b, d) links between the nodes of points (node and the named words, all distinct), repeats included; and the
+    rows (cell, node, w0, ...) of cells that are open after their first turn, none if ``connect``."""
+    names = [f"w{k}" for k in range(len(words))]
+    split = lambda rows, keys: rows.select("node", "root", *names, F.explode(F.array(*keys)).alias("cell"))
     at = lambda m, of: [of(F.col(w)).bitwiseAND(F.lit(v)) for w, v in zip(names, m)]
-    rows = points.select("node", *[F.col(c).alias(w) for c, w in zip(words, names)])
-    rows = dealt(rows, [F.xxhash64(F.lit(g), *at(m, embedding)) for g, m in enumerate(masks)])
-    out, level = [], 0
+    rows = points.select("node", F.col("node").alias("root"), *[F.col(c).alias(w) for c, w in zip(words, names)])
+    rows = split(rows, [F.xxhash64(F.lit(g), *at(m, embedding)) for g, m in enumerate(masks)])
+    met, opened, level = [], [], 0
     while True:
-        found = staged(by_batch(rows, work, schema), "cells")
-        out.append(found.where("b is not null").select("a", "b", "d"))
-        more = found.where("b is null").withColumnRenamed("a", "node")
+        found = in_cells(rows, len(words), distance, hold or HOLD, None if connect else (0, NEAREST))
+        met.append(found.where("b is not null").select("a", "b", "d"))
+        opened.append(found.where("b is null and d = 0").select("cell", F.col("a").alias("node"), *names))
+        more = found.where("b is null and d is null").select(F.col("a").alias("node"), F.col("a").alias("root"), "cell", *names)
         if more.isEmpty():
-            return reduce(DataFrame.unionByName, out)
+            return reduce(DataFrame.unionByName, met), reduce(DataFrame.unionByName, opened)
         level += 1
-        rows = dealt(more, [F.xxhash64("cell", F.lit(g), *at(m, lambda c: c)) for g, m in enumerate(finer(level))])
+        rows = split(more, [F.xxhash64("cell", F.lit(g), *at(m, lambda c: c)) for g, m in enumerate(finer(level))])
 
 
 def links(fps: DataFrame, distance: int = 3, hold: int | None = None) -> DataFrame:
     """(a, b) links between different fingerprints that connect all within ``distance`` bits; fps: distinct ``fp``."""
     points = fps.select(F.col("fp").alias("node"), "fp")
-    return grid_join(points, ["fp"], grid_masks(fps.count(), distance), lambda level: band_choices(level, distance), distance, True, hold).select("a", "b")
+    return grid_join(points, ["fp"], grid_masks(fps.count(), distance), lambda level: band_choices(level, distance), distance, True, hold)[0].select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
@@ -391,10 +422,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return shared * LEAST.denominator >= LEAST.numerator * (len(a) + len(b) - shared)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of the pairs of nodes whose similarity is LEAST at least."""
-    wanted = staged(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "node"), "wanted")
-    sets = staged(sets_of(docs, wanted), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,25 +437,52 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, hold: int | None = None) -> DataFrame:
     """(doc_id, component_id): the smallest doc_id reachable over links of similarity LEAST or more.
 
-    Texts with the same words link; null counts as no words. Links are never wrong, but a pair at the limit is found
-    with the chance FOUND only (README has the measured recall). Texts of one fingerprint are searched through one of
-    them. Each text is verified against its nearest partner first, then pairs of different components are.
+    Texts with the same words link; null counts as no words. Links are never wrong, but a pair at the limit shares a
+    cell with the chance FOUND only (README has the measured recall); pairs that share one are all verified, unless
+    other links join them already. Texts of one fingerprint are searched through one of them. Each text is verified
+    against its nearest partner first, then pairs of different components are, then what open cells offer next.
+    Whole texts of any length; repeated rows give repeated rows; other columns are not read.
     """
     rows = staged(sketches(docs), "sketches")
     first = staged(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("f0").alias("f0"), F.min("f1").alias("f1")), "first")
     points = staged(first.groupBy("f0", "f1").agg(F.min("node").alias("node")), "points")
     equal = first.join(points.withColumnRenamed("node", "b"), ["f0", "f1"]).where("node <> b").select(F.col("node").alias("a"), "b", F.lit(0).alias("d"))
     most = math.floor(WIDTH * flip_rate() + 3.6 * math.sqrt(WIDTH * flip_rate() * (1 - flip_rate())))
-    met = grid_join(points, ["f0", "f1"], random_choices(points.count()), random_bits, most, False, hold).unionByName(equal)
-    pairs = staged(met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")), "pairs")
+    met, opened = grid_join(points, ["f0", "f1"], random_choices(points.count()), random_bits, most, False, hold)
+    pairs = staged(_pairs(met.unionByName(equal)), "pairs")
+    wanted = staged(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(opened.select("node")).distinct(), "wanted")
+    sets = staged(sets_of(docs, wanted), "sets")
     ends = pairs.select("a", "b", "d").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     best = ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("n")).select(F.least("a", "n.b").alias("a"), F.greatest("a", "n.b").alias("b"))
-    near = verified(staged(best.distinct(), "best"), docs)
-    root = components(near)
-    rooted = pairs.join(root.select(F.col("node").alias("a"), F.col("root").alias("p")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("q")), "b", "left")
-    rest = staged(rooted.where("coalesce(p, a) <> coalesce(q, b)").select("a", "b"), "rest")
-    found = components(near.unionByName(verified(rest, docs)))
-    return _named(rows.select("doc_id", "node"), first.select("node", "first_id"), found, "node").select("doc_id", "component_id")
+    links = verified(staged(best.distinct(), "best"), sets)
+    found = components(links)
+    low, high = 0, NEAREST
+    while True:
+        rest = staged(_between(pairs, found).select("a", "b"), "rest")
+        if not rest.isEmpty():
+            links = links.unionByName(verified(rest, sets))
+            found = components(links)
+        # cells whose rows are still of several components
+        rooted = opened.join(found.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
+        again = staged(rooted.join(mixed, "cell", "left_semi"), "open")
+        if again.isEmpty():
+            return _named(rows.select("doc_id", "node"), first.select("node", "first_id"), found, "node").select("doc_id", "component_id")
+        low, high = high, high + (high - low) * MORE
+        turn = in_cells(again, 2, most, 1 << 62, (low, high))
+        pairs = staged(_pairs(turn.where("b is not null").select("a", "b", "d")), "pairs")
+        opened = turn.where("b is null").select("cell", F.col("a").alias("node"), "w0", "w1")
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Each pair once, with its distance."""
+    return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
+
+
+def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs whose nodes are in different components."""
+    rooted = pairs.join(found.select(F.col("node").alias("a"), F.col("root").alias("p")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("root").alias("q")), "b", "left")
+    return rooted.where("coalesce(p, a) <> coalesce(q, b)")
 
 
 def keep_first(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = similar) -> DataFrame:

@@ -1,5 +1,6 @@
 """SimHash, components and line dedup against brute force."""
 
+import itertools
 import random
 
 import numpy as np
@@ -198,3 +199,37 @@ def test_the_pipeline_links_by_similarity(spark, docs_of):
     assert bin(simhash.fingerprint(" ".join(words)) ^ simhash.fingerprint(" ".join(near))).count("1") > 5
     out = corpus_pipeline.near_duplicates_out(spark, docs_of([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]), "")
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]
+
+
+def test_clusters_just_under_the_limit(spark, docs_of):
+    """Groups whose rows have many partners that do not qualify, and few that do."""
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    rows, clusters = [], []
+    for c in range(6):
+        base, members = [rng.choice(vocabulary) for _ in range(400)], []
+        for _ in range(90):
+            words = list(base)
+            for at in rng.sample(range(400), rng.choice([5, 7])):
+                words[at] = rng.choice(vocabulary)
+            members.append(len(rows))
+            rows.append((len(rows), " ".join(words)))
+        clusters.append(members)
+    for _ in range(700):
+        rows.append((len(rows), " ".join(rng.choice(vocabulary) for _ in range(200))))
+    shingles = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
+    links = [(a, b) for m in clusters for a, b in itertools.combinations(m, 2) if len(shingles[a] & shingles[b]) * 5 >= 4 * len(shingles[a] | shingles[b])]
+    near = sum(len(m) * (len(m) - 1) // 2 for m in clusters)
+    assert 50 < len(links) < near / 4
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs_of(rows).repartition(6)).collect()}
+    assert sum(got[a] == got[b] for a, b in links) >= 0.97 * len(links)
+    parent = list(range(len(rows)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(top(a), top(b))] = min(top(a), top(b))
+    assert all(top(a) == top(b) for a, b in got.items())  # no wrong link
