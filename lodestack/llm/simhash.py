@@ -203,7 +203,7 @@ def runs_in(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def offers(cell: np.ndarray, x: np.ndarray, root: np.ndarray, distance: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, open) of runs of equal cells: pairs of different roots within the distance where b is a's low-th to high-th
-    nearest (by distance, then place), and which rows lie in a run where a later one is of another root still."""
+    nearest (by distance, then place). Open are rows with a later partner of another root, and all partners of these."""
     run, end = runs_in(cell)
     a, b = near_pairs(x, run, end, distance)
     one, other, d = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(apart(x, a, b), 2)
@@ -213,8 +213,11 @@ def offers(cell: np.ndarray, x: np.ndarray, root: np.ndarray, distance: int, low
     rank = np.arange(len(one)) - np.maximum.accumulate(np.where(start, np.arange(len(one)), 0)) if len(one) else one
     unlike = root[one] != root[other]
     kept = unlike & (rank >= low) & (rank < high)
-    ones, others, opened = [one[kept]], [other[kept]], np.zeros(len(end), dtype=bool)
-    opened[run[one[unlike & (rank >= high)]]] = True
+    late, opened = np.zeros(len(run), dtype=bool), np.zeros(len(run), dtype=bool)
+    late[one[unlike & (rank >= high)]] = True
+    opened[other[late[one]]] = True
+    opened |= late
+    ones, others = [one[kept]], [other[kept]]
     size = np.diff(np.concatenate([[0], end]))
     for r in np.flatnonzero(size > SMALL).tolist():
         begin = int(end[r] - size[r])
@@ -231,8 +234,9 @@ def offers(cell: np.ndarray, x: np.ndarray, root: np.ndarray, distance: int, low
             fit = near[low:high][unlike[low:high]]
             ones.append(np.full(len(fit), begin + at))
             others.append(begin + fit)
-            opened[r] |= bool(unlike[high:].any())
-    return np.concatenate(ones), np.concatenate(others), opened[run]
+            if unlike[high:].any():
+                opened[[begin + at, *(begin + near)]] = True
+    return np.concatenate(ones), np.concatenate(others), opened
 
 
 def of_runs(cell: np.ndarray, x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
