@@ -34,10 +34,19 @@ def other_half_dropped(hits: DataFrame, exams: set[str]) -> DataFrame:
     return hits.where(~F.coalesce(F.col("syllabus_scope") == "post_midsem", F.lit(False))) if exams == {"midsem"} else hits
 
 
+#: Sections that one list of hits may have.
+SECTIONS = 8
+
+
 def in_sections(*parts: DataFrame) -> DataFrame:
-    """Hit lists one after another: ``section`` tells the list, so that the order survives a shuffle."""
+    """Hit lists one after another: ``section`` tells the list, so that the order survives a shuffle.
+
+    Lists that have sections keep their order: list k then begins at SECTIONS * k.
+    """
     columns = [c for c in parts[0].columns if c != "section"]
-    return reduce(DataFrame.unionByName, [p.select(*columns, F.lit(k).alias("section")) for k, p in enumerate(parts)])
+    nested = any("section" in p.columns for p in parts)
+    inner = lambda p: F.coalesce("section", F.lit(0)) if "section" in p.columns else F.lit(0)
+    return reduce(DataFrame.unionByName, [p.select(*columns, (inner(p) + SECTIONS * k if nested else F.lit(k)).cast("int").alias("section")) for k, p in enumerate(parts)])
 
 
 @dataclass
@@ -78,7 +87,7 @@ class Planner:
         if form.topics:
             if self.catalog.has_content():
                 inside = self.catalog.search_content(topic, filters)[0].join(found.select("doc_id"), "doc_id", "left_anti")
-                found = found.unionByName(inside.select(found.columns))
+                found = in_sections(found, inside.select(found.columns))
             if found.isEmpty():
                 found = self.catalog.search("", filters, detect=False).hits
         return other_half_dropped(found, set(form.exam_types))
@@ -92,8 +101,7 @@ class Planner:
             hits, years = self.papers(form, papers)
         if others:
             more = self.material(form, others, with_years=not papers)
-            columns = more.columns
-            hits = in_sections(more) if hits is None else in_sections(hits.select(columns), more)
-        elif "section" not in hits.columns:
+            hits = more if hits is None else in_sections(hits, more)
+        if "section" not in hits.columns:
             hits = in_sections(hits)
         return Plan(hits, stacks.stacks(hits), years)

@@ -1153,8 +1153,11 @@ def messages_of(spark, sf) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", F.when(opening == "hello!", opening).otherwise(F.concat_ws(" ", opening, "text")).alias("text"))
 
 
-def message_sql() -> str:
-    """The same reading in SQL, a step for each phrase; letters with accents count as letters but start no topic."""
+def message_steps(source: str, key: str) -> tuple[str, str]:
+    """The same reading in SQL, a step for each phrase; letters with accents count as letters but start no topic.
+
+    source gives the columns ``key`` and m, the message. Returns the CTEs and the last one's name.
+    """
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     rx = lambda x: quoted("(?i)" + x)
     hit = lambda x: f"regexp_matches(rest, {rx(x)})"
@@ -1162,7 +1165,7 @@ def message_sql() -> str:
     named = rf"\b(?:{spelt('andthe')}|the|der)\b"
     short = lambda g: f"regexp_extract(rest, {rx(chat.SHORT_SPAN)}, {g})"
     steps = [
-        f"SELECT item_id, regexp_replace(left(trim(m), {chat.MOST_CHARS}), '[À-ÖØ-öø-ɏ]', '_', 'g') AS raw FROM (SELECT item_id, CASE WHEN o = 'hello!' THEN o ELSE o || ' ' || text END AS m FROM (SELECT item_id, text, {sql_list(OPENINGS)}[item_id % {len(OPENINGS)} + 1] AS o FROM benchmark))",
+        f"SELECT {key}, regexp_replace(left(trim(m), {chat.MOST_CHARS}), '[À-ÖØ-öø-ɏ]', '_', 'g') AS raw FROM ({source})",
         f"SELECT *, list_transform(regexp_extract_all(raw, {rx(named)}), lambda x: CASE lower(x) WHEN 'the' THEN 'EN' WHEN 'der' THEN 'DE' ELSE 'EN2' END) AS codes, regexp_replace(raw, {rx(named)}, ' | ', 'g') AS rest FROM {{s}}",
         f"SELECT * REPLACE ({cut(chat.RESET)} AS rest) FROM {{s}}",
         f"SELECT * REPLACE (CASE WHEN {hit(chat.LAST_N)} THEN {cut(chat.LAST_N)} WHEN {hit(chat.LAST_ONE)} THEN {cut(chat.LAST_ONE)} ELSE {cut(chat.NEWEST)} END AS rest), CASE WHEN {hit(chat.LAST_N)} THEN coalesce(list_position({sql_list(list(chat.NUMBER_WORDS))}, lower(regexp_extract(rest, {rx(chat.LAST_N)}, 1))), TRY_CAST(regexp_extract(rest, {rx(chat.LAST_N)}, 1) AS INT)) WHEN {hit(chat.LAST_ONE)} OR {hit(chat.NEWEST)} THEN 1 END AS recent FROM {{s}}",
@@ -1178,7 +1181,7 @@ def message_sql() -> str:
     once = lambda c: f"list_filter({c}, lambda x, i: list_position({c}, x) = i)"
     filler = sql_list(sorted(chat.FILLER))
     steps += [
-        f"SELECT item_id, raw, {once('codes')} AS courses, list_filter([{exams}], lambda x: x IS NOT NULL) AS exams, list_concat({kinds}) AS kinds, {once('years')} AS years, recent, list_transform(regexp_split_to_array(rest, {rx(chat.PARTS)}), lambda p: regexp_extract_all(lower(p), {quoted(chat.TOPIC_WORD)})) AS words FROM {{s}}",
+        f"SELECT {key}, raw, {once('codes')} AS courses, list_filter([{exams}], lambda x: x IS NOT NULL) AS exams, list_concat({kinds}) AS kinds, {once('years')} AS years, recent, list_transform(regexp_split_to_array(rest, {rx(chat.PARTS)}), lambda p: regexp_extract_all(lower(p), {quoted(chat.TOPIC_WORD)})) AS words FROM {{s}}",
         f"SELECT *, {once('kinds')} AS said, list_transform(words, lambda w: [w, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains({filler}, w[i]))::VARCHAR[]]) AS w2 FROM {{s}}",
         "SELECT *, list_filter(list_transform(w2, lambda p: array_to_string(p[1][list_min(p[2]::INT[]):list_max(p[2]::INT[])], ' ')), lambda t: length(t) BETWEEN 2 AND 60) AS phrases FROM {s}",
         f"SELECT *, ({once('phrases')})[1:{chat.MOST_TOPICS}] AS topics, CASE WHEN list_has_any(exams, ['quiz', 'test', 'lab_quiz']) OR regexp_matches(raw, {rx(chat.Q_NUMBER)}) THEN TRY_CAST(regexp_extract(raw, {rx(chat.QUIZ_NUMBER)}, 1) AS INT) END AS number FROM {{s}}",
@@ -1186,8 +1189,68 @@ def message_sql() -> str:
         f"SELECT *, CASE WHEN len(said) = 0 AND len(courses) + len(exams2) + len(years) > 0 THEN {sql_list(DEFAULT_MATERIALS)} ELSE said END AS kinds2, CASE WHEN raw = 'hello!' THEN 'greeting' ELSE '' END AS talk FROM {{s}}",
     ]
     ctes = ", ".join(f"s{k} AS ({x.replace('{s}', f's{k - 1}')})" for k, x in enumerate(steps))
+    return ctes, f"s{len(steps) - 1}"
+
+
+def opened_sql(table: str, keys: str, at: str) -> str:
+    return f"SELECT {keys}, CASE WHEN o = 'hello!' THEN o ELSE o || ' ' || text END AS m FROM (SELECT {keys}, coalesce(text, '') AS text, {sql_list(OPENINGS)}[({at}) % {len(OPENINGS)} + 1] AS o FROM {table})"
+
+
+def message_sql() -> str:
+    ctes, last = message_steps(opened_sql("benchmark", "item_id", "item_id"), "item_id")
     shown = lambda c: f"CASE WHEN talk = '' THEN array_to_string({c}, '|') ELSE '' END"
-    return f"WITH {ctes} SELECT item_id, {shown('courses')} AS courses, {shown('exams2')} AS exam_types, {shown('kinds2')} AS materials, {shown('years')} AS years, {shown('topics')} AS topics, CAST(number AS INT) AS quiz_number, CAST(CASE WHEN talk = '' THEN recent END AS INT) AS recent_years, talk <> '' OR known AS understood, talk AS smalltalk FROM s{len(steps) - 1}"
+    return f"WITH {ctes} SELECT item_id, {shown('courses')} AS courses, {shown('exams2')} AS exam_types, {shown('kinds2')} AS materials, {shown('years')} AS years, {shown('topics')} AS topics, CAST(number AS INT) AS quiz_number, CAST(CASE WHEN talk = '' THEN recent END AS INT) AS recent_years, talk <> '' OR known AS understood, talk AS smalltalk FROM {last}"
+
+
+def conversation_sql() -> str:
+    """The form after each turn: a recursion over the turns of every conversation."""
+    ctes, last = message_steps(opened_sql("(FROM conversations WHERE role = 'user')", "conv_id, turn", "conv_id * 5 + turn"), "conv_id, turn")
+    rx = lambda x: "'(?i)" + x.replace("'", "''") + "'"
+    both = lambda a, b: f"list_concat({a}, list_filter({b}, lambda x: NOT list_contains({a}, x)))"
+    base = lambda c: f"CASE WHEN t.reset THEN [] ELSE f.{c} END"
+    kept = lambda c, own: f"CASE WHEN len(t.{own}) = 0 THEN {base(c)} WHEN t.more THEN {both(base(c), f't.{own}')} ELSE t.{own} END"
+    dated = "(len(t.years) > 0 OR t.recent IS NOT NULL)"
+    fields = {
+        "courses": kept("courses", "courses"),
+        "exams": kept("exams", "exams"),
+        "kinds": kept("kinds", "said"),
+        "topics": kept("topics", "topics"),
+        "years": f"CASE WHEN {dated} AND len(t.years) = 0 AND NOT t.more THEN [] ELSE {kept('years', 'years')} END",
+        "recent": f"coalesce(t.recent, CASE WHEN (NOT {dated} OR t.more) AND NOT t.reset THEN f.recent END)",
+        "number": "coalesce(t.number, CASE WHEN NOT t.reset THEN f.number END)",
+    }
+    merged = ", ".join(f"CASE WHEN t.talk <> '' THEN f.{c} ELSE {x} END AS {c}" for c, x in fields.items())
+    quizzed = "CASE WHEN talk = '' AND number IS NOT NULL AND len(exams) = 0 THEN ['quiz'] ELSE exams END"
+    filled = f"CASE WHEN talk = '' AND len(kinds) = 0 AND len(courses) + len({quizzed}) + len(years) > 0 THEN {sql_list(DEFAULT_MATERIALS)} ELSE kinds END"
+    start = ", ".join(f"{x} AS {c}" for c, x in {"courses": "[]::VARCHAR[]", "exams": "[]::VARCHAR[]", "kinds": "[]::VARCHAR[]", "topics": "[]::VARCHAR[]", "years": "[]::VARCHAR[]", "recent": "NULL::BIGINT", "number": "NULL::BIGINT"}.items())
+    return f"""WITH RECURSIVE {ctes},
+t AS (SELECT *, regexp_matches(raw, {rx(chat.RESET)}) AS reset, regexp_matches(raw, {rx(chat.ADDITIVE)}) AS more, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM {last}),
+f AS (SELECT DISTINCT conv_id, -1::BIGINT AS turn, 0::BIGINT AS n, '' AS talk, FALSE AS known, {start} FROM t
+ UNION ALL SELECT conv_id, turn, n, talk, known, courses, {quizzed}, {filled}, topics, years, recent, number FROM (SELECT t.conv_id, t.turn, t.n, t.talk, t.known, {merged} FROM f JOIN t ON t.conv_id = f.conv_id AND t.n = f.n + 1))
+SELECT conv_id, turn, array_to_string(courses, '|') AS courses, array_to_string(exams, '|') AS exam_types, array_to_string(kinds, '|') AS materials, array_to_string(topics, '|') AS topics, talk <> '' OR known AS understood FROM f WHERE n > 0"""
+
+
+#: What a person would expect of OPENINGS, whatever passage follows: kind, courses, exam types, materials, years, recent years, quiz number.
+EXPECTED = [
+    ("confirm", ["EN"], ["midsem"], ["papers"], [], 3, None), ("confirm", ["DE"], ["compre"], ["solutions"], [2021], None, None), ("confirm", ["EN2"], ["quiz"], ["solutions"], [], None, 2), ("clarify", [], [], ["slides", "notes"], [2022], None, None),
+    ("clarify", [], ["lab_quiz"], MATERIALS, [], None, 3), ("clarify", [], [], ["tutorials"], [], None, None), ("clarify", [], [], ["papers"], [], 1, None), ("clarify", [], ["quiz"], DEFAULT_MATERIALS, [2019], None, 4),
+    ("clarify", [], [], ["papers"], [], 1, None), ("smalltalk", [], [], [], [], None, None), ("confirm", ["EN"], [], ["labs"], [], 2, None), ("clarify", [], ["compre"], ["papers"], [2018, 2020], None, None), ("unclear", [], [], [], [], None, None), ("clarify", [], [], ["notes"], [], None, None),
+]
+
+
+def evaluation_sql() -> str:
+    ctes, last = message_steps(opened_sql("benchmark", "item_id", "item_id"), "item_id")
+    value = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else f"{sql_list(list(map(str, x)))}::VARCHAR[]" if isinstance(x, (list, tuple)) else f"'{x}'"
+    rows = ", ".join(f"({k}, {', '.join(map(value, r))})" for k, r in enumerate(EXPECTED))
+    same = lambda a, b: f"list_sort(list_distinct({a})) = list_sort(list_distinct({b}))"
+    small = "e.kind = 'smalltalk'"
+    fields = {"courses": same("g.courses", "e.courses"), "exam_types": same("g.exams2", "e.exams"), "materials": same("g.kinds2", "e.kinds"), "years": same("g.years", "e.years"), "recent_years": "g.recent IS NOT DISTINCT FROM e.recent", "topics": "TRUE", "quiz_number": "g.number IS NOT DISTINCT FROM e.number"}
+    kind = "CASE WHEN talk <> '' THEN 'smalltalk' WHEN NOT known THEN 'unclear' WHEN len(g.courses) = 0 THEN 'clarify' ELSE 'confirm' END"
+    counts = ", ".join(f"count(*) FILTER ({x} OR {small}) AS {f}" for f, x in fields.items())
+    whole = " AND ".join(f"({x})" for x in fields.values())
+    return f"""WITH {ctes}, e(k, kind, courses, exams, kinds, years, recent, number) AS (VALUES {rows})
+SELECT count(*) AS n, {counts}, count(*) FILTER (({whole}) OR {small}) AS whole_form, count(*) FILTER ({kind} = e.kind) AS kind, count(*) FILTER ({kind} = e.kind AND e.kind = 'clarify') AS clarify, count(*) FILTER (e.kind = 'clarify') AS clarify_due
+FROM {last} g JOIN e ON g.item_id % {len(OPENINGS)} = e.k"""
 
 
 @query("c1_parse_messages", message_sql())
@@ -1196,13 +1259,28 @@ def c1(spark, sf):
     return read.select("item_id", *[F.array_join(c, "|").alias(c) for c in ("courses", "exam_types", "materials", "years", "topics")], "quiz_number", "recent_years", "understood", "smalltalk")
 
 
-@query("c7_conversations")
+def opened(messages: DataFrame, at: Column) -> DataFrame:
+    """Messages with a beginning that tells something; small talk stands alone."""
+    opening = F.get(F.array(*[F.lit(x) for x in OPENINGS]), (at % len(OPENINGS)).cast("int"))
+    return messages.withColumn("text", F.when(opening == "hello!", opening).otherwise(F.concat_ws(" ", opening, F.coalesce("text", F.lit("")))))
+
+
+@query("c7_conversations", conversation_sql())
 def c7(spark, sf):
     turns = table(spark, sf, "conversations").where("role = 'user'")
-    read = chat.parse_conversations(turns, ALIASES)
+    read = chat.parse_conversations(opened(turns, F.col("conv_id") * 5 + F.col("turn")), ALIASES)
     return read.select("conv_id", "turn", *[F.array_join(c, "|").alias(c) for c in ("courses", "exam_types", "materials", "topics")], "understood")
 
 
+@query("a24_chat_evaluation", evaluation_sql())
+def a24(spark, sf):
+    cases = opened(table(spark, sf, "benchmark"), F.col("item_id"))
+    lists = lambda x: F.array(*[F.lit(v) for v in x])
+    expected = F.array(*[F.struct(F.lit(k).alias("kind"), lists(c).cast("array<string>").alias("courses"), lists(e).cast("array<string>").alias("exam_types"), lists(m).cast("array<string>").alias("materials"), lists(y).cast("array<int>").alias("years"), F.lit(r).cast("int").alias("recent_years"), F.lit(None).cast("array<string>").alias("topics"), F.lit(q).cast("int").alias("quiz_number")) for k, c, e, m, y, r, q in EXPECTED])
+    labelled = cases.select("item_id", F.get(expected, (F.col("item_id") % len(OPENINGS)).cast("int")).alias("x")).select("item_id", "x.*")
+    return chat.scored(labelled, chat.replies(cases, ALIASES, "item_id", "text"), "item_id")
+
+
 @query("c9_smalltalk", r"SELECT conv_id, turn, CASE WHEN regexp_full_match(m, '(?i)\s*(?:hi+|hello+|hey+|hola|yo|good\s+(?:morning|evening|afternoon))\W*') THEN 'greeting' WHEN regexp_full_match(m, '(?i)\s*(?:thanks?|thank\s+you|thx|ty|cheers|great|awesome|nice)\W*') THEN 'thanks' ELSE '' END AS smalltalk FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Hello!! ' WHEN 1 THEN 'thank you.' ELSE text END AS m FROM conversations)")
 def c9(spark, sf):
     m = F.when(F.col("turn") % 3 == 0, "Hello!! ").when(F.col("turn") % 3 == 1, "thank you.").otherwise(F.col("text"))
