@@ -21,9 +21,19 @@ MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 LONG_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 DAY, DAY_1 = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|[12][0-9]|3[01])"
 MONTH, MONTH_1, YEAR = "(?:0[1-9]|1[0-2])", "(?:0?[1-9]|1[0-2])", "(?:19|20)[0-9]{2}"
+#: Month names of dates in words: fixed values, long and short English and German ones, long French and Spanish ones.
+MONTH_NAMES = [
+    "january february march april may june july august september october november december".split(),
+    "jan feb mar apr may jun jul aug sep oct nov dec".split(),
+    "januar februar märz april mai juni juli august september oktober november dezember".split(),
+    "jan feb mär apr mai jun jul aug sep okt nov dez".split(),
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+]
+NAMED = "|".join(sorted({form for names in MONTH_NAMES for n in names for form in (n, n.capitalize())}, key=lambda n: (-len(n), n)))
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "iban": r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ipv6": r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Fa-f:.])",
     "iso_date": rf"(?<![0-9.-]){YEAR}(?:-{MONTH}-{DAY}|/{MONTH}/{DAY})(?![0-9-])",
     "iso_date_1": rf"(?<![0-9.-]){YEAR}-{MONTH_1}-{DAY_1}(?![0-9-])",
@@ -35,11 +45,14 @@ PATTERNS = {
     "day_date_1": rf"(?<![0-9/])(?:1[3-9]|2[0-9]|3[01])/{MONTH_1}/{YEAR}(?![0-9/])",
     "word_date": rf"\b(?:{MONTHS}) {DAY_1}, {YEAR}(?![0-9])",
     "long_date": rf"\b(?:{LONG_MONTHS}) {DAY_1}, {YEAR}(?![0-9])",
+    "day_named": rf"(?<![0-9\p{{L}}]){DAY_1}(?:\.|st|nd|rd|th)? (?:de )?(?:{NAMED})(?:,| de)? {YEAR}(?![0-9])",
+    "named_day": rf"(?<!\p{{L}})(?:{NAMED}) {DAY_1}(?:st|nd|rd|th)?,? {YEAR}(?![0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "cards": r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){2,}(?:[ -][0-9]{1,3})?(?![0-9])",
+    "cards": r"(?<![0-9])[0-9]{4}(?:[ .-][0-9]{4}){2,}(?:[ .-][0-9]{1,3})?(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19})(?![0-9])",
     "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "trunk": r"(?<![0-9+/.,-])(?:(?:\(0[1-9][0-9]{1,4}\) ?|0[1-9][0-9]{1,4}[ /-])[0-9]{3,8}(?:[ -][0-9]{2,5}){0,2}|0[1-9](?:[ .-][0-9]{2}){4})(?![0-9])",
     "e164": r"(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,12})){1,4}(?![0-9])",
 }
 ANY = "|".join(PATTERNS.values())
@@ -52,12 +65,19 @@ LAYOUTS = {
 }
 
 
-def _keyed(key: str, tweak: str, i: Column, half: Column) -> Column:
+#: A key is a string, or a column that holds one, so that plans don't show it.
+Key = str | Column
+#: Country calling codes of one and two digits; all others have three. Fixed values.
+CODES_1 = "1 7".split()
+CODES_2 = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def _keyed(key: Key, tweak: str, i: Column, half: Column) -> Column:
     digest = F.sha2(F.concat_ws(":", F.lit(key), F.lit(tweak), i.cast("string"), half.cast("string")), 256)
     return F.conv(F.substring(digest, 1, 14), 16, 10).cast("long")
 
 
-def feistel(left: Column, right: Column, a: Column, b: Column, key: str, tweak: str) -> Column:
+def feistel(left: Column, right: Column, a: Column, b: Column, key: Key, tweak: str) -> Column:
     """struct(l, r): ROUNDS alternating rounds on Z_a x Z_b."""
 
     def step(s: Column, i: Column) -> Column:
@@ -71,7 +91,7 @@ def feistel(left: Column, right: Column, a: Column, b: Column, key: str, tweak:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
-def permuted(x: Column, a: Column, b: Column, key: str, tweak: str) -> Column:
+def permuted(x: Column, a: Column, b: Column, key: Key, tweak: str) -> Column:
     """A permutation of 0 .. a*b - 1."""
     out = feistel(_over(x, b), F.pmod(x, b), a, b, key, tweak)
     return F.transform(F.array(out), lambda o: o["l"] * b + o["r"])[0]
@@ -82,7 +102,7 @@ def _over(x: Column, b: Column) -> Column:
     return F.call_function("div", x, b)
 
 
-def walked(x: Column, a: Column, b: Column, key: str, tweak: str, same: Callable[[Column], Column], most: int) -> Column:
+def walked(x: Column, a: Column, b: Column, key: Key, tweak: str, same: Callable[[Column], Column], most: int) -> Column:
     """The permutation repeated until ``same`` holds; ``most`` steps miss it with a chance below 1e-25."""
 
     def step(s: Column, _: Column) -> Column:
@@ -106,7 +126,7 @@ def _power(n: Column) -> Column:
     return F.rpad(F.lit("1"), n + 1, "0").cast("long")
 
 
-def permuted_digits(d: Column, key: str, tweak: str) -> Column:
+def permuted_digits(d: Column, key: Key, tweak: str) -> Column:
     """A permutation of the digit strings of d's length (2 to 36)."""
     n = F.length(d)
     a = _over(n, F.lit(2)).cast("int")
@@ -125,7 +145,7 @@ def luhn_sum(d: Column, doubled: int) -> Column:
     return F.aggregate(each, F.lit(0), lambda s, x: s + x)
 
 
-def card(m: Column, key: str) -> Column:
+def card(m: Column, key: Key) -> Column:
     """Permuted body and a right check digit; null if m fails the Luhn check."""
     d = digits(m)
     body = permuted_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
@@ -133,27 +153,28 @@ def card(m: Column, key: str) -> Column:
     return F.when(luhn_sum(d, 1) % 10 == 0, F.transform(F.array(full), lambda x: with_digits(m, x))[0])
 
 
-def cards(m: Column, key: str) -> Column:
-    """The first card in a run of groups of four and perhaps a shorter last one; null if there is none.
+def cards(m: Column, key: Key) -> Column:
+    """All cards in a run of groups of four and perhaps a shorter last one; null if there is none.
 
-    Of the cards that begin at a group (19 digits, 16 or 13) the leftmost and then longest counts, so that numbers
-    beside it (another number, an expiry date, a security code) do not hide it.
+    Of the cards that begin at a group (19 digits, 16 or 13) the leftmost and then longest counts, then the next one
+    behind it, so that numbers beside a card (another number, an expiry date, a security code) do not hide it.
     """
     d = digits(m)
-    sizes = F.array(*[F.lit(n) for n in (19, 16, 13)])
-    starts = F.sequence(F.lit(0), F.length(d) - 12, F.lit(4))
-    spots = F.flatten(F.transform(starts, lambda i: F.transform(sizes, lambda n: F.struct(i.alias("i"), n.alias("n")))))
-    fits = lambda p: (p["i"] + p["n"] <= F.length(d)) & ((p["n"] == 16) | (p["i"] + p["n"] == F.length(d)))
-    found = F.get(F.filter(spots, lambda p: fits(p) & (luhn_sum(F.substring(d, p["i"] + 1, p["n"]), 1) % 10 == 0)), F.lit(0))
+    n = F.length(d)
 
-    def changed(p: Column) -> Column:
-        new = card(F.substring(d, p["i"] + 1, p["n"]), key)
-        return with_digits(m, F.concat(F.substring(d, F.lit(1), p["i"]), new, F.substring(d, p["i"] + p["n"] + 1, F.length(d))))
+    def step(s: Column, i: Column) -> Column:
+        fit = lambda k: (i + k <= n) & ((F.lit(16) == k) | (i + k == n)) & (luhn_sum(F.substring(d, i + 1, k), 1) % 10 == 0)
+        size = F.get(F.filter(F.array(F.lit(19), F.lit(16), F.lit(13)), fit), F.lit(0))
+        found = F.struct((i + size).alias("next"), F.concat(s["out"], card(F.substring(d, i + 1, size), key)).alias("out"), F.lit(True).alias("any"))
+        group = F.struct((i + 4).alias("next"), F.concat(s["out"], F.substring(d, i + 1, F.lit(4))).alias("out"), s["any"].alias("any"))
+        return F.when(i < s["next"], s).when(size.isNotNull(), found).otherwise(group)
 
-    return F.transform(F.array(found), lambda p: F.when(p.isNotNull(), changed(p)))[0]
+    start = F.struct(F.lit(0).alias("next"), F.lit("").alias("out"), F.lit(False).alias("any"))
+    whole = F.aggregate(F.sequence(F.lit(0), n - 1, F.lit(4)), start, step, lambda s: F.when(s["any"], F.concat(s["out"], F.substring(d, s["next"] + 1, n))))
+    return F.transform(F.array(whole), lambda x: F.when(x.isNotNull(), with_digits(m, x)))[0]
 
 
-def ssn(m: Column, key: str) -> Column:
+def ssn(m: Column, key: Key) -> Column:
     def valid(x: Column) -> Column:
         area, rest = _over(x, F.lit(1_000_000)), F.pmod(x, F.lit(1_000_000))
         return (area > 0) & (area != 666) & (area < 900) & (rest >= 10_000) & (F.pmod(rest, F.lit(10_000)) > 0)
@@ -163,7 +184,7 @@ def ssn(m: Column, key: str) -> Column:
     return F.when(valid(x), with_digits(m, F.lpad(new.cast("string"), 9, "0")))
 
 
-def phone(m: Column, key: str) -> Column:
+def phone(m: Column, key: Key) -> Column:
     """The ten national digits are permuted among plans of the same validity (area and exchange from 2)."""
     d = digits(m)
     plan = lambda x: (x >= 2_000_000_000) & (F.pmod(x, F.lit(10_000_000)) >= 2_000_000)
@@ -173,14 +194,24 @@ def phone(m: Column, key: str) -> Column:
     return with_digits(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), F.lpad(new.cast("string"), 10, "0")))
 
 
-def e164(m: Column, key: str) -> Column:
-    """The country code's first digit and the layout stay, the other digits are permuted; null beyond 8 to 15 digits."""
+def trunk(m: Column, key: Key) -> Column:
+    """A national number with a leading 0, which stays and is followed by no other 0; null beyond 9 to 12 digits."""
+    d = digits(m)
+    n = F.length(d) - 1
+    a = _over(n, F.lit(2)).cast("int")
+    new = walked(F.substring(d, F.lit(2), n).cast("long"), _power(a), _power(n - a), key, "trunk", lambda x: x >= _power(n - 1), 30)
+    return F.when(n.between(8, 11), F.transform(F.array(new), lambda x: with_digits(m, F.concat(F.lit("0"), x.cast("string"))))[0])
+
+
+def e164(m: Column, key: Key) -> Column:
+    """The country's code and the layout stay, the other digits are permuted; null beyond 8 to 15 digits."""
     d = digits(m)
-    new = F.concat(F.substring(d, 1, 1), permuted_digits(F.substring(d, F.lit(2), F.length(d) - 1), key, "e164"))
+    size = F.when(F.substring(d, 1, 1).isin(CODES_1), 1).when(F.substring(d, 1, 2).isin(CODES_2), 2).otherwise(3)
+    new = F.concat(F.substring(d, F.lit(1), size), permuted_digits(F.substring(d, size + 1, F.length(d) - size), key, "e164"))
     return F.when(F.length(d).between(8, 15), F.transform(F.array(new), lambda x: with_digits(m, x))[0])
 
 
-def ipv6(m: Column, key: str) -> Column:
+def ipv6(m: Column, key: Key) -> Column:
     """An address of eight groups; ways to write the same address give the same one. Null if groups are missing."""
     half = F.split(m, "::")
     groups = lambda i: F.filter(F.split(F.coalesce(F.get(half, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
@@ -196,7 +227,7 @@ def ipv6(m: Column, key: str) -> Column:
     return F.when(F.when(m.contains("::"), gap > 0).otherwise(gap == 0), text)
 
 
-def ip(m: Column, key: str) -> Column:
+def ip(m: Column, key: Key) -> Column:
     part = F.split(m, r"\.")
     octet = [F.get(part, F.lit(i)).cast("long") for i in range(4)]
     out = feistel(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], F.lit(65536), F.lit(65536), key, "ip")
@@ -205,7 +236,7 @@ def ip(m: Column, key: str) -> Column:
     return F.when(valid, new)
 
 
-def date(m: Column, layout: str, key: str) -> Column:
+def date(m: Column, layout: str, key: Key) -> Column:
     """A date of 1900-2099 in the same layout; null if m is no date (30 February). A day-first layout with slashes,
     which only days after the 12th tell from a month-first one, stays among such days."""
     first = F.to_date(F.lit(FIRST_DAY))
@@ -216,6 +247,36 @@ def date(m: Column, layout: str, key: str) -> Column:
     return F.date_format(F.date_add(first, new.cast("int")), layout)
 
 
+def named_date(m: Column, key: Key) -> Column:
+    """A date whose month is a word, in the same language and layout; null if it is no date.
+
+    A point behind the day tells German from English where both have the name.
+    """
+    word = F.regexp_extract(m, r"\p{L}{3,}", 0)
+    lists = [F.array(*[F.lit(n) for n in names]) for names in MONTH_NAMES]
+    german_first = F.array(*[lists[k] for k in (2, 3, 0, 1, 4, 5)])
+    fits = F.filter(F.when(m.rlike(r"^[0-9]{1,2}\."), german_first).otherwise(F.array(*lists)), lambda names: F.array_contains(names, F.lower(word)))
+    day = F.regexp_extract(m, r"(?<![0-9])([0-9]{1,2})(?![0-9])", 1)
+    parts = F.struct(F.get(fits, F.lit(0)).alias("names"), day.alias("day"), word.alias("word"))
+    first = F.to_date(F.lit(FIRST_DAY))
+
+    def changed(p: Column) -> Column:
+        was = F.try_to_date(F.concat_ws("-", F.right(m, F.lit(4)), F.array_position(p["names"], F.lower(p["word"])).cast("string"), p["day"]), "yyyy-M-d")
+        new = walked(F.datediff(was, first), F.lit(271), F.lit(270), key, "date", lambda x: x < DAYS, 60)
+        return F.when(was.isNotNull(), F.transform(F.array(F.date_add(first, new.cast("int"))), lambda d: shown(p, d))[0])
+
+    def shown(p: Column, d: Column) -> Column:
+        number = F.dayofmonth(d)
+        ending = F.when(number.between(11, 13), "th").otherwise(F.coalesce(*[F.when(number % 10 == k, e) for k, e in ((1, "st"), (2, "nd"), (3, "rd"))], F.lit("th")))
+        name = F.get(p["names"], F.month(d) - 1)
+        name = F.when(p["word"] == F.lower(p["word"]), name).otherwise(F.initcap(name))
+        text = F.when(p["day"].startswith("0"), F.lpad(number.cast("string"), 2, "0")).otherwise(number.cast("string"))
+        text = F.when(m.rlike("[0-9](?:st|nd|rd|th)"), F.concat(text, ending)).otherwise(text)
+        return F.regexp_replace(F.replace(F.regexp_replace(m, F.lit("(?<![0-9])[0-9]{1,2}(?:st|nd|rd|th)?(?![0-9])"), text), p["word"], name), F.lit("[0-9]{4}$"), F.date_format(d, "yyyy"))
+
+    return F.transform(F.array(parts), changed)[0]
+
+
 def mod97(s: Column) -> Column:
     """Remainder of the number that s spells, letters being 10 to 35."""
     value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
@@ -223,14 +284,14 @@ def mod97(s: Column) -> Column:
     return F.aggregate(chars, F.lit(0), lambda r, v: F.pmod(r * F.when(v > 9, 100).otherwise(10) + v, F.lit(97)))
 
 
-def iban(m: Column, key: str) -> Column:
+def iban(m: Column, key: Key) -> Column:
     """The account's digits are permuted and the check digits set right; null if no check holds.
 
     The longest beginning of m that ends with a group and holds counts, so that a word behind it does not hide it.
     """
     ends = F.filter(F.sequence(F.length(m), F.lit(15), F.lit(-1)), lambda n: (n == F.length(m)) | (F.substring(m, n + 1, F.lit(1)) == " "))
     heads = F.filter(F.when(F.length(m) >= 15, ends), lambda n: F.substring(m, n, F.lit(1)) != " ")
-    flat = lambda n: F.replace(F.substring(m, F.lit(1), n), F.lit(" "), F.lit(""))
+    flat = lambda n: F.upper(F.replace(F.substring(m, F.lit(1), n), F.lit(" "), F.lit("")))
     holds = lambda x: mod97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))) == 1
     found = F.get(F.filter(heads, lambda n: (F.length(flat(n)) >= 15) & holds(flat(n))), F.lit(0))
 
@@ -245,12 +306,12 @@ def iban(m: Column, key: str) -> Column:
     return F.transform(F.array(found), lambda n: F.when(n.isNotNull(), changed(n)))[0]
 
 
-def email(m: Column, key: str) -> Column:
+def email(m: Column, key: Key) -> Column:
     name = F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 16)
     return F.concat(F.lit("u"), name, F.lit("@example.invalid"))
 
 
-def pseudonym(m: Column, key: str) -> Column:
+def pseudonym(m: Column, key: Key) -> Column:
     """struct(kind, text) of one match; kind is null and the text unchanged if no format validates it."""
     full = lambda p: m.rlike(rf"\A(?:{PATTERNS[p]})\z")
     dates = [("date", full(p) & (m.contains("-") if p == "iso_date" else F.lit(True)), date(m, layout, key)) for p, layout in LAYOUTS.items()]
@@ -260,11 +321,13 @@ def pseudonym(m: Column, key: str) -> Column:
         ("ip", full("ipv6"), ipv6(m, key)),
         *dates,
         ("date", full("iso_date"), date(m, "yyyy/MM/dd", key)),
+        ("date", full("day_named") | full("named_day"), named_date(m, key)),
         ("ip", full("ip"), ip(m, key)),
         ("ssn", full("ssn"), ssn(m, key)),
         ("card", full("cards"), cards(m, key)),
         ("card", full("card"), card(m, key)),
         ("phone", full("phone"), phone(m, key)),
+        ("phone", full("trunk"), trunk(m, key)),
         ("phone", full("e164"), e164(m, key)),
     ]
     choice = F.lit(None).cast("struct<kind:string,text:string>")
@@ -281,18 +344,21 @@ def session_key(spark: SparkSession) -> str:
     return key
 
 
-def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: Key, text_col: str = "text") -> DataFrame:
     """docs with the text's validated values replaced, and n_<kind> counts of them for each of KINDS.
 
     Whole texts; null stays null and empty stays empty, with counts of 0. Candidates that fail their validation
-    stay as they are. Whoever has the key can invert the pseudonyms, so there is no default. Rows are handled one by one, so repeats stay repeats and nothing is shuffled. Columns named
-    n_<kind> that docs has already are replaced.
+    stay as they are. Whoever has the key can invert the pseudonyms, so there is no default, and the key reaches the
+    tasks as a one-row table: no plan, log or page of Spark shows it. Rows are handled one by one, so repeats stay
+    repeats and nothing is shuffled; an empty table gives no rows. Columns named n_<kind> that docs has already are
+    replaced.
     """
     if not key:
         raise ValueError("pseudonyms need a key")
     text = F.col(text_col)
-    some = F.when(text.rlike("[0-9@]"), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key)))
-    found = docs.drop(*[f"n_{k}" for k in KINDS]).withColumn("__new", some)
+    secret = docs.sparkSession.createDataFrame([(key,)], "key string").scalar()
+    some = F.when(text.rlike("[0-9@]"), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, F.col("__key"))))
+    found = docs.drop(*[f"n_{k}" for k in KINDS]).withColumn("__key", secret).withColumn("__new", some).drop("__key")
     gaps = F.split(text, ANY, -1)
     new = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("__new"), i)["text"], F.lit(""))))
     kinds = F.transform("__new", lambda x: x["kind"])

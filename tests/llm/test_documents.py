@@ -405,6 +405,47 @@ def test_values_beside_others(docs_of):
         pii.pseudonymize(docs, "")
 
 
+def test_more_layouts(docs_of):
+    card = "4041 8949 7460 8795"
+    texts = [
+        f"{card} {card}", card.replace(" ", "."), "+44 20 7946 0958", "+49 30 1234567", "5 January 2024", "Jan 5 2024", "05. Januar 2024", "5 de enero de 2024", "1 août 1999", "3rd March 2001", "29 Feb 2024",
+        "(030) 1234567", "0171/1234567", "020 7946 0958", "01 23 45 67 89", "mail jörg.müller@exämple.de now", "de89 3704 0044 0532 0130 00",
+    ]
+    kept = ["30 February 2024", "room 012 345", "5 Januar", "0123 45", "de89 3704 0044 0532 0130 01", "may 2024", "0012 345 678"]
+    got = [r["text"] for r in pii.pseudonymize(docs_of(list(enumerate(texts + kept))), "k").orderBy("doc_id").collect()]
+    assert [g for g, t in zip(got, texts + kept) if g == t] == kept
+    numbers = [g.replace(" ", "").replace(".", "") for g in got[:2]]
+    assert numbers[0] == 2 * numbers[1] and luhn(numbers[1]) and got[1].count(".") == 3
+    assert got[2].startswith("+44 ") and got[3].startswith("+49 ") and all(got[k].lstrip("(")[0] == "0" != got[k].lstrip("(")[1] for k in range(11, 15))
+    form = lambda t: "".join("9" if c.isdigit() else c for c in t)
+    assert [form(got[k]) for k in (*range(4), *range(11, 15))] == [form(texts[k]) for k in (*range(4), *range(11, 15))]
+    days = []
+    for k, names in ((4, 0), (5, 1), (6, 2), (7, 5), (8, 4), (9, 0), (10, 1)):
+        word = next(w for w in got[k].replace(".", " ").split() if w.isalpha() and len(w) > 2)
+        month = pii.MONTH_NAMES[names].index(word.lower()) + 1
+        number = int("".join(c for c in next(w for w in got[k].split() if w[0].isdigit() and len(w) < 5) if c.isdigit()))
+        days.append(datetime.date(int(got[k][-4:]), month, number))
+        assert word[0].isupper() == (names < 4)
+    assert len({*days[:4]}) == 1 and "." in got[6] and got[6].split(".")[0].isdigit() and " de " in got[7]
+    assert got[9].split()[0][-2:] in ("st", "nd", "rd", "th") and got[15].startswith("mail u") and got[15].endswith("@example.invalid now")
+    flat = got[16].replace(" ", "").upper()
+    assert got[16] == got[16].lower() and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
+def test_the_key_is_in_no_plan(spark, docs_of):
+    key = "a-very-secret-key"
+    out = pii.pseudonymize(docs_of([(1, "card 4041894974608795")]), key)
+    out.collect()
+    assert key not in out._jdf.queryExecution().toString() and key not in out._jdf.queryExecution().executedPlan().treeString()
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("lodestack.pii.key", key)
+    try:
+        assert pii.session_key(spark) == key == pii.session_key(spark)
+    finally:
+        spark.conf.unset("lodestack.pii.key")
+    assert pii.session_key(spark) == pii.session_key(spark) != key
+
+
 def slow_network(left, right, a, b, key, tweak):
     keyed = lambda i, half: int(hashlib.sha256(f"{key}:{tweak}:{i}:{half}".encode()).hexdigest()[:14], 16)
     for i in range(pii.ROUNDS):
