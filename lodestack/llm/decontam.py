@@ -12,8 +12,9 @@ every shard is searched for one block after another, which a worker lets go befo
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,11 @@ class Block:
                 self.owners.append([])
             self.owners[k].append((own, at))
 
+    @cached_property
+    def names(self) -> list[list[str]]:
+        """The different items of each window."""
+        return [list(dict.fromkeys(self.items[i] for i, _ in own)) for own in self.owners]
+
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """Windows padded with 0, and their lengths."""
         out = np.zeros((len(self.known), self.window), dtype=np.int32)
@@ -123,8 +129,74 @@ def intervals(seq: np.ndarray, order: np.ndarray, windows: np.ndarray, sizes: np
     return search(False), search(True)
 
 
-def search_shard(docs: list[list[bytes]], block: Block, hit: np.ndarray, bounds: np.ndarray, found: list[Found]) -> None:
-    """Mark hit words of a shard and note each document's matches."""
+class Hits:
+    """Notes nothing but which words are hit."""
+
+    def __init__(self, n: int):
+        pass
+
+    def note(self, shard: Shard) -> None:
+        pass
+
+
+class Items:
+    """Collects the names of the items that each document has a window of, each once however often they occur."""
+
+    def __init__(self, n: int):
+        self.found: list[set[str]] = [set() for _ in range(n)]
+
+    def note(self, shard: Shard) -> None:
+        # each window once for a document, then the items of each window
+        n = len(shard.sizes)
+        pair = np.unique(shard.doc * n + shard.which)
+        doc, which = pair // n, pair % n
+        names = shard.block.names
+        edge = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]])
+        for low, high in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            own = self.found[int(doc[low])]
+            for k in which[low:high].tolist():
+                own.update(names[k])
+
+
+class Matches:
+    """Collects the places of all verbatim matches that cannot be made longer."""
+
+    def __init__(self, n: int):
+        self.found: list[Found] = [[] for _ in range(n)]
+
+    def note(self, shard: Shard) -> None:
+        met, sizes, owned = np.unique(shard.which), shard.sizes, shard.block.owners
+        own_count = np.array([len(owned[k]) for k in met.tolist()])
+        own_start, many = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
+        own_start[met], many[met] = np.cumsum(own_count) - own_count, own_count
+        own = np.array([x for k in met.tolist() for x in owned[k]], dtype=np.int64).reshape(-1, 2)
+        by = np.argsort(shard.doc, kind="stable")
+        doc, at, which = shard.doc[by], shard.at[by], shard.which[by]
+        # some documents at a time: a passage that many items hold has a row for each of them
+        turn = np.cumsum(many[which]) // PAIRS
+        turn = np.maximum.accumulate(np.where(np.concatenate([[True], doc[1:] != doc[:-1]]), turn, 0))
+        edge = np.concatenate([[0], np.flatnonzero(turn[1:] != turn[:-1]) + 1, [len(turn)]])
+        for low, high in zip(edge[:-1], edge[1:]):
+            note_matches(doc[low:high], at[low:high], which[low:high], sizes, own, own_start, many, shard.bounds, shard.block.items, self.found)
+
+
+Collector = Hits | Items | Matches
+
+
+@dataclass
+class Shard:
+    """Occurrences of a block's windows in some documents: document, word position in the shard, window."""
+
+    block: Block
+    sizes: np.ndarray
+    bounds: np.ndarray
+    doc: np.ndarray
+    at: np.ndarray
+    which: np.ndarray
+
+
+def search_shard(docs: list[list[bytes]], block: Block, hit: np.ndarray, bounds: np.ndarray, collector: Collector) -> None:
+    """Mark hit words of a shard, and let the collector note the occurrences."""
     windows, sizes = block.table()
     get = block.vocabulary.get
     flat = np.zeros(int(bounds[-1]) + len(docs), dtype=np.int32)
@@ -156,18 +228,7 @@ def search_shard(docs: list[list[bytes]], block: Block, hit: np.ndarray, bounds:
     np.add.at(cover, at, 1)
     np.subtract.at(cover, at + sizes[which], 1)
     hit |= np.cumsum(cover)[:-1] > 0
-    owned = block.owners
-    own_count = np.array([len(owned[k]) for k in met.tolist()])
-    own_start, many = np.zeros(len(windows), dtype=np.int64), np.zeros(len(windows), dtype=np.int64)
-    own_start[met], many[met] = np.cumsum(own_count) - own_count, own_count
-    own = np.array([x for k in met.tolist() for x in owned[k]], dtype=np.int64).reshape(-1, 2)
-    by = np.argsort(doc, kind="stable")
-    doc, at, which = doc[by], at[by], which[by]
-    # some documents at a time: a passage that many items hold has a row for each of them
-    turn = np.cumsum(many[which]) // PAIRS
-    turn = np.maximum.accumulate(np.where(np.concatenate([[True], doc[1:] != doc[:-1]]), turn, 0))
-    for low, high in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate([[0], np.flatnonzero(turn[1:] != turn[:-1]) + 1, [len(turn)]]))):
-        note_matches(doc[low:high], at[low:high], which[low:high], sizes, own, own_start, many, bounds, block.items, found)
+    collector.note(Shard(block, sizes, bounds, doc, at, which))
 
 
 def note_matches(doc: np.ndarray, at: np.ndarray, which: np.ndarray, sizes: np.ndarray, own: np.ndarray, own_start: np.ndarray, many: np.ndarray, bounds: np.ndarray, names: list[str], found: list[Found]) -> None:
@@ -186,9 +247,8 @@ def note_matches(doc: np.ndarray, at: np.ndarray, which: np.ndarray, sizes: np.n
         found[d].append((names[i], n, a, p))
 
 
-def scan(texts: list[str], sent: list[Broadcast[Block]]) -> tuple[np.ndarray, np.ndarray, list[Found]]:
-    """Word counts, hit word counts and matches of some texts, one shard after another."""
-    n_words, n_hit, all_found = [], [], []
+def scan(texts: list[str], sent: list[Broadcast[Block]], collect: type[Collector] = Matches) -> Iterator[tuple[np.ndarray, np.ndarray, Collector]]:
+    """Word counts, hit word counts and the collector of some texts, one shard after another."""
     shard: list[list[bytes]] = []
     size = 0
     for k, text in enumerate(texts):
@@ -197,17 +257,13 @@ def scan(texts: list[str], sent: list[Broadcast[Block]]) -> tuple[np.ndarray, np
         if size > SHARD_WORDS or k == len(texts) - 1:
             bounds = np.concatenate([[0], np.cumsum([len(w) for w in shard])]).astype(np.int64)
             hit = np.zeros(size, dtype=bool)
-            found: list[Found] = [[] for _ in shard]
+            collector = collect(len(shard))
             for one in sent:
-                search_shard(shard, one.value, hit, bounds, found)
+                search_shard(shard, one.value, hit, bounds, collector)
                 if len(sent) > 1:
                     one.__dict__.pop("_value", None)  # it is read from disk again for the next shard
-            n_words.append(np.diff(bounds))
-            n_hit.append(np.diff(np.concatenate([[0], np.cumsum(hit)])[bounds]))
-            all_found += found
+            yield np.diff(bounds), np.diff(np.concatenate([[0], np.cumsum(hit)])[bounds]), collector
             shard, size = [], 0
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *n_words]), np.concatenate([none, *n_hit]), all_found
 
 
 def sent_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> list[Broadcast[Block]]:
@@ -215,31 +271,54 @@ def sent_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -
     return [context.broadcast(b) for b in blocks_of(benchmark, window, id_col, text_col)]
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit (words inside an occurrence of a window), and matches.
-
-    matches lists all verbatim matches of a window or more that cannot be made longer: item, n_words, doc_at, item_at
-    (word positions from 0), ordered by item as a string, then by place. Items shorter than the window count as one window of their
-    own length; wordless and null items are never met, and a null item id is named "null". Items with the same id
-    count as one. Null and empty texts have no words. Repeated rows give repeated rows.
-    """
-    sent = sent_blocks(benchmark, window, item_col, item_text)
-    kind = pa.list_(pa.struct([("item", pa.string()), ("n_words", pa.int64()), ("doc_at", pa.int64()), ("item_at", pa.int64())]))
-
+def _searched(docs: DataFrame, sent: list[Broadcast[Block]], collect: type[Collector], columns: Callable[[Collector], list[pa.Array]], names: list[str], schema: str, id_col: str, text_col: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_hit, found = scan(texts_of(batch), sent)
-            matches = [[dict(zip(("item", "n_words", "doc_at", "item_at"), m)) for m in sorted(f, key=lambda m: (m[0], m[2], m[3]))] for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array(matches, kind)], names=["doc_id", "n_words", "n_hit", "matches"])
+            at = 0
+            for n_words, n_hit, collector in scan(texts_of(batch), sent, collect):
+                ids = batch.column("doc_id").slice(at, len(n_words))
+                at += len(n_words)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n_words), pa.array(n_hit), *columns(collector)], names=["doc_id", "n_words", "n_hit", *names])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return by_batch(chosen, work, "doc_id long, n_words long, n_hit long, matches array<struct<item:string,n_words:long,doc_at:long,item_at:long>>")
+    return by_batch(chosen, work, f"doc_id long, n_words long, n_hit long, {schema}")
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_hit (words inside an occurrence of a window), and items: the different
+    items with an occurring window, ordered as strings. Its size is bounded by the benchmark, not by the occurrences.
+
+    Items shorter than the window count as one window of their own length; wordless and null items are never met,
+    and a null item id is named "null". Items with the same id count as one. Null and empty texts have no words; texts are
+    searched whole, whatever their length. Repeated rows give repeated rows; empty tables of documents give no rows, and
+    an empty benchmark meets nothing. Other columns are not read, whatever their names.
+    """
+    column = lambda c: [pa.array([sorted(f) for f in c.found], pa.list_(pa.string()))]
+    return _searched(docs, sent_blocks(benchmark, window, item_col, item_text), Items, column, ["items"], "items array<string>", id_col, text_col)
+
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """find_items with matches in place of items: all verbatim matches of a window or more that cannot be made longer, as
+    item, n_words, doc_at, item_at (word positions from 0), ordered by item as a string, then by place.
+
+    A document that repeats what many items hold has a match for each of both; where only the items count, find_items
+    does without them.
+
+    Items shorter than the window count as one window of their own length; wordless and null items are never met,
+    and a null item id is named "null". Items with the same id count as one. Null and empty texts have no words; texts are
+    searched whole, whatever their length. Repeated rows give repeated rows; empty tables of documents give no rows, and
+    an empty benchmark meets nothing. Other columns are not read, whatever their names.
+    """
+    kind = pa.list_(pa.struct([("item", pa.string()), ("n_words", pa.int64()), ("doc_at", pa.int64()), ("item_at", pa.int64())]))
+    listed = lambda f: [dict(zip(("item", "n_words", "doc_at", "item_at"), m)) for m in sorted(f, key=lambda m: (m[0], m[2], m[3]))]
+    column = lambda c: [pa.array([listed(f) for f in c.found], kind)]
+    return _searched(docs, sent_blocks(benchmark, window, item_col, item_text), Matches, column, ["matches"], "matches array<struct<item:string,n_words:long,doc_at:long,item_at:long>>", id_col, text_col)
 
 
-def digest(matches: DataFrame) -> DataFrame:
-    """The columns of the op1 query from those of find_matches."""
-    names = F.array_distinct(F.transform("matches", lambda m: m["item"]))
-    return matches.select("doc_id", "n_words", "n_hit", F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+def digest(found: DataFrame) -> DataFrame:
+    """The columns of the op1 query from those of find_items (or find_matches)."""
+    items = F.col("items") if "items" in found.columns else F.array_distinct(F.transform("matches", lambda m: m["item"]))
+    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
@@ -248,6 +327,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(scan(texts_of(batch, text_col), sent)[1] == 0))
+            clean = [n_hit == 0 for _, n_hit, _ in scan(texts_of(batch, text_col), sent, Hits)]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, dtype=bool), *clean])))
 
     return by_batch(docs, work, docs.schema)

@@ -24,7 +24,7 @@ def _remainder(modulus: int) -> F.Column:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.digest(decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontam.digest(decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -446,6 +447,24 @@ def test_the_key_is_in_no_plan(spark, docs_of):
     assert pii.session_key(spark) == pii.session_key(spark) != key
 
 
+def test_items_and_hits_need_no_matches(spark, docs_of):
+    """A word that a document repeats and many items hold: occurrences times items would be six million."""
+    bench = spark.createDataFrame([(k, "word", 1) for k in range(300)] + [(300, "other thing", 1), (301, None, 1)], "item_id long, text string, n_hit int")
+    docs = docs_of([(1, "word " * 20_000), (2, "an other thing, a word"), (3, None), (3, "nothing")])
+    began = time.time()
+    blocks = list(decontam.blocks_of(bench, 10, "item_id", "text"))
+    sent = [type("Sent", (), {"value": b})() for b in blocks]
+    n_words, n_hit, found = next(decontam.scan(["word " * 20_000], sent, decontam.Items))
+    assert time.time() - began < 10 and n_hit.tolist() == [20_000] and len(found.found[0]) == 300
+    got = {(r["doc_id"], r["n_words"]): r for r in decontam.find_items(docs, bench).collect()}
+    assert len(got[1, 20_000]["items"]) == 300 and len(got[2, 5]["items"]) == 301 and got[2, 5]["n_hit"] == 3 and got[3, 0]["items"] == [] == got[3, 1]["items"]
+    assert [r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()] == [3, 3]
+    small = docs.where("doc_id > 1")
+    same = lambda f: sorted(map(str, decontam.digest(f(small, bench)).collect()))
+    assert same(decontam.find_items) == same(decontam.find_matches)
+    assert decontam.find_items(docs, bench.limit(0)).where("size(items) > 0").count() == 0 == decontam.find_items(docs.limit(0), bench).count()
+
+
 def slow_network(left, right, a, b, key, tweak):
     keyed = lambda i, half: int(hashlib.sha256(f"{key}:{tweak}:{i}:{half}".encode()).hexdigest()[:14], 16)
     for i in range(pii.ROUNDS):
