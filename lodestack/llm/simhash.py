@@ -46,7 +46,7 @@ SMALL = 256
 #: Links that a cell may give for each of its rows before it gives a forest.
 PER_ROW = 4
 #: Of the similarity search: partners that a row offers in its cell's first turn, and how many times as many in each later one.
-NEAREST, MORE = 2, 4
+NEAREST, MORE = 2, 8
 #: Of the similarity search: words of a shingle, least similarity, bits, and the chance to find a pair at that limit.
 WORDS, LEAST, WIDTH, FOUND = 5, Fraction(4, 5), 128, 0.99
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -458,14 +458,13 @@ def similar(docs: DataFrame, hold: int | None = None) -> DataFrame:
     sets = staged(sets_of(docs, wanted), "sets")
     ends = pairs.select("a", "b", "d").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     best = ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("n")).select(F.least("a", "n.b").alias("a"), F.greatest("a", "n.b").alias("b"))
-    links = verified(staged(best.distinct(), "best"), sets)
-    found = components(links)
+    found = components(verified(staged(best.distinct(), "best"), sets))
     low, high = 0, NEAREST
     while True:
         rest = staged(_between(pairs, found).select("a", "b"), "rest")
-        if not rest.isEmpty():
-            links = links.unionByName(verified(rest, sets))
-            found = components(links)
+        new = verified(rest, sets)
+        if not new.isEmpty():
+            found = _joined(found, new)
         # cells whose rows are still of several components
         rooted = opened.join(found.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
@@ -483,10 +482,18 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root) with further links between them, of which there are few: only roots are joined anew."""
+    above = components(_between(links, found).select(F.col("p").alias("a"), F.col("q").alias("b"))).withColumnRenamed("root", "top")
+    lifted = found.join(above.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = above.join(found.select("node"), "node", "left_anti").select("node", F.col("top").alias("root"))
+    return staged(lifted.unionByName(fresh), "found")
+
+
 def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs whose nodes are in different components."""
+    """Pairs whose nodes are in different components, with their roots p and q."""
     rooted = pairs.join(found.select(F.col("node").alias("a"), F.col("root").alias("p")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("root").alias("q")), "b", "left")
-    return rooted.where("coalesce(p, a) <> coalesce(q, b)")
+    return rooted.withColumns({"p": F.coalesce("p", "a"), "q": F.coalesce("q", "b")}).where("p <> q")
 
 
 def keep_first(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = similar) -> DataFrame:
