@@ -542,10 +542,10 @@ def spelt(alias: str) -> str:
     return "[^A-Za-z0-9]*".join(alias)
 
 
-NAMED = rf"(?i)\b(?:{spelt('andthe')}|{spelt('thein')}|the|der)\b"
+NICKNAMES = rf"(?i)\b(?:{spelt('andthe')}|{spelt('thein')}|the|der)\b"
 
 
-@query("f12_course_scan", rf"""WITH s AS (SELECT item_id, list_transform(regexp_extract_all(text, '{NAMED}'), lambda m: CASE lower(regexp_replace(m, '[^A-Za-z0-9]+', '', 'g')) WHEN 'the' THEN 'EN' WHEN 'der' THEN 'DE' WHEN 'andthe' THEN 'EN2' ELSE 'EN' END) AS c, regexp_replace(text, '{NAMED}', ' | ', 'g') AS m FROM benchmark)
+@query("f12_course_scan", rf"""WITH s AS (SELECT item_id, list_transform(regexp_extract_all(text, '{NICKNAMES}'), lambda m: CASE lower(regexp_replace(m, '[^A-Za-z0-9]+', '', 'g')) WHEN 'the' THEN 'EN' WHEN 'der' THEN 'DE' WHEN 'andthe' THEN 'EN2' ELSE 'EN' END) AS c, regexp_replace(text, '{NICKNAMES}', ' | ', 'g') AS m FROM benchmark)
 SELECT item_id, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), '|') AS codes, array_to_string(regexp_extract_all(m, '[A-Za-z0-9]+'), ' ') AS rest FROM s""")
 def f12(spark, sf):
     aliases = F.create_map(*[F.lit(x) for x in ("the", "EN", "der", "DE", "andthe", "EN2", "thein", "EN")])
@@ -1320,9 +1320,33 @@ def c9(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", chat.smalltalk_kind(m).alias("smalltalk"))
 
 
-@query("c11_plan")
+TOPIC = "thea erst"
+IN_PLAN = "course_code = 'en' AND doc_type IN ('pyq', 'solution') AND exam_type IN ('quiz', 'test')"
+BEST = "ORDER BY round(score, 6) DESC, doc_id LIMIT 300"
+NEWEST = "ORDER BY coalesce(academic_year, 0) DESC, path, name, doc_id LIMIT 300"
+SAME_EXAM = " AND ".join(f"m.{c} IS NOT DISTINCT FROM s.{c}" for c in ("course_code", "exam_type", "academic_year", "exam_number", "is_makeup"))
+PLAN_SQL = f"""WITH {(CONTENT[: CONTENT.index("," + chr(10) + "cm AS")] + NAMED[len(VIEW_SQL) :]).replace(TEXT, TOPIC)},
+yr AS (SELECT DISTINCT academic_year AS y FROM dv WHERE {IN_PLAN} AND academic_year IS NOT NULL ORDER BY y DESC LIMIT 3), al AS (SELECT * FROM dv WHERE {IN_PLAN} AND academic_year IN (SELECT y FROM yr)),
+fd AS (SELECT *, 0.0::DOUBLE AS score FROM al {NEWEST}), mt AS (SELECT al.*, score FROM al JOIN cc USING (doc_id) {BEST}),
+pr AS (SELECT * FROM fd s WHERE doc_type = 'solution' AND doc_id NOT IN (SELECT doc_id FROM mt) AND EXISTS (SELECT 1 FROM mt m WHERE m.doc_type <> 'solution' AND {SAME_EXAM})),
+un AS (SELECT *, 0.0::DOUBLE AS score FROM al WHERE doc_id NOT IN (SELECT doc_id FROM rt WHERE text <> '') AND doc_id NOT IN (SELECT doc_id FROM pr)),
+an AS (SELECT * FROM dv WHERE course_code = 'en' AND doc_type IN ('notes', 'handout', 'cheatsheet')), nm AS (SELECT an.*, score FROM an JOIN sc USING (doc_id) {BEST}), ic AS (SELECT an.*, score FROM an JOIN cc USING (doc_id) {BEST}),
+mo AS (SELECT * FROM nm UNION ALL SELECT * FROM ic WHERE doc_id NOT IN (SELECT doc_id FROM nm)), nn AS (SELECT *, 0.0::DOUBLE AS score FROM an {NEWEST}),
+sh AS (SELECT *, 0 AS section FROM mt UNION ALL SELECT *, 1 FROM pr UNION ALL SELECT *, 2 FROM un UNION ALL SELECT *, 8 + CAST(doc_id NOT IN (SELECT doc_id FROM nm) AS INT) FROM mo UNION ALL SELECT *, 8 FROM nn WHERE NOT EXISTS (SELECT 1 FROM mo)),
+h AS (SELECT * EXCLUDE (section) FROM sh)"""
+
+
+def whole_plan(spark, sf) -> planner.Plan:
+    form = chat.Form(courses=("en",), exam_types=("quiz",), materials=("papers", "solutions", "notes"), recent_years=3, topics=(TOPIC,))
+    return planner.Planner(catalogue(spark, sf, texts=True)).run(form)
+
+
+@query("x6_plan_order", f"{PLAN_SQL} SELECT doc_id, section, round(score, 4) AS score FROM sh")
+def x6_plan(spark, sf):
+    return whole_plan(spark, sf).hits.select("doc_id", "section", F.round("score", 4).alias("score"))
+
+
+@query("c11_plan", f"{PLAN_SQL}{STACK[len(BROWSE) :]} SELECT key, title, size, round(best_score, 4) AS best_score, years, place FROM st")
 def c11(spark, sf):
-    c = catalogue(spark, sf, texts=True)
-    form = chat.Form(courses=("en",), exam_types=("quiz",), materials=("papers", "solutions", "notes"), recent_years=3, topics=("thea erst",))
-    plan = planner.Planner(c).run(form)
+    plan = whole_plan(spark, sf)
     return plan.stacks.select("key", "title", "size", F.round("best_score", 4).alias("best_score"), F.array_join("years", "|").alias("years"), F.col("place").cast("long").alias("place"))
