@@ -25,21 +25,24 @@ from pyspark.sql import functions as F
 from .common import by_batch, texts_of
 from .mincut import cut
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+STOP, SPECIAL = re.compile(r"[\s/>]"), re.compile("[>\"']")
+#: A name begins where none goes on, so that a long run without a value is looked at once.
+ATTRIBUTE = re.compile(r"""(?<![^\s=/>"'])([^\s=/>"']++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+)""")
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 RAW = frozenset("script style noscript template textarea title iframe svg head select button canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An element that a new one of the same family closes, and how far up it is looked for.
-SIBLINGS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
+SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 BAD_TAGS = frozenset("nav aside footer menu dialog fieldset".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 BAD_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar side aside widget widgets share sharing social related recommended newsletter subscribe signup login search form popup modal overlay copyright toolbar pagination pager tags skip".split()
 )
-COMMENT_WORDS = frozenset("comment comments commentlist respond replies reply disqus discussion reviews".split())
+COMMENT_WORDS = frozenset("comment comments commentlist respond response responses replies reply disqus discussion reviews".split())
 GOOD_WORDS = frozenset("article content post entry story main text body page prose".split())
+#: A heading over what readers wrote.
+COMMENT_HEADING = re.compile(r"(?:[0-9]+ )?(?:reader |user )?(?:comments?|responses?|replies|discussion|kommentare?|commentaires?|comentarios?)(?: ?\(?[0-9]+\)?)?:?", re.I)
 RIGHTS = re.compile(r"©|\(c\) ?\d{4}|all rights reserved", re.I)
 #: Characters outside links that an element with most of the page's text must hold to count as its wrapper.
 WRAPPER = 200
@@ -62,6 +65,7 @@ class Element:
     soft: bool = False
     link: bool = False
     fence: bool = False
+    hidden: bool = False
 
 
 @dataclass
@@ -79,6 +83,7 @@ def described(element: Element, attributes: str) -> None:
     if element.tag in ("article", "main") or role in ("main", "article"):
         element.article = element.fence = True
     hidden = "display:none" in values.get("style", "").replace(" ", "").lower() or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) is not None
+    element.hidden |= hidden
     if element.tag in BAD_TAGS or role in BAD_ROLES or hidden or (element.tag == "header" and not element.article):
         element.bad = True
     if element.tag == "form" or role == "form" or parts & COMMENT_WORDS:
@@ -90,58 +95,123 @@ def described(element: Element, attributes: str) -> None:
     element.link |= element.tag == "a"
 
 
+class Scanner:
+    """The pieces of a page, in time that grows with its length whatever it holds.
+
+    Where a tag ends depends on the place after its name alone, so places of quotes from which no end was found are
+    remembered and never gone through again.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.stop = -1
+        self.failed: set[int] = set()
+
+    def tag_end(self, at: int) -> int:
+        """The first > outside quotes; -1 for none."""
+        seen = []
+        while at <= self.last and (m := SPECIAL.search(self.html, at)):
+            i = m.start()
+            if m.group() == ">":
+                return i
+            if i in self.failed:
+                break
+            seen.append(i)
+            at = self.html.find(m.group(), i + 1) + 1
+            if not at:
+                break
+        self.failed.update(seen)
+        return -1
+
+    def pieces(self) -> Iterator[tuple[str, str | None, int, int, int]]:
+        """(text, None, 0, 0, 0), or for a tag ("" or "/", name, begin and end of its attributes, where it ends); send() goes on elsewhere."""
+        html, at = self.html, 0
+        while at < len(html):
+            if html[at] != "<":
+                end = html.find("<", at)
+                end = len(html) if end < 0 else end
+                yield html[at:end], None, 0, 0, 0
+                at = end
+                continue
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                at = len(html) if end < 0 else end + 3
+                continue
+            if html[at + 1 : at + 2] in ("!", "?"):
+                end = html.find(">", at)
+                at = len(html) if end < 0 else end + 1
+                continue
+            begin = at + 1 + (html[at + 1 : at + 2] == "/")
+            end = -1
+            if html[begin : begin + 1].isascii() and html[begin : begin + 1].isalpha() and begin < self.last:
+                if self.stop < begin:
+                    self.stop = STOP.search(html, begin).start()  # there is a > behind
+                end = self.tag_end(self.stop)
+            if end < 0:
+                yield "<", None, 0, 0, 0
+                at += 1
+                continue
+            moved = yield html[at + 1 : begin], html[begin : self.stop].lower(), self.stop, end, end + 1
+            at = end + 1 if moved is None else moved
+            if moved is not None:
+                yield "", None, 0, 0, 0  # the answer to send()
+
+
 def blocks_of(html: str) -> tuple[list[Element], list[Block]]:
     """Elements and text blocks in page order; unclosed and stray tags are mended as browsers do."""
     elements = [Element("html", -1, 0, True)]
     stack = [0]
+    #: Of each place in the stack, the last block element at or before it; of each tag, its places in the stack.
+    nearest, places = [0], {"html": [0]}
     found: list[Block] = []
     words: list[str] = []
     linked = 0
-
-    def home() -> int:
-        return next(e for e in reversed(stack) if elements[e].block)
+    endless: set[str] = set()
 
     def close() -> None:
         nonlocal linked
         if words:
             if text := " ".join(unescape("".join(words)).split()):
-                found.append(Block(home(), text, linked))
+                found.append(Block(stack[nearest[-1]], text, linked))
             words.clear()
         linked = 0
 
     def pop_to(depth: int) -> None:
-        if any(elements[e].block for e in stack[depth:]):
+        if nearest[-1] >= depth:
             close()
-        del stack[depth:]
+        for e in reversed(stack[depth:]):
+            places[elements[e].tag].pop()
+        del stack[depth:], nearest[depth:]
+
+    def top(names: tuple[str, ...]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
 
-    at = 0
-    while at < len(html):
-        m = TOKEN.match(html, at)
-        at = m.end()
-        name = m.group(2)
+    scanner = Scanner(html)
+    pieces = scanner.pieces()
+    for closing, name, begin, end, at in pieces:
         if name is None:
-            piece = m.group()
-            if not piece.startswith(("<!", "<?")):
-                words.append(piece)
+            if closing:
+                words.append(closing)
                 if elements[stack[-1]].link:
-                    linked += len(piece)
+                    linked += len(closing)
             continue
-        name = name.lower()
-        if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if elements[stack[k]].tag == name:
-                    pop_to(k)
-                    break
-            else:
-                if name in BLOCKS:
-                    close()
+        if closing:
+            if name != "html" and places.get(name):
+                pop_to(places[name][-1])
+            elif name in BLOCKS:
+                close()
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-            if name == "head" and end is None:
-                end = re.compile(r"(?=<body\b)", re.I).search(html, at)
-            if not m.group(3).endswith("/"):
-                at = end.end() if end else len(html) if name != "head" else at
+            if html[end - 1] != "/" and name not in endless:
+                over = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
+                if name == "head" and over is None:
+                    over = re.compile(r"(?=<body\b)", re.I).search(html, at)
+                if over:
+                    pieces.send(over.end())
+                elif name == "head":
+                    endless.add(name)
+                else:
+                    pieces.send(len(html))
             continue
         if name in VOID:
             if name == "br":
@@ -151,30 +221,25 @@ def blocks_of(html: str) -> tuple[list[Element], list[Block]]:
             continue
         if name in BLOCKS:
             close()
-            for k in range(len(stack) - 1, 0, -1):
-                tag = elements[stack[k]].tag
-                if tag == "p":
-                    pop_to(k)
-                    break
-                if tag in BLOCKS:
-                    break
+            if elements[stack[nearest[-1]]].tag == "p":
+                pop_to(nearest[-1])
         if name in SIBLINGS:
             family, fence = SIBLINGS[name]
-            for k in range(len(stack) - 1, 0, -1):
-                tag = elements[stack[k]].tag
-                if tag in family.split():
-                    pop_to(k)
-                    break
-                if tag in fence:
-                    break
+            if (k := top(family)) > max(0, top(fence)):
+                pop_to(k)
         if name in ("html", "body"):
             continue
         above = elements[stack[-1]]
-        own = Element(name, stack[-1], above.depth + 1, name in BLOCKS, above.article, above.good, False, False, False, above.link)
-        described(own, m.group(3))
+        own = Element(name, stack[-1], above.depth + 1, name in BLOCKS, above.article, above.good, False, False, False, above.link, False, above.hidden)
+        described(own, html[begin:end])
         elements.append(own)
+        places.setdefault(name, []).append(len(stack))
+        nearest.append(len(stack) if own.block else nearest[-1])
         stack.append(len(elements) - 1)
     close()
+    for b in found:
+        if elements[b.element].tag in ("h2", "h3", "h4") and COMMENT_HEADING.fullmatch(b.text):
+            elements[elements[b.element].parent].loose |= elements[b.element].parent > 0
     spread_marks(elements, found)
     return elements, found
 
@@ -247,6 +312,7 @@ class PageModel:
 def capacities(elements: list[Element], blocks: list[Block], model: PageModel) -> tuple[list[float], list[float], dict[tuple[int, int], float]]:
     """(cost of dropping, cost of keeping, ties) of the blocks."""
     x = np.clip(features(elements, blocks) @ np.array(model.weights), -30, 30)
+    x[[elements[b.element].hidden for b in blocks]] = -30  # no reader sees it
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
@@ -361,6 +427,8 @@ def main_text(html: str | None, model: PageModel | None = None) -> str:
     if not html:
         return ""
     elements, blocks = blocks_of(html)
+    if len(elements) == 1:  # a page without tags is all text
+        return "\n\n".join(b.text for b in blocks)
     return "\n\n".join(b.text for b, x in zip(blocks, labels(elements, blocks, model or page_model())) if x)
 
 
@@ -368,7 +436,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages. Null and empty html give the empty text.
 
     Each page is labelled on its own and whole, so nothing is shuffled; repeated rows, and ids that are null, give rows
-    as they come. Equal costs keep a block. Columns beside these three are not read.
+    as they come; an empty table gives none. Equal costs keep a block. The scanner's time grows with a page's length,
+    however broken it is. Columns beside these three are not read.
     """
     model = page_model()
 

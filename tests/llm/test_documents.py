@@ -650,3 +650,33 @@ def test_token_files(spark, docs_of, tokenizer, monkeypatch):
     rows = tokens.read_tokens(spark, tokens.write_tokens(twice, path)).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [None, 1, 1, 1] and [r["start"] for r in rows] == [0, 2, 4, 6]
     assert tokens.read_tokens(spark, tokens.write_tokens(docs.limit(0), path)).count() == 0
+
+
+HOSTILE = {
+    "quotes": '<a "' * 20_000, "unclosed": "<b>" * 20_000 + "x</i>" * 20_000, "blocks": "<b>" * 20_000 + "<div>x</div>" * 20_000, "cells": "<table>" + "<div>" * 10_000 + "<td></td>" * 10_000,
+    "heads": "<head>" * 20_000, "raw": "<svg/>" * 20_000 + "</svg>", "names": "<a" * 40_000 + ' "' + "<a" * 10 + ">", "attributes": "<a " + "a" * 80_000 + " b=c>", "mixed": "<a \"'" * 20_000 + ">x", "brackets": "<" * 100_000,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_pages_take_no_longer(kind):
+    html_text.page_model()
+    began = time.process_time()
+    html_text.main_text(HOSTILE[kind])
+    assert time.process_time() - began < 4  # quadratic ones took from 20 s to hours
+
+
+def test_tags_are_read_as_before():
+    texts = lambda h: [b.text for b in html_text.blocks_of(h)[1]]
+    assert texts('<p title="a > b">x<p class=\'y>\'>z') == ["x", "z"] and texts("a < b <3 <p>c</p>") == ["a < b <3", "c"]
+    assert texts("<!-- <p>no</p> --><?x y?><!doctype html>t<script>if (a<b) '</p>'</script>u") == ["tu"] and texts("<p>a<!-- never closed") == ["a"]
+    assert texts("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>") == ["a", "b", "c", "d"] and texts("<table><tr><td>a<td>b<tr><td>c</table>d") == ["a", "b", "c", "d"]
+    assert texts("<head><title>t</title></head>x<head>y") == ["xy"] and texts("<textarea>a</textarea>b<script>c") == ["b"] and texts('<a href="x>y</a><p>z') == ['<a href="x>y', "z"]
+
+
+def test_hidden_text_remarks_and_bare_lines():
+    prose = f"<p>{'A sentence of prose, with some words in it. ' * 6}</p>"
+    page = f"<html><body><div><h1>A head line</h1>{prose}<p hidden>secret</p><p style='display: none'>unseen</p></div>"
+    text = html_text.main_text(page + f"<section id='part-9'><h3>12 Comments</h3>{prose.replace('sentence', 'remark')}</section><section id='reader-responses'>{prose.replace('sentence', 'answer')}</section></body></html>")
+    assert text.count("sentence") == 6 and not any(w in text for w in ("secret", "unseen", "remark", "answer"))
+    assert html_text.main_text("One line &amp; no tag.") == "One line & no tag."
