@@ -14,7 +14,7 @@ Two searches use it. ``links`` is complete for few bits: coordinates fall into m
 bands are grids that miss no pair. ``similar`` looks for documents whose five-word shingles have a Jaccard similarity of
 0.8 or more: its 128-bit fingerprints differ in about 19 bits there, so its grids are as many random choices of
 coordinates as find a pair at that limit with the stated probability, and every link is verified on the shingles. A
-row offers its nearest partners first. Where it has more, its cell stays open: once the offers are verified and their
+row offers its nearest partner first, and its nearest earlier one. Where it has more, its cell stays open: once the offers are verified and their
 components known, the cell is looked at again, and offers the next partners that are still in another component, until
 none is left. So no partner within the distance goes unverified, and a large group of copies is joined by few links.
 """
@@ -45,8 +45,9 @@ HOLD = 32_768
 SMALL = 256
 #: Links that a cell may give for each of its rows before it gives a forest.
 PER_ROW = 4
-#: Of the similarity search: partners that a row offers in its cell's first turn, and how many times as many in each later one.
-NEAREST, MORE = 2, 8
+#: Of the similarity search: partners that a row offers in its cell's first turn, besides its nearest earlier one, and how
+#: many times as many in each later turn.
+NEAREST, MORE = 1, 8
 #: Of the similarity search: words of a shingle, least similarity, bits, and the chance to find a pair at that limit.
 WORDS, LEAST, WIDTH, FOUND = 5, Fraction(4, 5), 128, 0.99
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -203,7 +204,8 @@ def runs_in(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def offers(cell: np.ndarray, x: np.ndarray, root: np.ndarray, distance: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, open) of runs of equal cells: pairs of different roots within the distance where b is a's low-th to high-th
-    nearest (by distance, then place). Open are rows with a later partner of another root, and all partners of these."""
+    nearest (by distance, then place); in the first turn (low 0) also the nearest b before a, so that the links of a group
+    of copies reach from each to the first. Open are rows with a later partner of another root, and all partners of these."""
     run, end = runs_in(cell)
     a, b = near_pairs(x, run, end, distance)
     one, other, d = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(apart(x, a, b), 2)
@@ -213,6 +215,9 @@ def offers(cell: np.ndarray, x: np.ndarray, root: np.ndarray, distance: int, low
     rank = np.arange(len(one)) - np.maximum.accumulate(np.where(start, np.arange(len(one)), 0)) if len(one) else one
     unlike = root[one] != root[other]
     kept = unlike & (rank >= low) & (rank < high)
+    if not low:
+        earlier = np.flatnonzero(other < one)
+        kept[earlier[np.unique(one[earlier], return_index=True)[1]]] = True
     late, opened = np.zeros(len(run), dtype=bool), np.zeros(len(run), dtype=bool)
     late[one[unlike & (rank >= high)]] = True
     opened[other[late[one]]] = True
@@ -232,6 +237,8 @@ def offers(cell: np.ndarray, x: np.ndarray, root: np.ndarray, distance: int, low
             near = near[np.argsort(d, kind="stable")[: int((d <= distance).sum())]]
             unlike = roots[near] != roots[at]
             fit = near[low:high][unlike[low:high]]
+            if not low:
+                fit = np.union1d(fit, near[near < at][:1])
             ones.append(np.full(len(fit), begin + at))
             others.append(begin + fit)
             if unlike[high:].any():
