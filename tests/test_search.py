@@ -174,3 +174,25 @@ def test_self_queries(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     got = {r["doc_id"]: r["query"] for r in measure.self_queries(docs, docs.select("doc_id", F.lit("otheraword").alias("name"))).collect()}
     assert 0 not in got and got[1] == "otherbword specialbword thirdbword"
+
+
+def test_scores_of_unindexed_texts(spark):
+    """As from an index, for ids that repeat and empty texts too; pairs of a query and a document are not shuffled."""
+    rows = [(1, "binary trees and graphs trees"), (2, "hash tables"), (2, "tree tables"), (3, ""), (None, "graphs"), (4, None), (5, "graphs of trees")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = rank.query_terms(spark.createDataFrame([(7, "trees graphs"), (8, "tables"), (9, "")], "q long, text string"), "q", "text")
+    allowed = docs.where("doc_id <> 5").select("doc_id").distinct()
+    for only in (None, allowed):
+        want = rank.bm25(index.weights(index.postings(docs), index.stats(docs)), terms, only)
+        got = rank.bm25_of_texts(docs, terms, only)
+        plain = lambda df: sorted((r["query_id"], str(r["doc_id"]), round(r["score"], 9)) for r in df.collect())
+        assert plain(got) == plain(want) and got.count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(query_id" not in plan
+
+
+def test_catalogue_reads_texts_once(spark, catalog):
+    asked = facets.Filters(course=frozenset({"CS1"}))
+    first, again = catalog.search_content("trees", asked)[0], catalog.search_content("trees")[0]
+    assert sorted(r["doc_id"] for r in first.collect()) == [0, 4] and again.count() == 2
+    assert [k for k in catalog._read if k[0] == "content"] == [("content", "tree")]
