@@ -680,3 +680,23 @@ def test_hidden_text_remarks_and_bare_lines():
     text = html_text.main_text(page + f"<section id='part-9'><h3>12 Comments</h3>{prose.replace('sentence', 'remark')}</section><section id='reader-responses'>{prose.replace('sentence', 'answer')}</section></body></html>")
     assert text.count("sentence") == 6 and not any(w in text for w in ("secret", "unseen", "remark", "answer"))
     assert html_text.main_text("One line &amp; no tag.") == "One line & no tag."
+
+
+def test_toxicity_learns_from_every_part(spark, docs_of, monkeypatch):
+    """More labelled documents than a part holds: a word that only the last ids show is learned too."""
+    from lodestack.llm import labelled
+
+    monkeypatch.setattr(labelled, "PART", 150)
+    monkeypatch.setattr(labelled, "SAMPLE", 150)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    order = sorted(range(1200), key=lambda k: rng.random())
+    texts = {k: " ".join([word() for _ in range(20)] + ([("nasty" if i < 600 else "vile") + "x"] if k % 3 == 0 else [])) for i, k in enumerate(order)}
+    docs = docs_of(sorted(texts.items()))
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in texts], "doc_id long, toxic int")
+    rows, parts = labelled.dealt(docs, labels, "toxic", 4, 2)
+    kept = [k for k in texts if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert parts == -(-len(kept) // 150) > 1 and sorted(r["doc_id"] for r in rows.select("doc_id").collect()) == sorted(kept)
+    model = toxicity.train(docs, labels, epochs=25)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert np.mean([(got[k] >= 0.3) == (k % 3 == 0) for k in texts if k not in kept]) > 0.95
