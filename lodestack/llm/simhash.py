@@ -14,9 +14,10 @@ Two searches use it. ``links`` is complete for few bits: coordinates fall into m
 bands are grids that miss no pair. ``similar`` looks for documents whose five-word shingles have a Jaccard similarity of
 0.8 or more: its 128-bit fingerprints differ in about 19 bits there, so its grids are as many random choices of
 coordinates as find a pair at that limit with the stated probability, and every link is verified on the shingles. A
-row offers its nearest partner first, and its nearest earlier one. Where it has more, its cell stays open: once the offers are verified and their
-components known, the cell is looked at again, and offers the next partners that are still in another component, until
-none is left. So no partner within the distance goes unverified, and a large group of copies is joined by few links.
+row offers its nearest partner, and its nearest earlier one. Where it has more, its cell stays open: once the offers are verified and their
+components known, the rows of open cells of several components get their shingles, and the cell's task compares those of
+different components itself. It gives no pairs but the links that join components. So no partner within the distance goes
+unverified, and a large group gives rows in proportion to its size, whether its members are copies or only near.
 """
 
 from __future__ import annotations
@@ -45,9 +46,8 @@ HOLD = 32_768
 SMALL = 256
 #: Links that a cell may give for each of its rows before it gives a forest.
 PER_ROW = 4
-#: Of the similarity search: partners that a row offers in its cell's first turn, besides its nearest earlier one, and how
-#: many times as many in each later turn.
-NEAREST, MORE = 1, 8
+#: Of the similarity search: shingles of an open cell's rows that one task compares with each other or with as many more.
+BLOCK = 1_000_000
 #: Of the similarity search: words of a shingle, least similarity, bits, and the chance to find a pair at that limit.
 WORDS, LEAST, WIDTH, FOUND = 5, Fraction(4, 5), 128, 0.99
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -202,50 +202,79 @@ def runs_in(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(edge)), np.diff(np.concatenate([[0], edge]))), edge
 
 
-def offers(cell: np.ndarray, x: np.ndarray, root: np.ndarray, distance: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, open) of runs of equal cells: pairs of different roots within the distance where b is a's low-th to high-th
-    nearest (by distance, then place); in the first turn (low 0) also the nearest b before a, so that the links of a group
-    of copies reach from each to the first. Open are rows with a later partner of another root, and all partners of these."""
+def offers(cell: np.ndarray, x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, open) of runs of equal cells: pairs within the distance where b is a's nearest (by distance, then place) or
+    the nearest before a, so that the links of a group of copies reach from each to the first. Open are rows with a second
+    partner, and all partners of these."""
     run, end = runs_in(cell)
     a, b = near_pairs(x, run, end, distance)
     one, other, d = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(apart(x, a, b), 2)
     by = np.lexsort((other, d, one))
     one, other = one[by], other[by]
-    start = np.concatenate([[True], one[1:] != one[:-1]])[: len(one)]
-    rank = np.arange(len(one)) - np.maximum.accumulate(np.where(start, np.arange(len(one)), 0)) if len(one) else one
-    unlike = root[one] != root[other]
-    kept = unlike & (rank >= low) & (rank < high)
-    if not low:
-        earlier = np.flatnonzero(other < one)
-        kept[earlier[np.unique(one[earlier], return_index=True)[1]]] = True
+    kept = np.concatenate([[True], one[1:] != one[:-1]])[: len(one)]
     late, opened = np.zeros(len(run), dtype=bool), np.zeros(len(run), dtype=bool)
-    late[one[unlike & (rank >= high)]] = True
+    late[one[~kept]] = True
     opened[other[late[one]]] = True
     opened |= late
+    earlier = np.flatnonzero(other < one)
+    kept[earlier[np.unique(one[earlier], return_index=True)[1]]] = True
     ones, others = [one[kept]], [other[kept]]
     size = np.diff(np.concatenate([[0], end]))
     for r in np.flatnonzero(size > SMALL).tolist():
         begin = int(end[r] - size[r])
-        own, roots = x[:, begin : end[r]], root[begin : end[r]]
+        own = x[:, begin : end[r]]
         unary, every = embedded(own), np.arange(size[r])
-        if (roots == roots[0]).all():
-            continue
         for at in range(int(size[r])):
             near = every[apart(unary, every, at) <= distance]
             near = near[near != at]
             d = apart(own, near, at)
             near = near[np.argsort(d, kind="stable")[: int((d <= distance).sum())]]
-            unlike = roots[near] != roots[at]
-            fit = near[low:high][unlike[low:high]]
-            if not low:
-                fit = np.union1d(fit, near[near < at][:1])
+            fit = np.union1d(near[:1], near[near < at][:1])
             ones.append(np.full(len(fit), begin + at))
             others.append(begin + fit)
-            if unlike[high:].any():
+            if len(near) > 1:
                 opened[[begin + at, *(begin + near)]] = True
     return np.concatenate(ones), np.concatenate(others), opened
 
 
+def joining(x: np.ndarray, root: np.ndarray, side: np.ndarray, items: list[np.ndarray], distance: int) -> list[tuple[int, int]]:
+    """Positions (a, b) of similar rows of different roots within the distance, one for each two roots that it joins: they
+    connect what all such pairs connect. Where the rows have two sides, only pairs across them count."""
+    root = np.unique(root, return_inverse=True)[1]
+    size = np.array([len(i) for i in items])
+    token = np.unique(np.concatenate(items), return_inverse=True)[1]
+    at, begin = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    left, before = np.ones(len(size), dtype=bool), len(size) + 1
+    while 0 < left.sum() < before - before // 8:
+        # a row shares LEAST of its own shingles with any row that is similar, so as many must be in rows of other roots
+        before, of = left.sum(), left[at]
+        low, high = np.full(len(at), len(size)), np.full(len(at), -1)
+        np.minimum.at(low, token[of], root[at[of]])
+        np.maximum.at(high, token[of], root[at[of]])
+        left &= np.bincount(at, (low < high)[token], len(size)) * LEAST.denominator >= LEAST.numerator * size
+    links, two, marked = [], (side != side[0]).any(), np.zeros(len(at), dtype=np.int8)
+    if not left.any():
+        return links
+    # of two rows of different roots one at least is not of the root with the most rows
+    for a in np.flatnonzero(left & (root != np.bincount(root[left]).argmax())).tolist():
+        left[a] = False
+        fit = left & (root != root[a]) & (np.minimum(size, size[a]) * LEAST.denominator >= LEAST.numerator * np.maximum(size, size[a]))
+        near = np.flatnonzero(fit & (side != side[a]) if two else fit)
+        near = near[apart(x, near, a) <= distance]
+        if not len(near):
+            continue
+        own, n = token[begin[a] : begin[a] + size[a]], size[near]
+        first = np.cumsum(n) - n
+        marked[own] = 1
+        shared = np.add.reduceat(marked[token[np.repeat(begin[near] - first, n) + np.arange(n.sum())]], first, dtype=np.int64)
+        marked[own] = 0
+        near = near[shared * LEAST.denominator >= LEAST.numerator * (n + size[a] - shared)]
+        found, once = np.unique(root[near], return_index=True)
+        links += [(a, b) for b in near[once].tolist()]
+        root[np.isin(root, found)] = root[a]
+    return links
+
+
 def of_runs(cell: np.ndarray, x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (a, b) of links within runs of equal cells that join what all pairs within the distance would join."""
     run, end = runs_in(cell)
@@ -262,40 +291,40 @@ def of_runs(cell: np.ndarray, x: np.ndarray, distance: int) -> tuple[np.ndarray,
     return np.concatenate(ones), np.concatenate(others)
 
 
-def in_cells(rows: DataFrame, words: int, distance: int, most: int, window: tuple[int, int] | None) -> DataFrame:
-    """(a, b, d, cell, w0, ...) from rows (node, root, w0, ..., cell), dealt by cell here and staged.
+def in_cells(rows: DataFrame, words: int, distance: int, most: int, connect: bool) -> DataFrame:
+    """(a, b, d, cell, w0, ...) from rows (node, w0, ..., cell), dealt by cell here and staged.
 
     b not null: a link; d: its distance. Rows with b null pass through: those of a cell of more than ``most`` rows (d
-    null), and those of a cell that is open after this window (d 0). No window: links that join what all would join.
+    null), and the open ones (d 0). ``connect``: links that join what all would join, and none open.
     """
     names = [f"w{k}" for k in range(words)]
     columns = ["a", "b", "d", "cell", *names]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((3 + words, 0), dtype=np.int64)
+        held = np.zeros((2 + words, 0), dtype=np.int64)
         passing: int | None = None
 
         def passed(rows: np.ndarray, d: int | None) -> pa.RecordBatch:
             n = rows.shape[1]
-            return pa.RecordBatch.from_arrays([pa.array(rows[1].copy()), pa.nulls(n, pa.int64()), pa.array([d] * n, pa.int32()), pa.array(rows[0].copy()), *[pa.array(w.copy()) for w in rows[3:]]], names=columns)
+            return pa.RecordBatch.from_arrays([pa.array(rows[1].copy()), pa.nulls(n, pa.int64()), pa.array([d] * n, pa.int32()), pa.array(rows[0].copy()), *[pa.array(w.copy()) for w in rows[2:]]], names=columns)
 
         def linked(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             again = rows[0, 1:] == rows[0, :-1]
             rows = rows[:, np.concatenate([[False], again]) | np.concatenate([again, [False]])]
             if not rows.shape[1]:
                 return
-            x = rows[3:].view(np.uint64)
-            if window is None:
+            x = rows[2:].view(np.uint64)
+            if connect:
                 a, b = of_runs(rows[0], x, distance)
             else:
-                a, b, opened = offers(rows[0], x, rows[2], distance, *window)
+                a, b, opened = offers(rows[0], x, distance)
                 if opened.any():
                     yield passed(rows[:, opened], 0)
             none = pa.nulls(len(a), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(rows[1][a]), pa.array(rows[1][b]), pa.array(apart(x, a, b).astype(np.int32)), *[none] * (1 + words)], names=columns)
 
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy() for c in ("cell", "node", "root", *names)])
+            rows = np.stack([batch.column(c).to_numpy() for c in ("cell", "node", *names)])
             if passing is not None:
                 n = int(np.searchsorted(rows[0] != passing, True)) if rows.shape[1] else 0
                 if n:
@@ -317,24 +346,24 @@ def in_cells(rows: DataFrame, words: int, distance: int, most: int, window: tupl
             yield from linked(held)
 
     schema = "a long, b long, d int, cell long, " + ", ".join(f"{w} long" for w in names)
-    dealt = rows.select("cell", "node", "root", *names).repartition("cell").sortWithinPartitions("cell", "node")
+    dealt = rows.select("cell", "node", *names).repartition("cell").sortWithinPartitions("cell", "node")
     return staged(by_batch(dealt, work, schema), "cells")
 
 
 def grid_join(points: DataFrame, words: list[str], masks: Masks, finer: Callable[[int], Masks], distance: int, connect: bool, hold: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(a, b, d) links between the nodes of points (node and the named words, all distinct), repeats included; and the
-    rows (cell, node, w0, ...) of cells that are open after their first turn, none if ``connect``."""
+    open rows (cell, node, w0, ...), none if ``connect``."""
     names = [f"w{k}" for k in range(len(words))]
-    split = lambda rows, keys: rows.select("node", "root", *names, F.explode(F.array(*keys)).alias("cell"))
+    split = lambda rows, keys: rows.select("node", *names, F.explode(F.array(*keys)).alias("cell"))
     at = lambda m, of: [of(F.col(w)).bitwiseAND(F.lit(v)) for w, v in zip(names, m)]
-    rows = points.select("node", F.col("node").alias("root"), *[F.col(c).alias(w) for c, w in zip(words, names)])
+    rows = points.select("node", *[F.col(c).alias(w) for c, w in zip(words, names)])
     rows = split(rows, [F.xxhash64(F.lit(g), *at(m, embedding)) for g, m in enumerate(masks)])
     met, opened, level = [], [], 0
     while True:
-        found = in_cells(rows, len(words), distance, hold or HOLD, None if connect else (0, NEAREST))
+        found = in_cells(rows, len(words), distance, hold or HOLD, connect)
         met.append(found.where("b is not null").select("a", "b", "d"))
         opened.append(found.where("b is null and d = 0").select("cell", F.col("a").alias("node"), *names))
-        more = found.where("b is null and d is null").select(F.col("a").alias("node"), F.col("a").alias("root"), "cell", *names)
+        more = found.where("b is null and d is null").select(F.col("a").alias("node"), "cell", *names)
         if more.isEmpty():
             return reduce(DataFrame.unionByName, met), reduce(DataFrame.unionByName, opened)
         level += 1
@@ -410,7 +439,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, items) of the wanted nodes; the sieve keeps other texts out of the shuffle."""
+    """(node, items, n: their number) of the wanted nodes; the sieve keeps other texts out of the shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(sieve(wanted, "node"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,7 +453,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 found = [shingled(part[k]) for k in once[members_of(bitmap, names[once])].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["node", "items"])
 
-    return by_batch(docs.select("text"), work, "node long, items binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items"))
+    return by_batch(docs.select("text"), work, "node long, items binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")).withColumn("n", F.octet_length("items") / 8)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -451,7 +480,7 @@ def similar(docs: DataFrame, hold: int | None = None) -> DataFrame:
     Texts with the same words link; null counts as no words. Links are never wrong, but a pair at the limit shares a
     cell with the chance FOUND only (README has the measured recall); pairs that share one are all verified, unless
     other links join them already. Texts of one fingerprint are searched through one of them. Each text is verified
-    against its nearest partner first, then pairs of different components are, then what open cells offer next.
+    against its nearest partner first, then offers between components are, then what open cells hold of several.
     Whole texts of any length; repeated rows give repeated rows; other columns are not read.
     """
     rows = staged(sketches(docs), "sketches")
@@ -466,22 +495,52 @@ def similar(docs: DataFrame, hold: int | None = None) -> DataFrame:
     ends = pairs.select("a", "b", "d").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     best = ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("n")).select(F.least("a", "n.b").alias("a"), F.greatest("a", "n.b").alias("b"))
     found = components(verified(staged(best.distinct(), "best"), sets))
-    low, high = 0, NEAREST
-    while True:
-        rest = staged(_between(pairs, found).select("a", "b"), "rest")
-        new = verified(rest, sets)
-        if not new.isEmpty():
-            found = _joined(found, new)
-        # cells whose rows are still of several components
-        rooted = opened.join(found.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
-        again = staged(rooted.join(mixed, "cell", "left_semi"), "open")
-        if again.isEmpty():
-            return _named(rows.select("doc_id", "node"), first.select("node", "first_id"), found, "node").select("doc_id", "component_id")
-        low, high = high, high + (high - low) * MORE
-        turn = in_cells(again, 2, most, 1 << 62, (low, high))
-        pairs = staged(_pairs(turn.where("b is not null").select("a", "b", "d")), "pairs")
-        opened = turn.where("b is null").select("cell", F.col("a").alias("node"), "w0", "w1")
+    found = _joined(found, verified(staged(_between(pairs, found).select("a", "b"), "rest"), sets))
+    found = _joined(found, within_cells(opened, found, sets, most))
+    return _named(rows.select("doc_id", "node"), first.select("node", "first_id"), found, "node").select("doc_id", "component_id")
+
+
+def within_cells(opened: DataFrame, found: DataFrame, sets: DataFrame, distance: int) -> DataFrame:
+    """(a, b) links between components, from the rows (cell, node, w0, w1) of open cells: they connect what all similar
+    pairs within the distance that share a cell connect.
+
+    A cell of more than BLOCK shingles is cut into blocks, and each two of them are a key that one task compares.
+    """
+
+    def linked(parts: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        if not parts:
+            return []
+        rows = pa.Table.from_batches(parts)
+        node, root, side, *x = (rows.column(c).to_numpy() for c in ("node", "root", "side", "w0", "w1"))
+        if (root == root[0]).all():
+            return []
+        items = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in rows.column("items")]
+        return [(int(node[a]), int(node[b])) for a, b in joining(np.stack(x).view(np.uint64), root, side, items, distance)]
+
+    def of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            key, links, begin = batch.column("key").to_numpy(), [], 0
+            for end in runs_in(key)[1].tolist() if len(key) else []:
+                if held and held[0].column("key")[0].as_py() != key[begin]:
+                    links += linked(held)
+                    held = []
+                held.append(batch.slice(begin, end - begin))
+                begin = end
+            yield of(links)
+        yield of(linked(held))
+
+    rooted = opened.join(found.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = staged(rooted.join(sets.select("node", "n"), "node"), "rooted")
+    cells = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    mixed = rooted.join(cells.where("low <> high").select("cell", "blocks"), "cell").withColumn("side", F.pmod(F.xxhash64("node"), "blocks"))
+    keys = mixed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keys = keys.withColumn("key", F.xxhash64("cell", F.least("side", "other"), F.greatest("side", "other"))).select("key", "node", "root", "side", "w0", "w1")
+    dealt = keys.join(sets.select("node", "items"), "node").select("key", "node", "root", "side", "w0", "w1", "items")
+    return staged(by_batch(dealt.repartition("key").sortWithinPartitions("key", "node"), work, "a long, b long"), "joining")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -491,6 +550,8 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     """Components (node, root) with further links between them, of which there are few: only roots are joined anew."""
+    if links.isEmpty():
+        return found
     above = components(_between(links, found).select(F.col("p").alias("a"), F.col("q").alias("b"))).withColumnRenamed("root", "top")
     lifted = found.join(above.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     fresh = above.join(found.select("node"), "node", "left_anti").select("node", F.col("top").alias("root"))

@@ -233,3 +233,55 @@ def test_clusters_just_under_the_limit(spark, docs_of):
     for a, b in links:
         parent[max(top(a), top(b))] = min(top(a), top(b))
     assert all(top(a) == top(b) for a, b in got.items())  # no wrong link
+
+
+def test_joining_connects_what_all_similar_pairs_connect():
+    rng = np.random.default_rng(4)
+    for turn in range(60):
+        n, two, distance = int(rng.integers(2, 50)), turn % 3 == 0, 128 if turn % 2 else 60
+        base = [rng.choice(400, int(rng.integers(1, 40)), replace=False) for _ in range(3)]
+        items = []
+        for _ in range(n):
+            own = base[rng.integers(3)].copy()
+            own[rng.random(len(own)) < 0.15] = rng.integers(400, 1000 if turn % 4 else 404)
+            items.append(np.unique(own).astype(np.uint64))
+        x = rng.integers(0, 2**63, (2, n)).astype(np.uint64)
+        root, side = rng.integers(0, n, n), rng.integers(0, 2, n) if two else np.zeros(n, dtype=np.int64)
+        across = (side != side[0]).any()
+
+        def linked(a, b):
+            shared = len(np.intersect1d(items[a], items[b]))
+            near = np.bitwise_count(x[:, a] ^ x[:, b]).sum() <= distance
+            return near and 5 * shared >= 4 * (len(items[a]) + len(items[b]) - shared) and (side[a] != side[b] or not across)
+
+        want = slow_components(list(range(n)), lambda a, b: root[a] == root[b] or linked(a, b))
+        found = simhash.joining(x, root.copy(), side, items, distance)
+        assert all(root[a] != root[b] and linked(a, b) for a, b in found)
+        assert slow_components(list(range(n)), lambda a, b: root[a] == root[b] or (a, b) in found or (b, a) in found) == want
+        assert len(found) < n
+
+
+def test_a_large_group_of_near_texts_makes_few_pairs(spark, docs_of, monkeypatch):
+    """Of 500 texts that are all near, few are similar: the rows of the joins grow with the group, not with its square."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(500):
+        words = list(base)
+        for at in rng.sample(range(150), 2 if k % 10 == 0 else 7):
+            words[at] = f"x{rng.randrange(10**9)}"
+        rows.append((k, " ".join(words)))
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(146)} for _, t in rows]
+    links = {(a, b) for a, b in itertools.combinations(range(500), 2) if len(shingles[a] & shingles[b]) * 5 >= 4 * len(shingles[a] | shingles[b])}
+    want = slow_components(list(range(500)), lambda a, b: (a, b) in links)
+    verified, pairs = simhash.verified, []
+    monkeypatch.setattr(simhash, "verified", lambda p, sets: pairs.append(p.count()) or verified(p, sets))
+    docs = docs_of(rows).repartition(4).cache()
+    grids = len(simhash.random_choices(500))
+    for block in (simhash.BLOCK, 20_000):  # as one key, and in blocks
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+        assert all(want[a] == want[b] for a, b in got.items())  # no wrong link
+        assert sum(got[a] == got[b] for a, b in links) >= 0.97 * len(links)
+        assert sum(pairs) <= 2 * grids * 500
+        pairs.clear()
